@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, sharding
+from . import decontaminate, linededup, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op7_sharding": sharding.op7_sharding,
     "op9_line_dedup": linededup.op9_line_dedup,
 }
 
 SQL: dict[str, str] = {
+    "op3_decontaminate": decontaminate.OP3_SQL,
     "op9_line_dedup": linededup.OP9_SQL,
 }
