@@ -120,6 +120,16 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         i = j
 
 
+def row_slices(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """As slices(), of a single column: first row, row after the last, bytes, offsets."""
+    data, off = utf8(text)
+    i = 0
+    while i < len(text):
+        j = max(i + 1, int(np.searchsorted(off, off[i] + SLICE_BYTES, "right")) - 1)
+        yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
+        i = j
+
+
 def word_spans(data: np.ndarray, off: np.ndarray, word_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each maximal run of word bytes that lies in one row, and its row."""
     inside = word_bytes[data]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import ALNUM_BYTES, LOWER, SLICE_BYTES, found_in, staged, table, utf8, word_hashes, word_spans
+from .common import ALNUM_BYTES, LOWER, found_in, row_slices, staged, table, utf8, word_hashes, word_spans
 
 #: Bytes of item text in one automaton. More items mean more automata, one pass each.
 BLOCK_BYTES = 4 << 20
@@ -168,15 +168,6 @@ def merged(runs: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def _row_slices(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    data, off = utf8(text)
-    i = 0
-    while i < len(text):
-        j = max(i + 1, int(np.searchsorted(off, off[i] + SLICE_BYTES, "right")) - 1)
-        yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
-        i = j
-
-
 MATCH = "struct<n_words:long,runs:array<int>,items:array<string>,longest:int>"
 SCAN = pa.struct([("n_words", pa.int64()), ("runs", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("longest", pa.int32())])
 
@@ -197,7 +188,7 @@ def _scanner(held: Broadcast, name: str, window: int):
     def scan(text: pa.Array, before: pa.Array) -> pa.Array:
         automaton = _Block.of(name, held.value, window)
         rows = []
-        for i, j, data, off in _row_slices(text):
+        for i, j, data, off in row_slices(text):
             words, runs, found, longest = automaton.hits(LOWER[data], off)
             for r, old in enumerate(before.slice(i, j - i).to_pylist()):
                 flat = (old and old["runs"]) or []
@@ -235,7 +226,7 @@ def match_items(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes
 @F.arrow_udf(StringType())
 def _cut(text: pa.Array, runs: pa.Array) -> pa.Array:
     out = []
-    for i, j, data, off in _row_slices(text):
+    for i, j, data, off in row_slices(text):
         s, e, row = word_spans(LOWER[data], off, ALNUM_BYTES)
         first = np.searchsorted(row, np.arange(j - i + 1))
         for r, flat in enumerate(runs.slice(i, j - i).to_pylist()):

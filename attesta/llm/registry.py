@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, linededup, sharding
+from . import decontaminate, linededup, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op7_sharding": sharding.op7_sharding,
     "op9_line_dedup": linededup.op9_line_dedup,
