@@ -6,18 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, linededup, packing, quality, sharding, toxicity
+from . import decontaminate, embeddings, linededup, packing, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op6_packing": packing.op6_packing,
     "op7_sharding": sharding.op7_sharding,
+    "op8_near_vectors": embeddings.op8_near_vectors,
     "op9_line_dedup": linededup.op9_line_dedup,
     "op10_quality": quality.op10_quality,
 }
 
 SQL: dict[str, str] = {
     "op3_decontaminate": decontaminate.OP3_SQL,
+    "op8_near_vectors": embeddings.OP8_SQL,
     "op9_line_dedup": linededup.OP9_SQL,
 }
