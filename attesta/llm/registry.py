@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, linededup, packing, quality, sharding, toxicity
+from . import decontaminate, embeddings, linededup, packing, pii, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op5_pii": pii.op5_pii,
     "op6_packing": packing.op6_packing,
     "op7_sharding": sharding.op7_sharding,
     "op8_near_vectors": embeddings.op8_near_vectors,
