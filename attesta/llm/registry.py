@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, linededup, packing, pii, quality, sharding, toxicity
+from . import decontaminate, embeddings, jaccard, linededup, packing, pii, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_jaccard": jaccard.op4_jaccard,
     "op5_pii": pii.op5_pii,
     "op6_packing": packing.op6_packing,
     "op7_sharding": sharding.op7_sharding,
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op3_decontaminate": decontaminate.OP3_SQL,
+    "op4_jaccard": jaccard.OP4_SQL,
     "op8_near_vectors": embeddings.OP8_SQL,
     "op9_line_dedup": linededup.OP9_SQL,
 }
