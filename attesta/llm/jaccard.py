@@ -212,6 +212,16 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     return told.withColumns({"n_shingles": F.col("_js.n").cast("long"), "component_id": component}).drop("_js", "_js_cid", "_js_least", "_js_row")
 
 
+def one_of_each(grouped: DataFrame) -> DataFrame:
+    """Of the rows of jaccard_groups(), one of each component: that with the smallest doc_id. Rows without shingles all
+    stay, and so do rows without a doc_id of which the component has none at all."""
+    first = grouped.where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")) & (F.col("n_shingles") > 0))
+    if not first.where("component_id is not null").groupBy("component_id").count().where("count > 1").isEmpty():
+        # Rows that repeat a doc_id: one of them stays.
+        first = first.where("component_id is not null").dropDuplicates(["component_id"]).unionByName(first.where("component_id is null"))
+    return first.unionByName(grouped.where("n_shingles = 0 and component_id is not null"))
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, linked on shingles of four words at a similarity of 0.85."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, jaccard, linededup, packing, pii, quality, sharding, toxicity
+from . import decontaminate, embeddings, jaccard, linededup, packing, pii, quality, sharding, suffixdedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": suffixdedup.op1_suffix_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_jaccard": jaccard.op4_jaccard,
