@@ -1,0 +1 @@
+"""Plans over several operators, and the catalog of queries with their SQL."""
