@@ -18,8 +18,9 @@ def _found(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def unquoted(x: Column) -> Column:
-    """Percent-decoded, a plus sign as it is; what can't be decoded stays."""
-    return F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x)
+    """Percent-decoded; a plus sign, and a percent sign that starts no code, are as they are."""
+    coded = F.replace(F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B"))
+    return F.coalesce(F.try_url_decode(coded), x)
 
 
 def normalized_doi(x: Column) -> Column:

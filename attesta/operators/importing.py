@@ -21,47 +21,52 @@ def mark_duplicates(rows: DataFrame) -> DataFrame:
     """``rows`` (row_no, doi, eid, has_id, title) with duplicate: whether an earlier, accepted row has the DOI or the EID,
     or, for rows without any identifier, the title. Rows that are duplicates themselves don't count as earlier ones.
 
-    With one key a row this is a window: the first of a key is accepted. Rows with several keys, and chains
-    through them, are settled in file order inside groups of rows that share keys; a group is found by
-    passing on the least row number until nothing changes.
+    Of rows with the same pair of identifiers only the first can be accepted, so the pairs alone are looked at. With one
+    identifier each, a pair's first row is accepted. Where pairs share one of two identifiers they are settled in file
+    order, inside the group of pairs that hang together. Titles come last: the first accepted row of each decides.
     """
     title = F.when(F.length(normalized_title(F.col("title"))) > 0, normalized_title(F.col("title")))
-    keyed = rows.withColumns({"_doi": F.lower("doi"), "_eid": F.lower("eid"), "_title": title})
-    several = keyed.where("_doi is not null and _eid is not null").limit(1).count() > 0
-    if not several:
-        by_doi, by_eid, by_title = (Window.partitionBy(k).orderBy("row_no") for k in ("_doi", "_eid", "_title"))
-        # A title is taken once an accepted row has it: the first row with the title, or a later one with a new identifier.
-        fresh = F.when(F.col("_doi").isNotNull(), F.row_number().over(by_doi) == 1).when(F.col("_eid").isNotNull(), F.row_number().over(by_eid) == 1).otherwise(F.lit(True))
-        marked = keyed.withColumn("_fresh", fresh)
-        earlier = F.max(F.when(F.col("_fresh"), 1).otherwise(0)).over(by_title.rowsBetween(Window.unboundedPreceding, -1)) == 1
-        by_title_only = ~F.col("has_id") & F.col("_title").isNotNull() & F.coalesce(earlier, F.lit(False))
-        return marked.withColumn("duplicate", ~F.col("_fresh") | by_title_only).drop("_doi", "_eid", "_title", "_fresh")
-
-    keys = keyed.select("row_no", F.explode(F.array_compact(F.array(F.concat(F.lit("d"), "_doi"), F.concat(F.lit("e"), "_eid"), F.concat(F.lit("t"), "_title")))).alias("key")).checkpoint()
-    groups = keys.select("row_no", F.col("row_no").alias("group")).distinct()
+    keyed = rows.select("row_no", F.lower("doi").alias("_doi"), F.lower("eid").alias("_eid"), title.alias("_title"), "has_id")
+    pairs = keyed.where("_doi is not null or _eid is not null").groupBy("_doi", "_eid").agg(F.min("row_no").alias("first"))
+    if pairs.where("_doi is not null and _eid is not null").isEmpty():
+        accepted = pairs.select("first")
+    else:
+        accepted = _settled(pairs).select("first")
+    by_id = keyed.join(accepted.select(F.col("first").alias("row_no"), F.lit(True).alias("_first")), "row_no", "left")
+    known = F.col("_doi").isNotNull() | F.col("_eid").isNotNull()
+    by_id = by_id.withColumn("_taken", F.when(known, F.coalesce("_first", F.lit(False))).otherwise(F.col("has_id")))
+    # The earliest row that takes a title: an accepted one with an identifier, or the first without any.
+    takers = by_id.where("_title is not null and (_taken or not has_id)").groupBy("_title").agg(F.min("row_no").alias("_taker"))
+    marked = by_id.join(takers, "_title", "left")
+    duplicate = F.when(F.col("has_id"), ~F.col("_taken")).otherwise(F.coalesce(F.col("_taker") < F.col("row_no"), F.lit(False)))
+    return rows.join(marked.select("row_no", duplicate.alias("duplicate")), "row_no")
+
+
+def _settled(pairs: DataFrame) -> DataFrame:
+    """The accepted ones of the distinct pairs (_doi, _eid, first), in order of their first rows."""
+    keys = pairs.select("first", F.explode(F.array_compact(F.array(F.concat(F.lit("d"), "_doi"), F.concat(F.lit("e"), "_eid")))).alias("key")).checkpoint()
+    groups = keys.select("first", F.col("first").alias("group")).distinct()
     while True:
-        least = keys.join(groups, "row_no").groupBy("key").agg(F.min("group").alias("least"))
-        moved = keys.join(least, "key").groupBy("row_no").agg(F.min("least").alias("least"))
-        after = groups.join(moved, "row_no").select("row_no", F.col("group").alias("was"), F.least("group", "least").alias("group")).checkpoint()
-        groups = after.select("row_no", "group")
+        least = keys.join(groups, "first").groupBy("key").agg(F.min("group").alias("least"))
+        moved = keys.join(least, "key").groupBy("first").agg(F.min("least").alias("to"))
+        # A group's own group is a step ahead: the way to the least row halves each time.
+        ahead = moved.join(groups.select(F.col("first").alias("to"), F.col("group").alias("beyond")), "to")
+        after = groups.join(ahead.select("first", F.least("to", "beyond").alias("to")), "first").select("first", F.col("group").alias("was"), F.least("group", "to").alias("group")).checkpoint()
+        groups = after.select("first", "group")
         if after.where("was <> group").isEmpty():
             break
 
-    def settle(batch: pd.DataFrame) -> pd.DataFrame:
-        seen: dict[str, set] = {"_doi": set(), "_eid": set(), "_title": set()}
-        out = []
-        for r in batch.sort_values("row_no").to_dict("records"):
-            duplicate = r["_doi"] in seen["_doi"] or r["_eid"] in seen["_eid"] or (not r["has_id"] and r["_title"] in seen["_title"])
-            out.append((r["row_no"], duplicate))
-            if not duplicate:
-                for k, values in seen.items():
-                    if isinstance(r[k], str):
-                        values.add(r[k])
-        return pd.DataFrame(out, columns=["row_no", "duplicate"])
-
-    grouped = keyed.join(groups, "row_no").select("row_no", "_doi", "_eid", "_title", "has_id", "group")
-    settled = grouped.groupBy("group").applyInPandas(settle, "row_no long, duplicate boolean")
-    return rows.join(settled, "row_no", "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))
+    def settle(batch):
+        dois, eids, out = set(), set(), []
+        for first, doi, eid in batch.sort_values("first")[["first", "_doi", "_eid"]].itertuples(index=False):
+            if doi in dois or eid in eids:
+                continue
+            out.append(first)
+            dois |= {doi} - {None}
+            eids |= {eid} - {None}
+        return pd.DataFrame({"first": out}, dtype="int64")
+
+    return pairs.join(groups, "first").groupBy("group").applyInPandas(settle, "first long")
 
 
 def backfilled(library: DataFrame, incoming: DataFrame) -> DataFrame:
