@@ -27,7 +27,7 @@ from .common import BYTE_VALUE, prefix_hash, span_hash, staged, table, utf8
 
 #: The cover has PRIME + 1 of PRIME^2 + PRIME + 1 residues.
 PRIME = 17
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 3 << 20
 #: Keys in a bucket, on average.
 BUCKET_KEYS = 1 << 20
 SAMPLE_KEY_BYTES, SUFFIX_KEY_BYTES = 5, 7
