@@ -73,7 +73,7 @@ def content_hash(spark, sf_dir):
 def stale_rows(spark, sf_dir):
     """Papers whose text is not the one that was embedded, or that were never embedded."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("now"))
-    held = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")).join(docs, "doc_id").where("doc_id % 5 <> 0").select("doc_id", F.col("now").alias("held"))
+    held = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")).join(docs, "doc_id").join(read(spark, sf_dir, "labels"), "doc_id", "left_semi").select("doc_id", F.col("now").alias("held"))
     return docs.join(held, "doc_id", "left").where("held is null or held <> now").select("doc_id")
 
 
@@ -125,22 +125,28 @@ def library_dedupe(spark, sf_dir):
     return importing.library_winners(library, F.sha2("text", 256))
 
 
+#: Which papers a provider knows, and of which it has an abstract.
+KNOWN = {2: ("lang = 'en'", "n_chars > 2000"), 3: ("lang in ('en', 'fr', 'de')", "n_chars > 1500"), 5: ("source < 'src5'", "false")}
+
+
 def enrichment_chain(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     own = docs.select(F.col("doc_id").alias("ref_id"), F.lit(None).cast("string").alias("abstract"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("source_title"), F.lit(None).cast("int").alias("year"), F.lit(None).cast("long").alias("citation_count"), F.lit(None).cast("string").alias("doi"))
 
-    def provider(k: int, abstracts: int):
-        return docs.where(f"doc_id % {k} = 0").select(
+    def provider(k: int):
+        known, with_abstract = KNOWN[k]
+        return docs.where(known).select(
             F.col("doc_id").alias("ref_id"),
-            F.when(F.col("doc_id") % abstracts == 0, F.concat(F.lit(f"p{k}:"), "lang")).alias("abstract"),
+            F.when(F.expr(with_abstract), F.concat(F.lit(f"p{k}:"), "lang")).alias("abstract"),
             F.lit(f"s{k}").alias("source_title"), F.lit(2000 + k).cast("int").alias("year"), F.col("n_chars").alias("citation_count"), F.concat(F.lit("10.1/"), "doc_id").alias("doi"),
         )
 
-    return importing.enriched(own, [("SCOPUS", provider(2, 6)), ("OPENALEX", provider(3, 9)), ("CROSSREF", provider(5, 10**9))])
+    return importing.enriched(own, [("SCOPUS", provider(2)), ("OPENALEX", provider(3)), ("CROSSREF", provider(5))])
 
 
 def _cache(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.sha2("text", 256).alias("sentence_hash"), "doc_id").groupBy("sentence_hash").agg(F.min("doc_id").alias("answer"))
+    """Answers for the texts of the labelled documents."""
+    return read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left_semi").select(F.sha2("text", 256).alias("sentence_hash"), "doc_id").groupBy("sentence_hash").agg(F.min("doc_id").alias("answer"))
 
 
 def cache_probe(spark, sf_dir):
@@ -237,11 +243,12 @@ _IMPORT = """r AS (SELECT o_orderkey AS row_no, CASE WHEN o_orderkey % 3 = 0 THE
   trim(regexp_replace(lower(concat(o_orderpriority, ' ', o_custkey % 500)), '[^a-z0-9]+', ' ', 'g')) AS title FROM orders),
 f AS (SELECT *, CASE WHEN doi IS NOT NULL THEN row_number() OVER (PARTITION BY doi ORDER BY row_no) = 1 WHEN eid IS NOT NULL THEN row_number() OVER (PARTITION BY eid ORDER BY row_no) = 1 ELSE true END AS fresh FROM r),
 d AS (SELECT row_no, NOT fresh OR (doi IS NULL AND eid IS NULL AND coalesce(bool_or(fresh) OVER (PARTITION BY title ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)) AS duplicate FROM f)"""
-_CACHE = "cache AS (SELECT sha256(text) AS sentence_hash, min(doc_id) AS answer FROM documents WHERE doc_id % 3 = 0 GROUP BY 1)"
+_CACHE = "cache AS (SELECT sha256(text) AS sentence_hash, min(doc_id) AS answer FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY 1)"
 
 
-def _provider(k: int, abstracts: int) -> str:
-    return f"p{k} AS (SELECT doc_id AS ref_id, CASE WHEN doc_id % {abstracts} = 0 THEN 'p{k}:' || lang END AS abstract, n_chars FROM documents WHERE doc_id % {k} = 0)"
+def _provider(k: int) -> str:
+    known, with_abstract = KNOWN[k]
+    return f"p{k} AS (SELECT doc_id AS ref_id, CASE WHEN {with_abstract} THEN 'p{k}:' || lang END AS abstract, n_chars FROM documents WHERE {known})"
 
 
 SQL = {
@@ -252,7 +259,7 @@ SQL = {
     "split_author_cells": f"WITH c AS (SELECT c_custkey, {_AUTHORS} AS cell FROM customer), k AS (SELECT c_custkey, regexp_replace({_CLEAN}, ',\\s([A-Z][a-z])', ';\\1', 'g') AS cell FROM c) SELECT c_custkey, array_to_string({_SPLIT.format(x='cell', p=';')}, '/') AS authors FROM k",
     "normalized_titles": "SELECT doc_id, sha256(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS title_hash FROM documents",
     "content_hash": "SELECT doc_id, sha256(split_part(text, chr(10), 1) || ' [SEP] ' || text || ' Keywords: ' || lang || '; ' || source) AS content_hash, sha256(regexp_replace(lower(trim(split_part(text, chr(10), 1))), '\\s+', ' ', 'g')) AS claim_hash FROM documents",
-    "stale_rows": "SELECT doc_id FROM documents WHERE NOT (doc_id IN (SELECT vec_id FROM embeddings) AND doc_id % 5 <> 0)",
+    "stale_rows": "SELECT doc_id FROM documents WHERE NOT (doc_id IN (SELECT vec_id FROM embeddings) AND doc_id IN (SELECT doc_id FROM labels))",
     "dedupe_import": f"WITH {_IMPORT} SELECT row_no, duplicate FROM d",
     "import_summary": f"WITH {_IMPORT} SELECT count(*) FILTER (WHERE row_no % 11 <> 0 AND NOT duplicate) AS imported, count(*) FILTER (WHERE row_no % 11 <> 0 AND duplicate) AS duplicates, count(*) FILTER (WHERE row_no % 11 = 0) AS invalid FROM d",
     "abstract_backfill": """WITH offer AS (SELECT '10.1/' || doc_id % 300 AS doi, arg_min(text, doc_id) AS a FROM documents WHERE length(text) >= 200 GROUP BY 1),
@@ -260,7 +267,7 @@ l AS (SELECT doc_id AS ref_id, '10.1/' || doc_id AS doi, CASE WHEN doc_id % 2 =
 j AS (SELECT ref_id, abstract, a, abstract IS NULL AND a IS NOT NULL AS fills FROM l LEFT JOIN offer USING (doi))
 SELECT ref_id, sha256(coalesce(abstract, a)) AS abstract_hash, CASE WHEN fills THEN 'ENRICHED' ELSE 'PENDING' END AS status, CASE WHEN fills THEN 'DATASET' END AS provider, fills AS stale FROM j""",
     "library_dedupe": """SELECT doc_id AS ref_id, first_value(doc_id) OVER (PARTITION BY text ORDER BY (doc_id IN (SELECT vec_id FROM embeddings)) DESC, (length(text) >= 200) DESC, doc_id % 97, doc_id) AS winner_id FROM documents""",
-    "enrichment_chain": f"""WITH {_provider(2, 6)}, {_provider(3, 9)}, {_provider(5, 10**9)},
+    "enrichment_chain": f"""WITH {_provider(2)}, {_provider(3)}, {_provider(5)},
 j AS (SELECT doc_id AS ref_id, source, p2.ref_id IS NOT NULL AS k2, p3.ref_id IS NOT NULL AND p2.abstract IS NULL AS k3, p5.ref_id IS NOT NULL AND p2.abstract IS NULL AND p3.abstract IS NULL AS k5, p2.abstract AS a2, p3.abstract AS a3, p5.abstract AS a5, d.n_chars
   FROM documents d LEFT JOIN p2 ON p2.ref_id = doc_id LEFT JOIN p3 ON p3.ref_id = doc_id LEFT JOIN p5 ON p5.ref_id = doc_id),
 o AS (SELECT *, CASE WHEN a2 IS NOT NULL THEN 'SCOPUS' WHEN a3 IS NOT NULL THEN 'OPENALEX' WHEN k5 AND a5 IS NOT NULL THEN 'CROSSREF' END AS provider FROM j)
