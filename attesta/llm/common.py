@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,7 +69,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE^0..BASE^n and the powers of its inverse, modulo 2^64."""
     if len(_powers.get("up", ())) <= n:
-        size = max(n + 1, SLICE_BYTES + (1 << 18))
+        size = max(n + 1, SLICE_BYTES + (1 << 17))
         for name, base in (("up", BASE), ("down", BASE_INVERSE)):
             p = np.full(size, base, np.uint64)
             p[0] = 1

@@ -26,7 +26,7 @@ from .components import components
 FRAGMENTS = 8
 #: Frequent is a shingle in so many documents of a run of so many bytes of text. At most so many, the most frequent ones,
 #: are told apart (8 bytes each go to every executor). It changes the order, and how many pairs are looked at; no result.
-FREQUENT, COUNT_BYTES, MOST_FREQUENT = 4, 24 << 20, 1 << 20
+FREQUENT, COUNT_BYTES, MOST_FREQUENT = 4, 6 << 20, 1 << 20
 #: Up to this many representatives' ids go to every executor (8 bytes each); beyond it their texts are joined.
 BROADCAST_IDS = 2 << 20
 LAST = np.uint64(1 << 63)
@@ -113,21 +113,25 @@ def _prefixes(docs: DataFrame, frequent, width: int, percent: int) -> DataFrame:
 def _fragments(docs: DataFrame, wanted: DataFrame, n_wanted: int, width: int) -> DataFrame:
     """cid, fragment, part: the sets of the wanted classes, from one document of each."""
 
-    @F.arrow_udf("struct<cid:long,parts:array<array<long>>>")
-    def cut(text: pa.Array) -> pa.Array:
-        cids, parts = [], []
-        for _, _, data, off in row_slices(text):
-            for x in shingles(data, off, width):
-                cids.append(set_id(x))
-                # Fragments of the order: the hash's highest bits, of frequent and other shingles alike.
-                edges = np.searchsorted(x, np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64(2**63 // FRAGMENTS))
-                parts.append([p.astype(np.int64) for p in np.split(x, edges)])
-        return pa.StructArray.from_arrays([pa.array(cids, pa.int64()), pa.array(parts, pa.list_(pa.list_(pa.int64())))], ["cid", "parts"])
+    # Fragments of the order: the hash's highest bits, of frequent and other shingles alike.
+    cuts = np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64(2**63 // FRAGMENTS)
+
+    def cut(batches):
+        for batch in batches:
+            want = batch.column("cid").to_numpy()
+            for i, j, data, off in row_slices(batch.column("text")):
+                sets = [(c, x) for c, x in zip(want[i:j], shingles(data, off, width), strict=True) if set_id(x) == c]
+                edges = [np.concatenate([[0], np.searchsorted(x, cuts), [len(x)]]) for _, x in sets]
+                size = np.diff(np.array(edges, np.int64).reshape(-1, FRAGMENTS + 1)).ravel()
+                cid = np.repeat(np.array([c for c, _ in sets], np.int64), FRAGMENTS)
+                fragment = np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(sets))
+                values = np.concatenate([np.zeros(0, np.uint64), *(x for _, x in sets)]).astype(np.int64)
+                held = size > 0
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size[held])]).astype(np.int32)), pa.array(values))
+                yield pa.RecordBatch.from_arrays([pa.array(cid[held]), pa.array(fragment[held]), lists], ["cid", "fragment", "part"])
 
     few = F.broadcast(wanted) if n_wanted <= BROADCAST_IDS else wanted
-    texts = docs.select(F.col("_js_row"), "text").join(few, "_js_row")
-    cut_up = texts.select(F.col("cid").alias("want"), cut("text").alias("s")).where("s.cid = want")
-    return cut_up.select("s.cid", F.posexplode("s.parts").alias("fragment", "part")).where(F.size("part") > 0)
+    return docs.select("_js_row", "text").join(few, "_js_row").select("cid", "text").mapInArrow(cut, "cid long, fragment int, part array<long>")
 
 
 def _alpha(percent: int):
