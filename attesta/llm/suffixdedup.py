@@ -11,7 +11,7 @@ task; the number of buckets grows with the text, so a task's memory does not.
 
 Equal keys inside one batch of documents are settled there: a batch sends any key once, so a string with any
 number of copies makes as many rows as there are batches. Before the second sort, documents that share a repeated
-sample are brought together, which settles most copies in this way.
+passage are brought together, which settles most copies in this way.
 """
 
 from __future__ import annotations
@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, prefix_hash, span_hash, staged, table, utf8
+from .common import BYTE_VALUE, prefix_hash, small_batches, span_hash, staged, table, utf8
 
 #: The cover has PRIME + 1 of PRIME^2 + PRIME + 1 residues.
 PRIME = 17
-BATCH_BYTES = 3 << 20
+SAMPLE_BATCH_BYTES, SUFFIX_BATCH_BYTES = 3 << 20, 3 << 19
+#: Documents are brought together by the least hash of windows of so many bytes near their repeated samples.
+ANCHOR_BYTES = 32
 #: Keys in a bucket, on average.
 BUCKET_KEYS = 1 << 20
 SAMPLE_KEY_BYTES, SUFFIX_KEY_BYTES = 5, 7
@@ -64,8 +66,8 @@ def cover_for(length: int) -> tuple[int, tuple[int, ...]]:
 
 SENT = "bucket int, keys binary, doc binary, pos binary, run binary, settled boolean"
 SENT_ARROW = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("doc", pa.binary()), ("pos", pa.binary()), ("run", pa.binary()), ("settled", pa.bool_())])
-TOLD = "doc_key long, pos binary, run binary, low long"
-TOLD_ARROW = pa.schema([("doc_key", pa.int64()), ("pos", pa.binary()), ("run", pa.binary()), ("low", pa.int64())])
+TOLD = "doc_key long, pos binary, run binary"
+TOLD_ARROW = pa.schema([("doc_key", pa.int64()), ("pos", pa.binary()), ("run", pa.binary())])
 
 
 def _packed(keys: np.ndarray, width: int) -> bytes:
@@ -110,18 +112,16 @@ def _send(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, buckets: int, widt
             rows.append((b, _packed(rest[at], width), doc[own].tobytes(), pos[own].astype(np.uint32).tobytes(), b"", False))
     d, p, r = _runs(doc[many], pos[many])
     if len(d):
-        low = np.minimum.reduceat(keys[many], np.cumsum(r) - r) >> np.uint64(1)
-        rows.append((int(d[0] % buckets), _packed(low, 8), d.tobytes(), p.astype(np.uint32).tobytes(), r.astype(np.uint32).tobytes(), True))
+        rows.append((int(d[0] % buckets), b"", d.tobytes(), p.astype(np.uint32).tobytes(), r.astype(np.uint32).tobytes(), True))
     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], f.type) for i, f in enumerate(SENT_ARROW)], schema=SENT_ARROW)
 
 
-def _by_document(doc: np.ndarray, pos: np.ndarray, run: np.ndarray, low: np.ndarray) -> pa.Table:
+def _by_document(doc: np.ndarray, pos: np.ndarray, run: np.ndarray) -> pa.Table:
     order = np.lexsort((pos, doc))
-    doc, pos, run, low = doc[order], pos[order], run[order], low[order]
+    doc, pos, run = doc[order], pos[order], run[order]
     first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
     cut = lambda x: [y.tobytes() for y in np.split(x.astype(np.uint32), first[1:])] if len(x) else []
-    lowest = np.minimum.reduceat(low, first).astype(np.int64) if len(first) else np.zeros(0, np.int64)
-    return pa.Table.from_arrays([pa.array(doc[first]), pa.array(cut(pos), pa.binary()), pa.array(cut(run), pa.binary()), pa.array(lowest)], schema=TOLD_ARROW)
+    return pa.Table.from_arrays([pa.array(doc[first]), pa.array(cut(pos), pa.binary()), pa.array(cut(run), pa.binary())], schema=TOLD_ARROW)
 
 
 def _sort_bucket(width: int):
@@ -129,11 +129,11 @@ def _sort_bucket(width: int):
 
     def settle(rows: pa.Table) -> pa.Table:
         keys, doc, pos, placed = [], [], [], []
-        done = [[], [], [], []]
+        done = [[], [], []]
         for row in rows.to_pylist():
             d, p = np.frombuffer(row["doc"], np.int64), np.frombuffer(row["pos"], np.uint32)
             if row["settled"]:
-                for out, x in zip(done, (d, p, np.frombuffer(row["run"], np.uint32), _unpacked(row["keys"], 8)), strict=True):
+                for out, x in zip(done, (d, p, np.frombuffer(row["run"], np.uint32)), strict=True):
                     out.append(x)
             else:
                 k = _unpacked(row["keys"], width)
@@ -141,7 +141,7 @@ def _sort_bucket(width: int):
                 doc.append(d)
                 pos.append(p)
                 placed.append(np.arange(len(k)) < len(d))
-        parts = [[np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(done, (np.int64, np.uint32, np.uint32, np.uint64), strict=True)]]
+        parts = [[np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(done, (np.int64, np.uint32, np.uint32), strict=True)]]
         if keys:
             k, placed = np.concatenate(keys), np.concatenate(placed)
             order = np.argsort(k, kind="stable")
@@ -151,25 +151,25 @@ def _sort_bucket(width: int):
             hit = np.zeros(len(k), bool)
             hit[order] = np.repeat(again, np.diff(np.append(first, len(s))))
             hit = hit[placed]
-            parts.append([np.concatenate(doc)[hit], np.concatenate(pos)[hit], np.ones(hit.sum(), np.uint32), k[placed][hit] >> np.uint64(1)])
+            parts.append([np.concatenate(doc)[hit], np.concatenate(pos)[hit], np.ones(hit.sum(), np.uint32)])
         return _by_document(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
     return settle
 
 
 def _again(sent: DataFrame, width: int) -> DataFrame:
-    """By document, the places (pos, run: lists of blobs) of its keys that stand elsewhere, and the least of these keys."""
+    """By document, the places (pos, run: lists of blobs) of its keys that stand elsewhere."""
     told = sent.groupBy("bucket").applyInArrow(_sort_bucket(width), TOLD)
-    return told.groupBy("doc_key").agg(F.collect_list("pos").alias("pos"), F.collect_list("run").alias("run"), F.min("low").alias("low"))
+    return told.groupBy("doc_key").agg(F.collect_list("pos").alias("pos"), F.collect_list("run").alias("run"))
 
 
-def _buffered(batches, columns: tuple[str, ...]):
-    """Batches of documents of about BATCH_BYTES: bytes, offsets, and the other columns as lists."""
+def _buffered(batches, columns: tuple[str, ...], most: int):
+    """Batches of documents of about ``most`` bytes: bytes, offsets, and the other columns."""
     for batch in batches:
         data, off = utf8(batch.column("text"))
         i = 0
         while i < batch.num_rows:
-            j = max(i + 1, int(np.searchsorted(off, off[i] + BATCH_BYTES, "right")) - 1)
+            j = max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1)
             yield data[off[i] : off[j]], off[i : j + 1] - off[i], [batch.column(c).slice(i, j - i) for c in columns]
             i = j
 
@@ -183,7 +183,7 @@ def _sample_keys(length: int, buckets: int):
     told_by = length - v + 1
 
     def send(batches):
-        for data, off, (doc_keys,) in _buffered(batches, ("doc_key",)):
+        for data, off, (doc_keys,) in _buffered(batches, ("doc_key",), SAMPLE_BATCH_BYTES):
             n = np.diff(off)
             # Every document's samples: the cover, again and again, up to where told_by bytes are left.
             rounds = np.maximum(0, (n - told_by) // v + 1) * (n >= length)
@@ -206,12 +206,11 @@ def _suffix_keys(length: int, buckets: int):
     v, _ = cover_for(length)
 
     def send(batches):
-        for data, off, (doc_keys, places, runs) in _buffered(batches, ("doc_key", "pos", "run")):
+        for data, off, (doc_keys, places, runs) in _buffered(batches, ("doc_key", "pos", "run"), SUFFIX_BATCH_BYTES):
             n = np.diff(off)
             near = np.zeros(len(data) + 1, np.int64)
             for i, (p, r) in enumerate(zip(places.to_pylist(), runs.to_pylist(), strict=True)):
-                p, r = _blobs(p), _blobs(r)
-                p = np.repeat(p, r) + (np.arange(r.sum()) - np.repeat(np.cumsum(r) - r, r))
+                p = _places(p, r)
                 np.add.at(near, off[i] + np.maximum(0, p - v + 1), 1)
                 np.add.at(near, off[i] + np.minimum(p + 1, n[i]), -1)
             at = np.flatnonzero(np.cumsum(near[:-1]) > 0)
@@ -225,6 +224,30 @@ def _suffix_keys(length: int, buckets: int):
     return send
 
 
+def _places(pos: list[bytes], run: list[bytes]) -> np.ndarray:
+    p, r = _blobs(pos), _blobs(run)
+    return np.repeat(p, r) + (np.arange(r.sum()) - np.repeat(np.cumsum(r) - r, r))
+
+
+def _anchor(told_by: int):
+    @F.arrow_udf("long")
+    def anchor(text: pa.Array, pos: pa.Array, run: pa.Array) -> pa.Array:
+        """The least hash of the windows inside the repeated samples' bytes: the same in documents that share most of them."""
+        out = []
+        width = min(ANCHOR_BYTES, told_by)
+        for t, p, r in zip(text, pos, run, strict=True):
+            data = np.frombuffer(t.as_buffer(), np.uint8)
+            p = _places(p.as_py(), r.as_py())
+            edge = np.zeros(len(data) + 1, np.int64)
+            np.add.at(edge, p, 1)
+            np.add.at(edge, p + told_by - width + 1, -1)
+            at = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+            out.append(int(span_hash(prefix_hash(BYTE_VALUE[data]), at, at + width).min() >> np.uint64(1)))
+        return pa.array(out, pa.int64())
+
+    return anchor
+
+
 def _key() -> Column:
     return F.xxhash64("doc_id", F.lit(0), "text")
 
@@ -232,15 +255,17 @@ def _key() -> Column:
 def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     """_sd_key, pos, run: for each document (by the hash of doc_id and text) with a string of ``length`` bytes that also
     starts elsewhere, where such strings start (blobs of first places and of how many follow one another)."""
+    small_batches(docs.sparkSession)
     v, cover = cover_for(length)
-    # Sizes by full pages of text: the number of buckets follows the input.
+    # The number of buckets follows the bytes of text.
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     keyed = docs.select(_key().alias("doc_key"), "text").where(F.octet_length("text") >= length)
     sent = keyed.mapInArrow(_sample_keys(length, max(1, size * len(cover) // v // BUCKET_KEYS)), SENT)
     near = staged(_again(sent, SAMPLE_KEY_BYTES), "sample-ranks")
     # Only texts with a repeated sample go on; the ids travel where they are few, else the texts are joined.
     some = keyed.join(F.broadcast(near.select("doc_key")), "doc_key", "left_semi") if near.count() <= BROADCAST_IDS else keyed
-    together = some.join(near, "doc_key").hint("rebalance", "low")
+    anchored = some.join(near, "doc_key").withColumn("anchor", _anchor(length - v + 1)("text", "pos", "run"))
+    together = anchored.hint("rebalance", "anchor").sortWithinPartitions("anchor")
     sent = together.select("doc_key", "text", "pos", "run").mapInArrow(_suffix_keys(length, max(1, size // 5 // BUCKET_KEYS)), SENT)
     return staged(_again(sent, SUFFIX_KEY_BYTES).select(F.col("doc_key").alias("_sd_key"), "pos", "run"), "repeats")
 
