@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NON_SPACE_BYTES, mixed, prefix_hash, row_slices, span_hash, staged, table, word_hashes, word_spans
+from .common import LOWER, NON_SPACE_BYTES, mixed, prefix_hash, row_slices, small_batches, span_hash, staged, table, word_hashes, word_spans
 from .components import components
 
 FRAGMENTS = 8
@@ -171,6 +171,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     no doc_id in reach component_id is null.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.drop("n_shingles", "component_id").withColumn("_js_row", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
 
     @F.arrow_udf("struct<cid:long,n:int>")
@@ -184,18 +185,22 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     shared = prefixes.groupBy("shingle").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low <> high").select("shingle")
     prefixes = staged(prefixes.join(shared, "shingle").distinct(), "prefixes")
 
-    # Texts of one document of each class that shares a prefix shingle.
-    wanted = staged(sized.join(prefixes.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.min("_js_row").alias("_js_row")), "wanted")
-    parts = staged(_fragments(docs, wanted, wanted.count(), width), "fragments")
-    if not parts.groupBy("cid", "fragment").count().where("count > 1").isEmpty():  # rows with one id and text
-        parts = staged(parts.dropDuplicates(["cid", "fragment"]), "fragments")
+    def verified(shared_rows: DataFrame) -> DataFrame:
+        pairs = staged(_promising(shared_rows, percent), "pairs")
+        either = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+        # Texts of one document of each class in a pair.
+        wanted = staged(sized.join(either, "cid", "left_semi").groupBy("cid").agg(F.min("_js_row").alias("_js_row")), "wanted")
+        parts = staged(_fragments(docs, wanted, wanted.count(), width), "fragments")
+        if not parts.groupBy("cid", "fragment").count().where("count > 1").isEmpty():  # rows with one id and text
+            parts = staged(parts.dropDuplicates(["cid", "fragment"]), "fragments")
+        return staged(_linked(pairs, parts, percent), "links")
 
     links, roots = None, None
     for pick in (F.min, F.max):
         rows = prefixes.withColumn("root", F.col("cid")) if roots is None else _with_roots(prefixes, roots)
         pivots = rows.groupBy("shingle").agg(pick(F.struct("cid", "n", "root")).alias("p"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").drop("low", "high")
         star = rows.join(pivots, "shingle").where("root <> p.root").select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b"), F.when(F.col("cid") < F.col("p.cid"), F.col("n")).otherwise(F.col("p.n")).alias("n_a"), F.when(F.col("cid") < F.col("p.cid"), F.col("p.n")).otherwise(F.col("n")).alias("n_b"))
-        found = staged(_linked(staged(_promising(star, percent), "pairs"), parts, percent), "links")
+        found = verified(star)
         links = found if links is None else links.unionByName(found)
         roots = components(links)
     # Every pair between components. A shingle's largest component is only ever one side of a pair.
@@ -205,7 +210,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     right = mixed_rows.select("shingle", F.col("cid").alias("cid2"), F.col("n").alias("n2"), F.col("root").alias("root2"), (F.col("root") == F.col("hub")).alias("of_hub"))
     across = mixed_rows.where("root <> hub").select("shingle", "cid", "n", "root").join(right, "shingle").where("root <> root2 and (of_hub or cid < cid2)")
     ordered = across.select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b"), F.expr("if(cid < cid2, n, n2)").alias("n_a"), F.expr("if(cid < cid2, n2, n)").alias("n_b"))
-    links = links.unionByName(staged(_linked(staged(_promising(ordered, percent), "pairs"), parts, percent), "links"))
+    links = links.unionByName(verified(ordered))
     roots = components(links)
 
     rooted = sized.where("n > 0").join(roots, F.col("cid") == F.col("node"), "left").select("doc_id", "cid", F.coalesce("root", "cid").alias("root"))
