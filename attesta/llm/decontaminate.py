@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import ALNUM_BYTES, LOWER, found_in, row_slices, staged, table, utf8, word_hashes, word_spans
+from .common import ALNUM_BYTES, LOWER, found_in, row_slices, small_batches, staged, table, utf8, word_hashes, word_spans
 
 #: Bytes of item text in one automaton. More items mean more automata, one pass each.
 BLOCK_BYTES = 4 << 20
@@ -215,6 +215,7 @@ def match_items(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes
     words match nothing. A column ``match`` of ``docs`` is replaced; others pass through.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     out = docs.withColumn("match", F.lit(None).cast(MATCH))
     for k, block in enumerate(_blocks(items, block_bytes)):
         held, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex

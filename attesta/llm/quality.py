@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_BYTES, BYTE_VALUE, LOWER, row_slices, table, window_hashes, word_hashes, word_spans
+from .common import ALNUM_BYTES, BYTE_VALUE, LOWER, row_slices, small_batches, table, window_hashes, word_hashes, word_spans
 from .toxicity import held_out, training_sample
 
 WORD_FEATURES = 1 << 15
@@ -92,6 +92,7 @@ def fit_ordinal(row, feature, value, grade: np.ndarray, n_grades: int, weight: n
 def fit_quality(docs: DataFrame, ratings: DataFrame, per_grade: int = TRAIN_DOCS, max_bytes: int = TRAIN_BYTES) -> OrdinalModel:
     """From ``ratings`` (doc_id, grade; up to 16 grades) of documents that aren't held out. With fewer than two
     grades every document gets the grade there is (0 where there is none)."""
+    small_batches(docs.sparkSession)
     sample = training_sample(docs, ratings, F.col("grade"), per_grade, max_bytes)
     schema = "grade int, feature array<int>, value array<float>"
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, named_batch, row_slices, slices, table
+from .common import LOWER, named_batch, row_slices, slices, small_batches, table
 
 #: The models and the curve are fitted on this many labelled documents of each class at most, of this many bytes of
 #: text each at most: those with the smallest hashes of their ids. It bounds the models' size on driver and executors.
@@ -174,6 +174,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS
     """The models and the curve, from ``labels`` (doc_id, toxic) of documents that aren't held out and the text of all
     ``docs``. Three quarters of the labelled sample go into the models, the rest into the curve. Without
     documents of both classes every score is the share of toxic ones (0.5 where there are none)."""
+    small_batches(docs.sparkSession)
     sample = training_sample(docs, labels, F.col("toxic"), per_class, max_bytes).select("doc_id", "text", (F.col("grade") > 0).cast("long").alias("toxic")).persist()
     tuning = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(4)) == 0
     found = sample.where(~tuning).select("toxic", "text").mapInArrow(_class_counts, GRAMS).groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toArrow()
