@@ -30,8 +30,9 @@ PRIME = 17
 SAMPLE_BATCH_BYTES, SUFFIX_BATCH_BYTES = 3 << 20, 3 << 19
 #: Documents are brought together by the least hash of windows of so many bytes near their repeated samples.
 ANCHOR_BYTES = 32
-#: Keys in a bucket, on average.
+#: Keys in a bucket, on average, and bytes of the documents whose places are gathered in one task.
 BUCKET_KEYS = 1 << 20
+HOME_BYTES = 4 << 20
 SAMPLE_KEY_BYTES, SUFFIX_KEY_BYTES = 5, 7
 
 
@@ -66,8 +67,9 @@ def cover_for(length: int) -> tuple[int, tuple[int, ...]]:
 
 SENT = "bucket int, keys binary, doc binary, pos binary, run binary, settled boolean"
 SENT_ARROW = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("doc", pa.binary()), ("pos", pa.binary()), ("run", pa.binary()), ("settled", pa.bool_())])
-TOLD = "doc_key long, pos binary, run binary"
-TOLD_ARROW = pa.schema([("doc_key", pa.int64()), ("pos", pa.binary()), ("run", pa.binary())])
+TOLD = "home int, doc binary, pos binary, run binary"
+PLACES = "doc_key long, pos binary, run binary"
+PLACES_ARROW = pa.schema([("doc_key", pa.int64()), ("pos", pa.binary()), ("run", pa.binary())])
 
 
 def _packed(keys: np.ndarray, width: int) -> bytes:
@@ -116,15 +118,31 @@ def _send(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, buckets: int, widt
     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], f.type) for i, f in enumerate(SENT_ARROW)], schema=SENT_ARROW)
 
 
-def _by_document(doc: np.ndarray, pos: np.ndarray, run: np.ndarray) -> pa.Table:
+def _by_home(doc: np.ndarray, pos: np.ndarray, run: np.ndarray, homes: int) -> pa.Table:
+    """One row for each home group of documents: its documents' places."""
+    home = np.mod(doc, homes).astype(np.int32)
+    order = np.lexsort((pos, doc, home))
+    first = np.flatnonzero(np.diff(home[order], prepend=-1))
+    cut = lambda x: [y.tobytes() for y in np.split(x[order], first[1:])] if len(first) else []
+    columns = [pa.array(home[order][first], pa.int32()), *(pa.array(cut(x), pa.binary()) for x in (doc, pos.astype(np.uint32), run.astype(np.uint32)))]
+    return pa.Table.from_arrays(columns, names=["home", "doc", "pos", "run"])
+
+
+def _at_home(rows: pa.Table) -> pa.Table:
+    """One row for each document of a home group: its places, as runs."""
+    doc, pos, run = (np.frombuffer(b"".join(rows.column(c).to_pylist()), t) for c, t in (("doc", np.int64), ("pos", np.uint32), ("run", np.uint32)))
     order = np.lexsort((pos, doc))
-    doc, pos, run = doc[order], pos[order], run[order]
-    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-    cut = lambda x: [y.tobytes() for y in np.split(x.astype(np.uint32), first[1:])] if len(x) else []
-    return pa.Table.from_arrays([pa.array(doc[first]), pa.array(cut(pos), pa.binary()), pa.array(cut(run), pa.binary())], schema=TOLD_ARROW)
+    doc, pos, run = doc[order], pos[order].astype(np.int64), run[order].astype(np.int64)
+    # Places that follow one another become one run; those told twice stay apart, which does no harm.
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + run[:-1])])
+    head = np.flatnonzero(new)
+    doc, pos, run = doc[head], pos[head], np.add.reduceat(run, head)
+    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    cut = lambda x: [y.tobytes() for y in np.split(x.astype(np.uint32), first[1:])]
+    return pa.Table.from_arrays([pa.array(doc[first]), pa.array(cut(pos), pa.binary()), pa.array(cut(run), pa.binary())], schema=PLACES_ARROW)
 
 
-def _sort_bucket(width: int):
+def _sort_bucket(width: int, homes: int):
     """Sorts one bucket; the places of keys that it has more than once."""
 
     def settle(rows: pa.Table) -> pa.Table:
@@ -152,15 +170,14 @@ def _sort_bucket(width: int):
             hit[order] = np.repeat(again, np.diff(np.append(first, len(s))))
             hit = hit[placed]
             parts.append([np.concatenate(doc)[hit], np.concatenate(pos)[hit], np.ones(hit.sum(), np.uint32)])
-        return _by_document(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        return _by_home(*(np.concatenate(x) for x in zip(*parts, strict=True)), homes)
 
     return settle
 
 
-def _again(sent: DataFrame, width: int) -> DataFrame:
-    """By document, the places (pos, run: lists of blobs) of its keys that stand elsewhere."""
-    told = sent.groupBy("bucket").applyInArrow(_sort_bucket(width), TOLD)
-    return told.groupBy("doc_key").agg(F.collect_list("pos").alias("pos"), F.collect_list("run").alias("run"))
+def _again(sent: DataFrame, width: int, homes: int) -> DataFrame:
+    """By document, the places (pos, run: blobs of first places and of how many follow) of its keys that stand elsewhere."""
+    return sent.groupBy("bucket").applyInArrow(_sort_bucket(width, homes), TOLD).groupBy("home").applyInArrow(_at_home, PLACES)
 
 
 def _buffered(batches, columns: tuple[str, ...], most: int):
@@ -174,8 +191,8 @@ def _buffered(batches, columns: tuple[str, ...], most: int):
             i = j
 
 
-def _blobs(lists: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(lists), np.uint32).astype(np.int64)
+def _blob(x: bytes | None) -> np.ndarray:
+    return np.frombuffer(x or b"", np.uint32).astype(np.int64)
 
 
 def _sample_keys(length: int, buckets: int):
@@ -224,8 +241,8 @@ def _suffix_keys(length: int, buckets: int):
     return send
 
 
-def _places(pos: list[bytes], run: list[bytes]) -> np.ndarray:
-    p, r = _blobs(pos), _blobs(run)
+def _places(pos: bytes, run: bytes) -> np.ndarray:
+    p, r = _blob(pos), _blob(run)
     return np.repeat(p, r) + (np.arange(r.sum()) - np.repeat(np.cumsum(r) - r, r))
 
 
@@ -261,13 +278,14 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     keyed = docs.select(_key().alias("doc_key"), "text").where(F.octet_length("text") >= length)
     sent = keyed.mapInArrow(_sample_keys(length, max(1, size * len(cover) // v // BUCKET_KEYS)), SENT)
-    near = staged(_again(sent, SAMPLE_KEY_BYTES), "sample-ranks")
+    homes = max(1, size // HOME_BYTES)
+    near = staged(_again(sent, SAMPLE_KEY_BYTES, homes), "sample-ranks")
     # Only texts with a repeated sample go on; the ids travel where they are few, else the texts are joined.
     some = keyed.join(F.broadcast(near.select("doc_key")), "doc_key", "left_semi") if near.count() <= BROADCAST_IDS else keyed
     anchored = some.join(near, "doc_key").withColumn("anchor", _anchor(length - v + 1)("text", "pos", "run"))
     together = anchored.hint("rebalance", "anchor").sortWithinPartitions("anchor")
     sent = together.select("doc_key", "text", "pos", "run").mapInArrow(_suffix_keys(length, max(1, size // 5 // BUCKET_KEYS)), SENT)
-    return staged(_again(sent, SUFFIX_KEY_BYTES).select(F.col("doc_key").alias("_sd_key"), "pos", "run"), "repeats")
+    return staged(_again(sent, SUFFIX_KEY_BYTES, homes).select(F.col("doc_key").alias("_sd_key"), "pos", "run"), "repeats")
 
 
 #: Up to this many ids (8 bytes each) go to every executor.
@@ -291,7 +309,7 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
         kept, spans = [], []
         for t, p, r in zip(text, pos.to_pylist(), run.to_pylist(), strict=True):
             data = np.frombuffer((t.as_py() or "").encode(), np.uint8)
-            p, r = _blobs(p), _blobs(r)
+            p, r = _blob(p), _blob(r)
             edge = np.zeros(len(data) + 1, np.int64)
             np.add.at(edge, p, 1)
             np.add.at(edge, np.minimum(p + r - 1 + length, len(data)), -1)
@@ -310,7 +328,7 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
         ids = F.broadcast(repeats.select("_sd_key"))
         hit = keyed.join(ids, "_sd_key", "left_semi").join(repeats, "_sd_key").withColumn("_sd", cut("text", "pos", "run"))
         return finished(keyed.join(ids, "_sd_key", "left_anti"), whole, none).unionByName(finished(hit, F.col("_sd.kept"), F.col("_sd.spans")))
-    joined = keyed.join(repeats, "_sd_key", "left").withColumns({"pos": F.coalesce("pos", F.array().cast("array<binary>")), "run": F.coalesce("run", F.array().cast("array<binary>"))})
+    joined = keyed.join(repeats, "_sd_key", "left")
     return finished(joined.withColumn("_sd", cut("text", "pos", "run")), F.col("_sd.kept"), F.col("_sd.spans"))
 
 
