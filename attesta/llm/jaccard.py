@@ -7,8 +7,8 @@ pairs that pass, the order is cut into fragments, each fragment's overlap is cou
 the partial counts are summed per pair.
 
 Only components are asked for, so pairs inside one need no look. Documents with equal sets
-are one class from the start. Two rounds link the classes that share a prefix shingle with
-one pivot; the last round takes every pair of classes between different components, where
+are one class from the start. A first round links the classes that share a prefix shingle with
+two pivots; the second takes every pair of classes between different components, where
 the largest component of a shingle never meets itself. A large group of near copies costs
 a few links each instead of all its pairs, and no link between components is lost.
 """
@@ -195,14 +195,18 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
             parts = staged(parts.dropDuplicates(["cid", "fragment"]), "fragments")
         return staged(_linked(pairs, parts, percent), "links")
 
-    links, roots = None, None
-    for pick in (F.min, F.max):
-        rows = prefixes.withColumn("root", F.col("cid")) if roots is None else _with_roots(prefixes, roots)
-        pivots = rows.groupBy("shingle").agg(pick(F.struct("cid", "n", "root")).alias("p"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").drop("low", "high")
-        star = rows.join(pivots, "shingle").where("root <> p.root").select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b"), F.when(F.col("cid") < F.col("p.cid"), F.col("n")).otherwise(F.col("p.n")).alias("n_a"), F.when(F.col("cid") < F.col("p.cid"), F.col("p.n")).otherwise(F.col("n")).alias("n_b"))
-        found = verified(star)
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
+    def linked_with(pivot: str) -> DataFrame:
+        """Each class with the pivot of each of its prefix shingles."""
+        first = F.col("cid") < F.col("p.cid")
+        n_a, n_b = F.when(first, F.col("n")).otherwise(F.col("p.n")), F.when(first, F.col("p.n")).otherwise(F.col("n"))
+        return prefixes.join(pivots.select("shingle", F.col(pivot).alias("p")), "shingle").where("cid <> p.cid").select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b"), n_a.alias("n_a"), n_b.alias("n_b"))
+
+    # In a group of near copies the text that the others were made from shares the most: its prefix has the shingles of the most classes.
+    spread = prefixes.groupBy("shingle").agg(F.count(F.lit(1)).alias("in_classes"))
+    central = prefixes.join(spread, "shingle").groupBy("cid").agg(F.sum("in_classes").alias("central"))
+    pivots = prefixes.join(central, "cid").groupBy("shingle").agg(F.max(F.struct("central", "cid", "n")).alias("center"), F.min(F.struct("cid", "n")).alias("low"))
+    links = verified(linked_with("center").unionByName(linked_with("low")))
+    roots = components(links)
     # Every pair between components. A shingle's largest component is only ever one side of a pair.
     rows = staged(_with_roots(prefixes, roots), "rooted")
     sizes = rows.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("shingle").agg(F.max_by("root", F.struct("k", "root")).alias("hub"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
@@ -210,8 +214,9 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     right = mixed_rows.select("shingle", F.col("cid").alias("cid2"), F.col("n").alias("n2"), F.col("root").alias("root2"), (F.col("root") == F.col("hub")).alias("of_hub"))
     across = mixed_rows.where("root <> hub").select("shingle", "cid", "n", "root").join(right, "shingle").where("root <> root2 and (of_hub or cid < cid2)")
     ordered = across.select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b"), F.expr("if(cid < cid2, n, n2)").alias("n_a"), F.expr("if(cid < cid2, n2, n)").alias("n_b"))
-    links = links.unionByName(verified(ordered))
-    roots = components(links)
+    more = verified(ordered)
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
 
     rooted = sized.where("n > 0").join(roots, F.col("cid") == F.col("node"), "left").select("doc_id", "cid", F.coalesce("root", "cid").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("_js_least"))
