@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Of text in one Arrow batch between Spark and Python. Spark's own limits, 10,000 rows and 64 MB, hold several copies
 #: of tens of megabytes in the executor and in each Python worker.
 ARROW_BYTES = 4 << 20

@@ -26,7 +26,7 @@ from .components import components
 FRAGMENTS = 8
 #: Frequent is a shingle in so many documents of a run of so many bytes of text. At most so many, the most frequent ones,
 #: are told apart (8 bytes each go to every executor). It changes the order, and how many pairs are looked at; no result.
-FREQUENT, COUNT_BYTES, MOST_FREQUENT = 4, 6 << 20, 1 << 20
+FREQUENT, COUNT_BYTES, MOST_FREQUENT = 4, 3 << 20, 1 << 20
 #: Up to this many representatives' ids go to every executor (8 bytes each); beyond it their texts are joined.
 BROADCAST_IDS = 2 << 20
 LAST = np.uint64(1 << 63)
