@@ -2,8 +2,10 @@
 
 A document's score comes from the difference of its two log-likelihoods a byte. The models
 predict each byte of the lower-cased text from the three before it and discount what their
-class has seen; the mass that is left goes to a shared Kneser-Ney model with the counts of all
-documents, so expressions that are rare in the labelled text weigh nearly the same in either. (Models of whole words rank held-out documents far worse
+class has seen; the mass that is left goes to a shared Kneser-Ney model, so expressions that are
+rare in the labelled text weigh nearly the same in either. Its continuation counts, down to single
+bytes, come from the table of all runs of five bytes in all documents, which stays in Spark and grows with
+them; the labelled sample only looks up what it needs. (Models of whole words rank held-out documents far worse
 here: most words are rare, and toxic wordings also show in parts of words.) A logistic
 curve, fitted on labelled documents that the models have not seen, turns the difference into
 a probability.
@@ -15,10 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, named_batch, row_slices, slices, small_batches, table
+from .common import LOWER, named_batch, row_slices, slices, small_batches, staged, table
 
 #: The models and the curve are fitted on this many labelled documents of each class at most, of this many bytes of
 #: text each at most: those with the smallest hashes of their ids. It bounds the models' size on driver and executors.
@@ -26,6 +28,10 @@ TRAIN_DOCS = 4000
 TRAIN_BYTES = 1 << 16
 DISCOUNT = 0.75
 ORDER = 4
+#: The runs of bytes whose first bytes are counted in the continuation counts of the shared model's highest order.
+LONG = ORDER + 1
+#: Runs that a task holds before it hands them on.
+HELD_GRAMS = 1 << 20
 #: Added to a text's length when the ratio is divided by it: a few bytes alone tell little.
 FLOOR_BYTES = 64
 
@@ -60,9 +66,9 @@ class ToxicityModel:
 
 
 def _padded(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lower-cased documents with three spaces before each, and where each starts behind them."""
+    """The lower-cased documents with four spaces before each, and where each starts behind them."""
     n = len(off) - 1
-    pad = ORDER - 1
+    pad = LONG - 1
     out = np.full(len(data) + pad * n, 32, np.uint8)
     out[np.arange(len(data)) + np.repeat(pad * np.arange(1, n + 1), np.diff(off))] = LOWER[data]
     return out, off[:-1] + pad * np.arange(1, n + 1)
@@ -102,36 +108,55 @@ def _class_counts(batches):
             at += part.num_rows
 
 
-COUNTS_ARROW = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
+GRAM_ARROW = pa.schema([("gram", pa.int64())])
 
 
-def _shared_counts(docs: DataFrame, frame: ToxicityModel) -> np.ndarray:
-    """How often each next byte follows each context of ``frame`` in all documents."""
-    held = docs.sparkSession.sparkContext.broadcast(frame)
-
-    def count(batches):
-        rows, size = len(held.value.llr), held.value.size
-        total = np.zeros(rows * size, np.int64)
+def _long_grams(most: int):
+    def grams(batches):
+        held = np.zeros(0, np.int64)
         for batch in batches:
             for _, data, off in slices(batch):
                 text, starts = _padded(data, off)
                 if len(text):
-                    row, code = held.value.cells(text)
-                    total += np.bincount((row * size + code)[_inner(text, off, starts)], minlength=rows * size)
-        seen = np.flatnonzero(total)
-        yield named_batch(COUNTS_ARROW, cell=seen, n=total[seen])
+                    held = np.union1d(held, _grams(text, LONG)[_inner(text, off, starts)])
+                if len(held) > most:
+                    yield named_batch(GRAM_ARROW, gram=held)
+                    held = held[:0]
+        yield named_batch(GRAM_ARROW, gram=held)
+
+    return grams
+
+
+def _last(gram: Column, k: int) -> Column:
+    return gram.bitwiseAND(F.lit((1 << 8 * k) - 1))
 
-    found = docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(frame.llr.size)
-    out[found["cell"].to_numpy()] = found["n"].to_numpy()
-    return out.reshape(frame.llr.shape)
 
+def continuations(docs: DataFrame) -> list[DataFrame]:
+    """For each order from 1 to ORDER: gram, n, by how many different bytes it is preceded in all ``docs``, and the sum
+    (whole) and number (kinds) of n over the grams of its context."""
+    long = docs.select("text").mapInArrow(_long_grams(HELD_GRAMS), "gram long").distinct()
+    counts = [staged(long.groupBy(_last(F.col("gram"), ORDER).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "grams")]
+    for k in range(ORDER - 1, 0, -1):
+        counts.insert(0, counts[0].groupBy(_last(F.col("gram"), k).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+    context = Window.partitionBy(F.shiftright("gram", 8))  # of 256 grams at most
+    return [c.withColumns({"whole": F.sum("n").over(context), "kinds": F.count(F.lit(1)).over(context)}) for c in counts]
 
-def _discounted(counts: np.ndarray, backoff: np.ndarray) -> np.ndarray:
-    """By row, the discounted probabilities of the counts, and backoff for the mass that is left."""
-    whole = counts.sum(1, keepdims=True)
-    left = np.where(whole > 0, np.minimum(counts, DISCOUNT).sum(1, keepdims=True) / np.maximum(whole, 1), 1)
-    return np.maximum(counts - DISCOUNT, 0) / np.maximum(whole, 1) + left * backoff
+
+def _with_continuations(grams: DataFrame, docs: DataFrame) -> DataFrame:
+    """``grams`` with n, whole and kinds of their last k bytes, for each k from 1 to ORDER."""
+    for k, counts in enumerate(continuations(docs), 1):
+        counts = counts.select(F.col("gram").alias("_last"), *(F.col(c).alias(f"{c}{k}") for c in ("n", "whole", "kinds")))
+        grams = grams.join(counts, _last(F.col("gram"), k) == F.col("_last"), "left").drop("_last")
+    return grams
+
+
+def _shared(found: pa.Table) -> np.ndarray:
+    """By gram, the shared model's probability of its last byte after the others."""
+    out = np.full(found.num_rows, 1 / 256)
+    for k in range(1, ORDER + 1):
+        n, whole, kinds = (found[f"{c}{k}"].to_numpy() for c in ("n", "whole", "kinds"))
+        out = (n - DISCOUNT + DISCOUNT * kinds * out) / whole
+    return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -177,7 +202,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS
     small_batches(docs.sparkSession)
     sample = training_sample(docs, labels, F.col("toxic"), per_class, max_bytes).select("doc_id", "text", (F.col("grade") > 0).cast("long").alias("toxic")).persist()
     tuning = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(4)) == 0
-    found = sample.where(~tuning).select("toxic", "text").mapInArrow(_class_counts, GRAMS).groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toArrow()
+    grams = sample.where(~tuning).select("toxic", "text").mapInArrow(_class_counts, GRAMS).groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    found = _with_continuations(grams, docs).toArrow()
     gram = found["gram"].to_numpy()
     code = np.zeros(256, np.int64)
     used = np.unique(np.concatenate([(gram >> 8 * i) & 255 for i in range(ORDER)])).astype(np.int64)
@@ -188,15 +214,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS
     row = np.full(size**3, len(contexts), np.int32)  # the last row: contexts that the sample lacks
     row[contexts] = np.arange(len(contexts))
     model = ToxicityModel(code.astype(np.int16), size, row, np.zeros((len(contexts) + 1, size), np.float32))
-    everywhere = _shared_counts(docs, model)[:-1]
-    pair = contexts % (size * size)
-    follows = np.zeros((size * size, size))  # in how many contexts: the continuation counts
-    np.add.at(follows, pair, everywhere > 0)
-    shared = _discounted(everywhere, _discounted(follows, np.full((1, size), 1 / size))[pair])
-    toxic, ordinary = np.zeros_like(shared), np.zeros_like(shared)
-    for counts, name in ((toxic, "toxic"), (ordinary, "ordinary")):
-        counts[of, byte] = found[name].to_numpy()
-    model.llr[:-1] = np.log(_discounted(toxic, shared) / _discounted(ordinary, shared))
+    shared, seen, left = _shared(found), [], []
+    for name in ("toxic", "ordinary"):
+        n = found[name].to_numpy()
+        whole = np.bincount(of, n, len(contexts))
+        left.append(np.where(whole > 0, np.bincount(of, np.minimum(n, DISCOUNT), len(contexts)) / np.maximum(whole, 1), 1))
+        seen.append(np.maximum(n - DISCOUNT, 0) / np.maximum(whole, 1)[of] + left[-1][of] * shared)
+    # Of a byte that neither class has after a context, both have their left mass times the same shared probability, which
+    # cancels out; of a context that neither has, both have the shared probability alone, and the ratio's log is 0.
+    model.llr[:-1] = np.log(left[0] / left[1])[:, None]
+    model.llr[of, byte] = np.log(seen[0] / seen[1])
     ratio = ratio_udf(model, sample.sparkSession)
     tune = sample.where(tuning).select("toxic", ratio("text").alias("ratio")).toPandas()
     # The sample is balanced, documents are not: weigh the curve by the classes' share among all labels.

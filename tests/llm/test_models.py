@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -103,6 +104,54 @@ def test_toxicity_without_labels_or_documents(spark, labelled):
     assert toxicity.with_toxicity(empty, toxicity.fit_toxicity(empty, labels)).count() == 0
 
 
+def brute_shared(texts):
+    """Probability of a run's last byte after the others, with the continuation counts of all texts."""
+    padded = [b" " * 4 + t.lower().encode() for t in texts if t]
+    kinds = {5: {t[i - 4 : i + 1] for t in padded for i in range(4, len(t))}}
+    for k in (4, 3, 2, 1):
+        kinds[k] = {g[1:] for g in kinds[k + 1]}
+    before = {k: Counter(g[1:] for g in kinds[k + 1]) for k in (1, 2, 3, 4)}
+    whole = {k: Counter() for k in before}
+    after = {k: Counter(g[:-1] for g in kinds[k]) for k in before}
+    for k, counts in before.items():
+        for g, n in counts.items():
+            whole[k][g[:-1]] += n
+
+    def p(g):
+        k = len(g)
+        return 1 / 256 if not k else (before[k][g] - 0.75 + 0.75 * after[k][g[:-1]] * p(g[1:])) / whole[k][g[:-1]]
+
+    return p
+
+
+@pytest.mark.parametrize("held", [1 << 20, 50])
+def test_shared_model_counts_all_documents(spark, monkeypatch, held):
+    """Contexts and bytes that the labelled sample lacks count too."""
+    monkeypatch.setattr(toxicity, "HELD_GRAMS", held, raising=False)
+    texts = [" ".join(prose(i, 12).split() + ["vermin"] * (i % 2)) for i in range(40)]
+    others = [None, "", "x", "\u017eermin \u01c6ermin Germin %ermin 5vermin", "the qvermin #vermin", "\u00e9t\u00e9 \u65e5\u672c\u8a9e vermin"]
+    docs = spark.createDataFrame(list(enumerate(texts + others)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels)
+    tuned = {r.doc_id for r in docs.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(4)) == 0).select("doc_id").collect()}
+    shared, counts = brute_shared(texts + others), ({}, {})
+    for i, t in enumerate(texts):
+        padded = b"   " + t.lower().encode()
+        for j in range(3, len(padded)) if i not in tuned and not is_held_out(i) else ():
+            of = counts[i % 2].setdefault(padded[j - 3 : j], Counter())
+            of[padded[j]] += 1
+    assert all(counts)
+    for context in set(counts[0]) | set(counts[1]):
+        for byte in range(256):
+            p = []
+            for seen in counts:
+                of = seen.get(context)
+                back = shared(context + bytes([byte])) if any(byte in s.get(context, ()) for s in counts) else 1.0
+                p.append(back if of is None else (max(of[byte] - 0.75, 0) + 0.75 * len(of) * back) / of.total())
+            row, code = model.cells(np.frombuffer(context + bytes([byte]), np.uint8))
+            assert abs(model.llr[row[3], code[3]] - np.log(p[1] / p[0])) < 1e-4, (context, byte)
+
+
 def test_quality_grades_are_told_apart(spark, labelled):
     docs, labels = labelled
     ratings = labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2).alias("grade"))
