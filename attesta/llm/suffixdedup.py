@@ -23,17 +23,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, prefix_hash, small_batches, span_hash, staged, table, utf8
+from .common import BYTE_VALUE, discard, prefix_hash, small_batches, span_hash, staged, table, unused, utf8
 
 #: The cover has PRIME + 1 of PRIME^2 + PRIME + 1 residues.
 PRIME = 17
-SAMPLE_BATCH_BYTES, SUFFIX_BATCH_BYTES = 3 << 20, 3 << 19
+SAMPLE_BATCH_BYTES, SUFFIX_BATCH_BYTES = 3 << 19, 3 << 19
 #: Documents are brought together by the least hash of windows of so many bytes near their repeated samples.
 ANCHOR_BYTES = 32
 #: Keys in a bucket, on average, and bytes of the documents whose places are gathered in one task.
 BUCKET_KEYS = 1 << 20
 HOME_BYTES = 4 << 20
-SAMPLE_KEY_BYTES, SUFFIX_KEY_BYTES = 5, 7
+SAMPLE_KEY_BYTES, SUFFIX_KEY_BYTES = 5, 8
+#: For passages that repeat but are shorter than the strings removed: windows of so many bytes (some
+#: thirty words), of which those count whose hash is divisible by the second number.
+WINDOW_BYTES, WINDOW_EVERY = 208, 32
+#: Windows that are hashed at once.
+WINDOW_RUN = 1 << 17
 
 
 @lru_cache
@@ -219,6 +224,27 @@ def _sample_keys(length: int, buckets: int):
     return send
 
 
+def _window_keys(buckets: int):
+    def send(batches):
+        for data, off, (doc_keys,) in _buffered(batches, ("doc_key",), SAMPLE_BATCH_BYTES):
+            prefix, chosen, found = prefix_hash(BYTE_VALUE[data]), [], []
+            for i in range(0, len(data) - WINDOW_BYTES + 1, WINDOW_RUN):
+                at = np.arange(i, min(i + WINDOW_RUN, len(data) - WINDOW_BYTES + 1))
+                keys = span_hash(prefix, at, at + WINDOW_BYTES)
+                mine = keys % np.uint64(WINDOW_EVERY) == 0
+                chosen.append(at[mine])
+                found.append(keys[mine] // np.uint64(WINDOW_EVERY))
+            at = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
+            doc = np.searchsorted(off, at, "right") - 1
+            inside = at + WINDOW_BYTES <= off[doc + 1]
+            at, doc = at[inside], doc[inside]
+            if len(at):
+                keys = np.concatenate(found)[inside]
+                yield from _send(keys, doc_keys.to_numpy()[doc], at - off[doc], buckets, SAMPLE_KEY_BYTES)
+
+    return send
+
+
 def _suffix_keys(length: int, buckets: int):
     v, _ = cover_for(length)
 
@@ -270,13 +296,13 @@ def _key() -> Column:
 
 
 def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
-    """_sd_key, pos, run: for each document (by the hash of doc_id and text) with a string of ``length`` bytes that also
+    """doc_key, pos, run: for each document (by the hash of doc_id and text) with a string of ``length`` bytes that also
     starts elsewhere, where such strings start (blobs of first places and of how many follow one another)."""
     small_batches(docs.sparkSession)
     v, cover = cover_for(length)
-    # The number of buckets follows the bytes of text.
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    size = _bytes_of(docs)
     keyed = docs.select(_key().alias("doc_key"), "text").where(F.octet_length("text") >= length)
+    # The number of buckets follows the bytes of text.
     sent = keyed.mapInArrow(_sample_keys(length, max(1, size * len(cover) // v // BUCKET_KEYS)), SENT)
     homes = max(1, size // HOME_BYTES)
     near = staged(_again(sent, SAMPLE_KEY_BYTES, homes), "sample-ranks")
@@ -285,7 +311,28 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     anchored = some.join(near, "doc_key").withColumn("anchor", _anchor(length - v + 1)("text", "pos", "run"))
     together = anchored.hint("rebalance", "anchor").sortWithinPartitions("anchor")
     sent = together.select("doc_key", "text", "pos", "run").mapInArrow(_suffix_keys(length, max(1, size // 5 // BUCKET_KEYS)), SENT)
-    return staged(_again(sent, SUFFIX_KEY_BYTES, homes).select(F.col("doc_key").alias("_sd_key"), "pos", "run"), "repeats")
+    repeats = staged(_again(sent, SUFFIX_KEY_BYTES, homes), "repeats")
+    discard(near)
+    return repeats
+
+
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """doc_key, n_windows: for each document that has any, how many of its windows (WINDOW_BYTES; one of WINDOW_EVERY, chosen by their hash,
+    so the same in any document) stand at another place too."""
+    size = _bytes_of(docs)
+    keyed = docs.select(_key().alias("doc_key"), "text").where(F.octet_length("text") >= WINDOW_BYTES)
+    sent = keyed.mapInArrow(_window_keys(max(1, size // WINDOW_EVERY // BUCKET_KEYS)), SENT)
+    found = _again(sent, SAMPLE_KEY_BYTES, max(1, size // HOME_BYTES))
+
+    @F.arrow_udf("long")
+    def places(run: pa.Array) -> pa.Array:
+        return pa.array([int(_blob(r).sum()) for r in run.to_pylist()], pa.int64())
+
+    return staged(found.select("doc_key", places("run").alias("n_windows")), "windows")
+
+
+def _bytes_of(docs: DataFrame) -> int:
+    return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
 
 #: Up to this many ids (8 bytes each) go to every executor.
@@ -293,15 +340,20 @@ BROADCAST_IDS = 4 << 20
 
 
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """``docs`` (doc_id, text and any others) with kept (binary), n_bytes, n_removed and spans (start0, end0, start1, ...).
+    """``docs`` (doc_id, text and any others) with kept (binary), n_bytes, n_removed, spans (start0, end0, start1, ...) and n_windows.
 
     Texts are UTF-8 bytes (null: empty). Every byte goes that a string of ``length`` bytes covers which starts at a second place
     too, in the same or another row; strings overlap, and are told on the texts as they are. So repeated rows and equal
-    texts of ``length`` bytes or more lose all. ``kept`` may cut characters in two. Columns with these names are replaced.
+    texts of ``length`` bytes or more lose all. ``kept`` may cut characters in two. n_windows tells of shorter passages that repeat:
+    repeated_windows() of the document, about the bytes of such passages beyond the first WINDOW_BYTES of each, divided by WINDOW_EVERY.
+    An empty table gives no rows; a text of any length is told as a whole. Columns with these names are replaced.
     """
-    names = ["kept", "n_bytes", "n_removed", "spans"]
-    repeats = repeated_spans(docs, length)
-    keyed = docs.drop(*names).withColumn("_sd_key", _key())
+    names = ["kept", "n_bytes", "n_removed", "spans", "n_windows"]
+    windows, repeats = repeated_windows(docs), repeated_spans(docs, length)
+    rest = docs.drop(*names)
+    key, pos, run, told = (unused(rest, c) for c in ("_key", "_pos", "_run", "_told"))
+    repeats, windows = repeats.toDF(key, pos, run), windows.toDF(key, "n_windows")
+    keyed = rest.withColumn(key, _key())
     whole = F.coalesce("text", F.lit("")).cast("binary")
 
     @F.arrow_udf("struct<kept:binary,spans:array<int>>")
@@ -321,19 +373,22 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
 
     def finished(df: DataFrame, kept: Column, spans: Column) -> DataFrame:
         out = df.withColumns({"kept": kept, "spans": spans, "n_bytes": F.octet_length(whole).cast("long")})
-        return out.withColumn("n_removed", F.col("n_bytes") - F.octet_length("kept")).select(*docs.drop(*names).columns, *names)
+        return out.withColumn("n_removed", F.col("n_bytes") - F.octet_length("kept")).select(*keyed.columns, *names[:-1])
 
     none = F.array().cast("array<int>")
     if repeats.count() <= BROADCAST_IDS:
-        ids = F.broadcast(repeats.select("_sd_key"))
-        hit = keyed.join(ids, "_sd_key", "left_semi").join(repeats, "_sd_key").withColumn("_sd", cut("text", "pos", "run"))
-        return finished(keyed.join(ids, "_sd_key", "left_anti"), whole, none).unionByName(finished(hit, F.col("_sd.kept"), F.col("_sd.spans")))
-    joined = keyed.join(repeats, "_sd_key", "left")
-    return finished(joined.withColumn("_sd", cut("text", "pos", "run")), F.col("_sd.kept"), F.col("_sd.spans"))
+        ids = F.broadcast(repeats.select(key))
+        hit = keyed.join(ids, key, "left_semi").join(repeats, key).withColumn(told, cut("text", pos, run))
+        out = finished(keyed.join(ids, key, "left_anti"), whole, none).unionByName(finished(hit, F.col(told)["kept"], F.col(told)["spans"]))
+    else:
+        joined = keyed.join(repeats, key, "left").withColumn(told, cut("text", pos, run))
+        out = finished(joined, F.col(told)["kept"], F.col(told)["spans"])
+    few = F.broadcast(windows) if windows.count() <= BROADCAST_IDS else windows
+    return out.join(few, key, "left").select(*rest.columns, *names[:-1], F.coalesce("n_windows", F.lit(0)).alias("n_windows"))
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strings of 400 bytes that start twice leave all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = remove_repeats(docs)
-    return out.select("doc_id", "n_bytes", "n_removed", F.expr("size(spans) div 2").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.expr("size(spans) div 2").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_windows")

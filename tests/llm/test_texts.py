@@ -72,6 +72,18 @@ def test_repeats_beyond_the_broadcast_and_repeated_rows(spark, monkeypatch):
     assert suffixdedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_shorter_passages_that_repeat_have_windows_and_no_column_clashes(spark):
+    passages = [prose(400 + k, 42) for k in range(8)]
+    texts = [prose(500 + k, 60) + passages[k % 8] + prose(600 + k, 60) for k in range(16)] + [prose(700 + k, 300) for k in range(8)]
+    assert all(250 < len(p) < 400 for p in passages)
+    df = frame(spark, texts)
+    for name in ("_key", "_pos", "pos", "run", "doc_key", "_told", "n_windows"):
+        df = df.withColumn(name, F.lit("own"))
+    out = {r.doc_id: r for r in suffixdedup.remove_repeats(df).collect()}
+    assert sum(out[k].n_windows > 0 for k in range(16)) >= 14 and all(out[k].n_windows == 0 for k in range(16, 24))
+    assert all(r["_key"] == r["pos"] == r["_told"] == "own" and r.n_removed == 0 for r in out.values())
+
+
 # ---- benchmark decontamination -----------------------------------------------------------
 
 
@@ -158,6 +170,27 @@ def test_components_are_those_of_all_pairs(spark, width, percent):
     assert [out[i] for i in range(len(texts))] == brute_components(texts, width, percent)
 
 
+@pytest.mark.parametrize("width,percent", [(4, 85), (5, 80), (2, 50)])
+def test_a_large_group_of_copies_is_told_by_its_differences(spark, width, percent):
+    """Copies of one text with many or few edits, some of them common to several copies, and a second group half like the first."""
+    rng = np.random.default_rng(width)
+    base = prose(31, 80).split()
+    other = base[:40] + prose(32, 40).split()
+    common = [list(rng.integers(0, 80, 9)) for _ in range(4)]
+    texts = []
+    for k in range(90):
+        words = list(base if k % 3 else other)
+        for at in list(rng.integers(0, 80, int(rng.integers(0, 9)))) + (common[k % 4] if k % 5 < 2 else []):
+            if rng.random() < 0.3:
+                words[at] = ""
+            else:
+                words[at] = f"edit{at}" if rng.random() < 0.6 else f"own{k}x{at}"
+        texts.append(" ".join(w for w in words if w))
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(frame(spark, texts), width, percent).collect()}
+    assert [out[i] for i in range(len(texts))] == brute_components(texts, width, percent)
+    assert 1 < len({c for _, c in out.values()}) < len(texts)
+
+
 def test_one_of_each_group_stays(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
     t = prose(1, 50)
