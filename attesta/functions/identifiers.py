@@ -28,7 +28,7 @@ def normalized_doi(x: Column) -> Column:
 
 
 def openalex_doi(x: Column) -> Column:
-    return F.lower(F.regexp_replace(x, r"^https?://(dx\.)?doi\.org/", ""))
+    return F.nullif(F.lower(F.regexp_replace(x, r"^https?://doi\.org/", "")), F.lit(""))
 
 
 def identifiers(link: Column, doi: Column | None = None, eid: Column | None = None) -> dict[str, Column]:
@@ -39,7 +39,7 @@ def identifiers(link: Column, doi: Column | None = None, eid: Column | None = No
         "doi": F.coalesce(normalized_doi(doi if doi is not None else none), normalized_doi(text)),
         "scopus_eid": F.lower(F.coalesce(_found(eid if eid is not None else none, EID), _found(text, EID))),
         "scopus_id": _found(text, SCOPUS_ID, 1),
-        "semantic_scholar_id": _found(text, SEMANTIC_SCHOLAR, 1),
+        "semantic_scholar_id": F.lower(_found(text, SEMANTIC_SCHOLAR, 1)),
     }
     web = text.startswith("http")
     out["link_kind"] = (

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.scoring import prerank_score
 from ..functions.text import jaccard, rounded, tokens
@@ -18,9 +19,15 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 CLAIM_BLOCK = 4096
 
 
+def usable(vector: Column) -> Column:
+    """Whether a vector has a direction: neither null nor empty nor zero, without null or non-finite components."""
+    finite = F.forall(vector, lambda x: F.coalesce((x == x) & ~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
+    return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
+
+
 def _blocks(claims: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
     names, rows = [], []
-    for r in claims.select("claim_id", "vector").where("vector is not null").toLocalIterator():
+    for r in claims.select("claim_id", "vector").where(usable(F.col("vector"))).toLocalIterator():
         names.append(r.claim_id)
         rows.append(r.vector)
         if len(names) == CLAIM_BLOCK:
@@ -35,13 +42,14 @@ def vector_topk(claims: DataFrame, library: DataFrame, k: int = RETRIEVED, min_y
 
     ``claims``: claim_id, vector; ``library``: ref_id, vector and, with ``min_year``, year (null years are left
     out). Exact: every paper meets every block of claims, keeps its batch's best and a window ranks the rest. Ties go to
-    the smaller ref_id.
+    the smaller ref_id. Claims and papers without a usable() vector have no row.
     """
-    papers = library.where("vector is not null")
+    papers = library.where(usable(F.col("vector")))
     if min_year is not None:
         papers = papers.where(F.col("year") >= min_year)
     papers = papers.select("ref_id", "vector")
     kind, id_type = claims.schema["claim_id"].dataType.simpleString(), papers.schema["ref_id"].dataType.simpleString()
+    id_arrow = to_arrow_type(claims.schema["claim_id"].dataType)
     schema, found = f"claim_id {kind}, ref_id {id_type}, semantic double", None
     for names, matrix in _blocks(claims):
         held = claims.sparkSession.sparkContext.broadcast((names, matrix / np.linalg.norm(matrix, axis=1, keepdims=True)))
@@ -55,7 +63,7 @@ def vector_topk(claims: DataFrame, library: DataFrame, k: int = RETRIEVED, min_y
                 at = min(k, batch.num_rows) - 1
                 least = -np.partition(-sim, at, axis=1)[:, at]
                 row, col = np.nonzero(sim >= least[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(row)), batch.column("ref_id").take(pa.array(col)), pa.array(sim[row, col])], ["claim_id", "ref_id", "semantic"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, id_arrow).take(pa.array(row)), batch.column("ref_id").take(pa.array(col)), pa.array(sim[row, col])], ["claim_id", "ref_id", "semantic"])
 
         some = papers.mapInArrow(nearest, schema)
         found = some if found is None else found.unionByName(some)

@@ -101,6 +101,8 @@ def dedupe_import_chains(spark, sf_dir):
         (F.col("o_orderkey") % 4 < 3).alias("has_id"),
     )
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="attesta-"))
@@ -231,7 +233,7 @@ def _ids(link: str, source: str, key: str, columns: str) -> str:
     return f"""WITH l AS (SELECT {key}, {link} AS link FROM {source}),
 u AS (SELECT {key}, coalesce(try(url_decode(link)), link, '') AS t FROM l),
 i AS (SELECT *, nullif(lower(regexp_replace(regexp_extract(t, '(?i)10\\.\\d{{4,9}}/[^\\s"''<>&]+'), '[.,;:)\\]}}>"'']+$', '')), '') AS doi, lower(nullif(regexp_extract(t, '(?i)2-s2\\.0-\\d+'), '')) AS scopus_eid,
-  nullif(regexp_extract(t, '(?i)[?&]scp=(\\d+)', 1), '') AS scopus_id, nullif(regexp_extract(t, '(?i)semanticscholar\\.org/paper/(?:[^/\\s]+/)?([0-9a-f]{{40}})', 1), '') AS semantic_scholar_id FROM u)
+  nullif(regexp_extract(t, '(?i)[?&]scp=(\\d+)', 1), '') AS scopus_id, lower(nullif(regexp_extract(t, '(?i)semanticscholar\\.org/paper/(?:[^/\\s]+/)?([0-9a-f]{{40}})', 1), '')) AS semantic_scholar_id FROM u)
 SELECT {key}, {columns} CASE WHEN scopus_eid IS NOT NULL OR contains(lower(t), 'scopus.com') THEN 'SCOPUS' WHEN semantic_scholar_id IS NOT NULL THEN 'SEMANTIC_SCHOLAR' WHEN contains(lower(t), 'doi.org') THEN 'DOI'
   WHEN doi IS NOT NULL AND starts_with(t, 'http') THEN 'PUBLISHER' WHEN doi IS NOT NULL THEN 'DOI' WHEN starts_with(t, 'http') THEN 'PUBLISHER' ELSE 'UNKNOWN' END AS link_kind,
   coalesce(doi, scopus_eid, scopus_id, semantic_scholar_id) IS NOT NULL AS has_any FROM i"""

@@ -24,11 +24,18 @@ def reranked(candidates: DataFrame, claims: DataFrame, papers: DataFrame) -> Dat
 
 
 def gate(candidates: DataFrame, claims_kept: int = VERIFIED_CLAIMS, papers_kept: int = VERIFIED_PAPERS) -> DataFrame:
-    """Of the claims with the best reranked papers so many, and of each of these so many papers."""
-    best = candidates.groupBy("claim_id").agg(F.max("rerank").alias("best")).orderBy(F.desc("best"), "claim_id").limit(claims_kept)
+    """Of each draft's claims (draft_id; without this column all are of one) those with the best reranked papers, so many, and of each
+    of these so many papers."""
+    by = [c for c in candidates.columns if c == "draft_id"]
+    best = candidates.groupBy(*by, "claim_id").agg(F.max("rerank").alias("best"))
+    first = (F.desc("best"), "claim_id")
+    if by:
+        kept = best.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*first))).where(F.col("_n") <= claims_kept)
+    else:
+        kept = best.orderBy(*first).limit(claims_kept)
     order = Window.partitionBy("claim_id").orderBy(F.desc("rerank"), "prerank_rank")
     placed = candidates.withColumn("rerank_rank", F.row_number().over(order)).where(F.col("rerank_rank") <= papers_kept)
-    return placed.join(best.select("claim_id"), "claim_id", "left_semi")
+    return placed.join(kept.select("claim_id"), "claim_id", "left_semi")
 
 
 def scored(candidates: DataFrame) -> DataFrame:
@@ -43,9 +50,12 @@ def scored(candidates: DataFrame) -> DataFrame:
 
 
 def recommend(claims: DataFrame, papers: DataFrame, min_year: int | None = None) -> DataFrame:
-    """``claims``: claim_id, query, vector; ``papers``: ref_id, title, abstract, year, vector."""
+    """``claims``: claim_id, query, vector and, where they are of several drafts, draft_id; ``papers``: ref_id, title, abstract, year, vector."""
     words = papers.where("vector is not null").select("ref_id", tokens(F.concat_ws(" ", "title", "abstract")).alias("words"))
     asked = claims.select("claim_id", "query", tokens(F.col("query")).alias("query_words"), claim_words(F.col("query")).alias("keywords"))
     near = vector_topk(claims, papers, min_year=min_year)
     ranked = prerank(near, asked, papers.select("ref_id", tokens(F.col("title")).alias("keyword_words")), words)
-    return scored(gate(reranked(ranked, asked, papers)))
+    candidates = reranked(ranked, asked, papers)
+    if "draft_id" in claims.columns:
+        candidates = candidates.join(claims.select("claim_id", "draft_id"), "claim_id")
+    return scored(gate(candidates))

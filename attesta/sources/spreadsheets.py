@@ -48,9 +48,9 @@ def map_columns(headers: list) -> dict[str, int]:
 
 
 def header_row(rows: list[list]) -> int:
-    """Of the first rows the one with the most canonical headers, the earliest on ties."""
-    known = {a for aliases in COLUMN_ALIASES.values() for a in aliases}
-    fields = [len({h for h in map(normalize_header, row) if h in known}) for row in rows[:HEADER_ROWS]]
+    """Of the first rows the one whose headers name the most canonical columns, the earliest on ties."""
+    column = {a: name for name, aliases in COLUMN_ALIASES.items() for a in aliases}
+    fields = [len({column[h] for h in map(normalize_header, row) if h in column}) for row in rows[:HEADER_ROWS]]
     return fields.index(max(fields)) if fields else 0
 
 

@@ -154,3 +154,36 @@ def test_model_hooks(spark):
     out = models.answered(rows, cache, ["k"], lambda batch: [{"v": r["q"]} if r["k"] == 2 else None for r in batch], "v string")
     assert {(r.k, r.v) for r in out.collect()} == {(1, "old"), (2, "y"), (3, None)}
     assert one(spark, models.salvaged_json(F.lit('Here: ```{"a": 1}```'), "a int").alias("j")).j.a == 1
+
+
+def test_vectors_without_a_direction_lose_no_others(spark):
+    from attesta.operators.retrieval import vector_topk
+
+    inf, nan = float("inf"), float("nan")
+    bad = [(90 + k, v) for k, v in enumerate([None, [], [0.0, 0.0], [nan, 1.0], [inf, 1.0], [None, 1.0]])]
+    claims = spark.createDataFrame([(1, [1.0, 0.0]), *bad], "claim_id int, vector array<double>")
+    papers = spark.createDataFrame([(7, [1.0, 1.0]), (8, [0.0, 1.0]), *bad], "ref_id int, vector array<double>").coalesce(1)
+    out = [(r.claim_id, r.ref_id, r.vector_rank) for r in vector_topk(claims, papers, k=3).collect()]
+    assert sorted(out) == [(1, 7, 1), (1, 8, 2)]
+
+
+def test_every_draft_keeps_claims_of_its_own(spark):
+    from attesta.plans.recommend import gate
+
+    rows = [(d, 100 * d + c, p, 1.0 / d + 0.001 * c, p) for d in (1, 2) for c in range(30) for p in range(5)]
+    out = gate(spark.createDataFrame(rows, "draft_id long, claim_id long, ref_id long, rerank double, prerank_rank int"), 20, 3)
+    assert {(r.draft_id, r.n) for r in out.groupBy("draft_id").agg(F.countDistinct("claim_id").alias("n")).collect()} == {(1, 20), (2, 20)}
+    assert out.count() == 120 and out.where("draft_id = 2 and claim_id < 210").count() == 0
+
+
+def test_identifiers_in_capitals_and_headers_of_one_column(spark):
+    from attesta.functions import identifiers
+    from attesta.sources import spreadsheets
+
+    hex40 = "ABCDEF0123" * 4
+    df = spark.createDataFrame([("https://www.semanticscholar.org/paper/T/" + hex40, "https://doi.org/10.1/AB"), ("x", "https://doi.org/")], "link string, doi string")
+    out = df.select(identifiers.identifiers(F.col("link"))["semantic_scholar_id"].alias("s2"), identifiers.openalex_doi(F.col("doi")).alias("doi")).collect()
+    assert [(r.s2, r.doi) for r in out] == [(hex40.lower(), "10.1/ab"), (None, None)]
+    aliases = next(a for a in spreadsheets.COLUMN_ALIASES.values() if len(a) > 1)
+    title, link = (spreadsheets.COLUMN_ALIASES[c][0] for c in ("title", "source_link"))
+    assert spreadsheets.header_row([list(aliases), [title, link]]) == 1 or aliases[0] in (title, link)
