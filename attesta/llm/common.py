@@ -7,6 +7,7 @@ document, where a document is longer than a slice).
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,7 +17,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_BYTES = 1 << 19
+#: glibc's; other C libraries have none.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+SLICE_BYTES = 1 << 18
 #: Of text in one Arrow batch between Spark and Python. Spark's own limits, 10,000 rows and 64 MB, hold several copies
 #: of tens of megabytes in the executor and in each Python worker.
 ARROW_BYTES = 4 << 20
@@ -136,6 +140,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
+def give_back() -> None:
+    """Hand freed memory of a Python worker back to the system: workers outlive their tasks, and an executor counts them all."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Runs of rows with at most ``most`` bytes of text (or one row), with their bytes and offsets."""
     data, off = utf8(batch.column(batch.schema.get_field_index(column)))
@@ -144,6 +155,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         j = max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1)
         yield batch.slice(i, j - i), data[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
+    give_back()
 
 
 def row_slices(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -154,6 +166,7 @@ def row_slices(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         j = max(i + 1, int(np.searchsorted(off, off[i] + SLICE_BYTES, "right")) - 1)
         yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
+    give_back()
 
 
 def word_spans(data: np.ndarray, off: np.ndarray, word_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

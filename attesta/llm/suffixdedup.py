@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, discard, prefix_hash, small_batches, span_hash, staged, table, unused, utf8
+from .common import BYTE_VALUE, discard, give_back, prefix_hash, small_batches, span_hash, staged, table, unused, utf8
 
 #: The cover has PRIME + 1 of PRIME^2 + PRIME + 1 residues.
 PRIME = 17
@@ -31,7 +31,7 @@ SAMPLE_BATCH_BYTES, SUFFIX_BATCH_BYTES = 3 << 19, 3 << 19
 #: Documents are brought together by the least hash of windows of so many bytes near their repeated samples.
 ANCHOR_BYTES = 32
 #: Keys in a bucket, on average, and bytes of the documents whose places are gathered in one task.
-BUCKET_KEYS = 1 << 20
+BUCKET_KEYS = 1 << 19
 HOME_BYTES = 4 << 20
 SAMPLE_KEY_BYTES, SUFFIX_KEY_BYTES = 5, 8
 #: For passages that repeat but are shorter than the strings removed: windows of so many bytes (some
@@ -194,6 +194,7 @@ def _buffered(batches, columns: tuple[str, ...], most: int):
             j = max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1)
             yield data[off[i] : off[j]], off[i : j + 1] - off[i], [batch.column(c).slice(i, j - i) for c in columns]
             i = j
+        give_back()
 
 
 def _blob(x: bytes | None) -> np.ndarray:
