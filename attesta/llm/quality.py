@@ -113,7 +113,7 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, per_grade: int = TRAIN_DOCS
     row = np.repeat(np.arange(len(found)), found.feature.map(len))
     feature, value = np.concatenate(found.feature.to_list()), np.concatenate(found.value.to_list())
     # The sample has as many of each grade as it can; weigh the grades as all ratings have them.
-    n = {r.grade: r.n for r in ratings.where(~held_out(F.col("doc_id"))).groupBy("grade").agg(F.count(F.lit(1)).alias("n")).where("grade is not null").limit(64).collect()}
+    n = {r.grade: r.n for r in ratings.where(~held_out(F.col("doc_id"))).groupBy("grade").agg(F.count(F.lit(1)).alias("n")).where("grade is not null").collect()}
     share = np.array([n.get(int(g), 1) for g in grades]) / np.bincount(grade)
     weight = share[grade] / share[grade].mean()
     return OrdinalModel(*fit_ordinal(row, feature, value, grade, len(grades), weight), grades)

@@ -26,6 +26,8 @@ from .common import LOWER, named_batch, row_slices, slices, small_batches, stage
 #: text each at most: those with the smallest hashes of their ids. It bounds the models' size on driver and executors.
 TRAIN_DOCS = 4000
 TRAIN_BYTES = 1 << 16
+#: Of labels with more grades than this there is an error, as each is a job of its own.
+MOST_GRADES = 16
 DISCOUNT = 0.75
 ORDER = 4
 #: The runs of bytes whose first bytes are counted in the continuation counts of the shared model's highest order.
@@ -185,7 +187,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, grade: Column, per_grade
     marked = labels.select("doc_id", grade.cast("int").alias("grade")).where(F.col("grade").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     # Only ids and sizes are ranked; the texts of the sample follow by a second join.
     ids = docs.select("doc_id", F.octet_length("text").alias("size")).join(marked, "doc_id").where(F.col("size").between(1, max_bytes))
-    grades = [r.grade for r in marked.select("grade").distinct().orderBy("grade").limit(16).collect()]
+    grades = [r.grade for r in marked.select("grade").distinct().orderBy("grade").limit(MOST_GRADES + 1).collect()]
+    if len(grades) > MOST_GRADES:
+        raise ValueError(f"labels of more than {MOST_GRADES} grades")
     picked = None
     for g in grades:
         few = ids.where(F.col("grade") == g).select("doc_id", "grade").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_grade)
