@@ -3,9 +3,12 @@
 Four strict detectors give the base spans. Three generators with high recall propose spans
 besides, overlapping ones too: runs of digits, long tokens, things around an at sign. Each
 candidate has a few yes/no features of its format and context. Gradient-boosted trees are fitted
-on counts by feature pattern (at most 2^13 rows, over all documents), with the strict
-detectors and assignments to a key word as labels; thresholds calibrated on the documents that the
-trees have not seen choose the candidates to add. The trees run as column expressions.
+on counts by feature pattern (at most 2^13 rows, over all documents). Positives are what the
+strict checks and assignments to a key word find, in forms that these themselves would miss: phone
+numbers without the plus, cards and tokens without the words before them, addresses spelled with
+"[at]". Negatives are the candidates as they stand that no check covers. Thresholds calibrated on
+the documents that the trees have not seen choose the candidates to add. The trees run as column
+expressions.
 """
 
 from __future__ import annotations
@@ -37,8 +40,9 @@ CONTEXT_WORDS = r"(?i)(card|visa|account|phone|tel|call|fax|mail|contact|reach|i
 KEY_WORDS = r"(?i)(token|key|secret|password|passwd)\s*[=:]\s*[\"']?$"
 FEATURES = 13
 ROUNDS, RATE, DAMPING = 30, 0.3, 1.0
-#: A kind's threshold is the least with this share of labelled candidates above it, and so many of them.
-PRECISION, SUPPORT = 0.95, 20
+#: A kind's threshold is the least at which this share of the held-out candidates above it is positive, with one more of
+#: either label counted in, so that a handful of candidates is not enough.
+PRECISION = 0.9
 
 
 def _matches(text: Column, pattern: str, needed: Column) -> Column:
@@ -78,8 +82,7 @@ def _bits(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, [F.when(t, F.lit(1 << i)).otherwise(F.lit(0)) for i, t in enumerate(tests)])
 
 
-def _candidate(kind: int, x: Column, base: Column) -> Column:
-    m = x["m"]
+def _mask(kind: int, m: Column, before: Column) -> Column:
     n = F.length(_digits(m))
     tests = [
         F.lit(KINDS[kind] == "number"),
@@ -92,13 +95,29 @@ def _candidate(kind: int, x: Column, base: Column) -> Column:
         m.rlike(r"[\x20().-]"),
         m.rlike(r"\.[A-Za-z0-9-]+\.?[^A-Za-z0-9]?$"),
         m.rlike(r"^[+(]"),
-        x["before"].rlike(r"[=:\"'(]\s?$"),
-        x["before"].rlike(CONTEXT_WORDS),
+        before.rlike(r"[=:\"'(]\s?$"),
+        before.rlike(CONTEXT_WORDS),
         n == F.lit(16),
     ]
-    strict = F.exists(base, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
-    label = x["before"].rlike(KEY_WORDS) if KINDS[kind] == "token" else strict
-    return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind"), _bits(tests).alias("mask"), label.alias("label"), strict.alias("covered"))
+    return _bits(tests)
+
+
+def _candidate(kind: int, x: Column, base: Column) -> Column:
+    covered = F.exists(base, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
+    assigned = x["before"].rlike(KEY_WORDS) if KINDS[kind] == "token" else F.lit(False)
+    return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind"), _mask(kind, x["m"], x["before"]).alias("mask"), assigned.alias("assigned"), covered.alias("covered"))
+
+
+def _made(kind: str, m: Column, before: Column) -> list[Column]:
+    """A find of ``kind`` in forms that the strict checks miss, as positive examples: kind and mask."""
+    bare = F.lit("")
+    forms = {
+        "email": [("contact", F.regexp_replace(m, "@", " [at] "), w) for w in (before, bare)],
+        "card": [("number", m, w) for w in (before, bare)],
+        "phone": [("number", F.substr(m, F.lit(2)), w) for w in (before, bare)],
+        "token": [("token", m, bare)],
+    }
+    return [F.struct(F.lit(KINDS.index(k)).alias("kind"), _mask(KINDS.index(k), f, w).alias("mask")) for k, f, w in forms[kind]]
 
 
 def _base(i: int, kind: str, matches: Column) -> Column:
@@ -114,16 +133,24 @@ def _count(kind: int) -> Column:
     return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
 
 
-def with_candidates(docs: DataFrame) -> DataFrame:
-    """``docs`` with _pii_base (start, end, kind) and _pii_found (the candidates with mask, label, covered)."""
+def with_candidates(docs: DataFrame, examples: bool = False) -> DataFrame:
+    """``docs`` with _pii_base (start, end, kind), _pii_found (the candidates with mask, assigned, covered) and, if asked for,
+    _pii_made (kind and mask of the positive examples)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     digit, at = text.rlike("[0-9]"), F.contains(text, F.lit("@"))
     needed = {"email": at, "ip": digit, "card": digit, "phone": digit & F.contains(text, F.lit("+"))}
-    base = [_base(i, kind, _matches(text, pattern, needed[kind])) for i, (kind, pattern) in enumerate({"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}.items())]
+    strict = {kind: _matches(text, pattern, needed[kind]) for kind, pattern in {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}.items()}
+    base = [_base(i, kind, matches) for i, (kind, matches) in enumerate(strict.items())]
     with_base = docs.withColumn("_pii_base", F.concat(*base))
     more = [(4, NUMBER, digit, ""), (5, TOKEN, digit, "[0-9]"), (6, CONTACT, at | text.rlike(r"[(\[]at[)\]]"), "")]
-    found = [_candidates(k, F.filter(_matches(text, pattern, need), lambda x: x["m"].rlike(has)), F.col("_pii_base")) for k, pattern, need, has in more]
-    return with_base.withColumn("_pii_found", F.concat(*found))
+    loose = {k: F.filter(_matches(text, pattern, need), lambda x: x["m"].rlike(has)) for k, pattern, need, has in more}
+    out = with_base.withColumn("_pii_found", F.concat(*[_candidates(k, matches, F.col("_pii_base")) for k, matches in loose.items()]))
+    if examples:
+        kept = {kind: F.filter(strict[kind], lambda x: STRICT[kind](x["m"])) for kind in ("email", "card", "phone")}
+        kept["token"] = F.filter(loose[KINDS.index("token")], lambda x: x["before"].rlike(KEY_WORDS))
+        made = [F.flatten(F.transform(finds, lambda x: F.array(*_made(kind, x["m"], x["before"])))) for kind, finds in kept.items()]
+        out = out.withColumn("_pii_made", F.concat(*made))
+    return out
 
 
 @dataclass
@@ -193,8 +220,13 @@ def boosted(masks: np.ndarray, n: np.ndarray, positive: np.ndarray) -> PiiModel:
 
 
 def fit_pii(docs: DataFrame) -> PiiModel:
-    """Trees and thresholds from the candidates of all documents; half of them, by a hash of the text, calibrate."""
-    found = with_candidates(docs.select("text")).select(F.explode("_pii_found").alias("c"), (F.crc32(F.col("text").cast("binary")) % 2).alias("fold"))
+    """Trees and thresholds from the candidates of all documents; half of them, by a hash of the text, calibrate.
+
+    Candidates that a base span covers teach nothing as they stand, as they are never added; they do in their made forms.
+    """
+    given = F.transform(F.filter("_pii_found", lambda x: ~x["covered"]), lambda x: F.struct(x["kind"].alias("kind"), x["mask"].alias("mask"), x["assigned"].alias("label")))
+    made = F.transform("_pii_made", lambda x: F.struct(x["kind"].alias("kind"), x["mask"].alias("mask"), F.lit(True).alias("label")))
+    found = with_candidates(docs.select("text"), examples=True).select(F.explode(F.concat(given, made)).alias("c"), (F.crc32(F.col("text").cast("binary")) % 2).alias("fold"))
     counts = found.groupBy("c.kind", "c.mask", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("c.label").cast("long")).alias("positive")).collect()
     rows = np.array([(r.kind, r.mask, r.fold, r.n, r.positive) for r in counts], np.int64).reshape(-1, 5)
     kind, mask, fold, n, positive = rows.T
@@ -207,7 +239,7 @@ def fit_pii(docs: DataFrame) -> PiiModel:
         order = np.argsort(-score[mine], kind="stable")
         upto, right, s = np.cumsum(n[mine][order]), np.cumsum(positive[mine][order]), score[mine][order]
         last = np.append(s[1:] != s[:-1], True)  # a threshold takes all of an equal score
-        good = np.flatnonzero(last & (right >= PRECISION * upto) & (upto >= SUPPORT))
+        good = np.flatnonzero(last & (right + 1 >= PRECISION * (upto + 2)))
         if len(good):
             model.thresholds[int(k)] = float(s[good[-1]])
     return model
@@ -217,7 +249,8 @@ def find_pii(docs: DataFrame, model: PiiModel) -> DataFrame:
     """``docs`` with base and spans: arrays of start, end (exclusive, in code points) and kind, by start and kind.
 
     ``base``: the strict detectors' spans. ``spans``: these and the candidates that the model selects, unless they
-    overlap a base span. Null and empty texts have none. Columns of these names are replaced.
+    overlap a base span. Null and empty texts have none, however long a text is it is searched whole, repeated rows get equal
+    spans, and an empty table gives an empty one. Columns of these two names are replaced.
     """
     chosen = F.array().cast("array<struct<start:int,end:int,kind:int>>")
     if model.thresholds:
@@ -248,9 +281,9 @@ def redact(docs: DataFrame, model: PiiModel) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data in all documents."""
+    """Personal data in all documents; n_spans counts the base spans and those that the trees add."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_pii(docs, fit_pii(docs))
     said = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", _named(x["kind"]), x["start"], x["end"])), ",")
     counts = [_count(i).alias(f"n_{KINDS[i]}") for i in range(4)]
-    return found.select("doc_id", *counts, F.sha2(said(F.col("base")).cast("binary"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(said(F.col("base")).cast("binary"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))

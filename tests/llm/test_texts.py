@@ -233,6 +233,28 @@ def test_base_spans_are_those_of_the_patterns(spark):
         assert [(s.start, s.kind, s.end) for s in r.spans] == expected
 
 
+def test_trees_find_planted_forms_that_the_patterns_miss(spark):
+    """Recall and precision over phones without a plus, spelled addresses and tokens without a key word, none of them labelled."""
+    phone = lambda k: f"({200 + k % 700}) 555-{1000 + k:04d}"
+    token = lambda k: hashlib.sha1(str(k).encode()).hexdigest()
+    texts = [f"{prose(k, 9)} call +1 {phone(k)} or key: {token(k)} or me.{k}@mail{k % 9}.example.com {prose(k, 3)}" for k in range(150)]
+    plain = [f"{prose(k, 9)} item 20{k:06d} and plain-hyphenated-word-{k} for 3 @ 4 each {prose(k, 3)}" for k in range(150)]
+    planted = [f"{prose(k, 9)} 1 {phone(k)} then {token(9000 + k)} then you.{k} [at] mail.example.org {prose(k, 3)}" for k in range(10)]
+    docs = frame(spark, texts + plain + planted)
+    out = {r.doc_id: r for r in pii.find_pii(docs, pii.fit_pii(docs)).collect()}
+    added = {i: {pii.KINDS[s.kind] for s in set(r.spans) - set(r.base)} for i, r in out.items()}
+    for kind in ("number", "token", "contact"):
+        assert sum(kind in added[i] for i in range(300, 310)) >= 9, kind
+        assert sum(kind in added[i] for i in range(150, 300)) == 0, kind
+
+
+def test_spans_of_repeated_rows_long_texts_and_empty_tables(spark):
+    long = "word " * 200_000 + "a@b.cc"
+    out = pii.find_pii(frame(spark, ["x@y.zz", "x@y.zz", long, "", None]), pii.PiiModel()).orderBy("doc_id").collect()
+    assert [[(s.start, s.end) for s in r.spans] for r in out] == [[(0, 6)], [(0, 6)], [(1_000_000, 1_000_006)], [], []]
+    assert pii.find_pii(frame(spark, []), pii.PiiModel()).count() == 0
+
+
 def test_trees_add_what_looks_like_the_labelled_spans(spark):
     rng = np.random.default_rng(0)
     secret = lambda k: hashlib.sha1(str(k).encode()).hexdigest()
