@@ -22,6 +22,7 @@ SIGNALS = {
     "comparative": (0.20, r"(?i)\b(?:more|less|higher|lower|better|worse|faster|slower|greater|fewer)\b\s+\w+\s+than\b|\b(?:compared (?:to|with)|relative to|in contrast to)\b"),
     "statistic": (0.15, r"(?i)\b\d+(?:\.\d+)?\s*(?:%|percent)|p\s*[<>=]\s*0?\.\d+|\bn\s*=\s*\d+"),
 }
+# A paper on its own work, labels of structure, sections without claims, thresholds, types.
 OWN_WORK = r"(?i)\b(?:in this (?:paper|study|section|work|article)|this (?:paper|study|section|article) (?:presents|describes|proposes|uses|investigates|examines)|we (?:propose|present|introduce|describe|evaluate|use|apply|adopt|report|conduct|do not)|the (?:next|following|remainder) (?:section|of))\b"
 STRUCTURAL = r"(?i)^(?:table|figure|fig\.|equation|eq\.|algorithm|appendix|section)\s+\d+"
 NON_CLAIM_SECTIONS = ("references", "acknowledgments", "acknowledgements", "bibliography")
@@ -33,6 +34,16 @@ CLAIM_TYPES = (
     ("consensus_phrase", "PREVIOUS_RESEARCH"),
     ("effect_verb", "CAUSAL_CLAIM"),
 )
+ALL_CLAIM_TYPES = (
+    "EMPIRICAL_RESULT", "FACTUAL_STATEMENT", "PREVIOUS_RESEARCH", "COMPARATIVE_CLAIM", "CAUSAL_CLAIM", "DEFINITIONAL_CLAIM",
+    "THEORETICAL_CLAIM", "METHOD_VALIDATION", "STATISTICAL_CLAIM", "GENERAL_BACKGROUND", "AUTHOR_CONTRIBUTION", "NO_CITATION_NEEDED",
+)
+
+
+def normalized_claim_type(answer: Column, needs_citation: Column) -> Column:
+    """A classifier's type in the known spelling; unknown and missing ones are told by whether a citation is needed."""
+    spelled = F.replace(F.upper(F.trim(answer)), F.lit(" "), F.lit("_"))
+    return F.when(spelled.isin(*ALL_CLAIM_TYPES), spelled).when(needs_citation, "GENERAL_BACKGROUND").otherwise("NO_CITATION_NEEDED")
 
 
 def _all(text: Column, pattern: str) -> Column:
@@ -86,7 +97,7 @@ def resolved(decision_needs: Column, decision_type: Column, decision_text: Colum
     strong = verdict == "STRONG"
     return {
         "needs_citation": F.coalesce(decision_needs, strong),
-        "claim_type": F.when(known, decision_type).when(strong, "GENERAL_BACKGROUND").otherwise("NO_CITATION_NEEDED"),
+        "claim_type": F.when(known, normalized_claim_type(decision_type, decision_needs)).when(strong, "GENERAL_BACKGROUND").otherwise("NO_CITATION_NEEDED"),
         "claim_text": F.when(known, F.coalesce(F.nullif(F.trim(decision_text), F.lit("")), sentence)).otherwise(sentence),
         "detection_method": F.when(known, "LLM").otherwise("RULE"),
     }

@@ -42,9 +42,15 @@ def sentences(blocks: DataFrame) -> DataFrame:
     boundary = rf"(?<=[.!?])(?<!\b(?:{shielded}))(?<!\b[A-Z]\.)\s+(?=[A-Z0-9\"(\[])"
     cut = F.split("text", boundary)
     gaps = F.regexp_extract_all(F.col("text"), F.lit(boundary), F.lit(0))
-    upto = lambda parts, i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda a, p: a + F.char_length(p))
-    offset = F.transform(cut, lambda s, i: F.struct(i.alias("sentence_index"), s.alias("sentence"), (upto(cut, i) + upto(gaps, i)).alias("at")))
-    out = blocks.where("not is_heading").withColumn("s", F.explode(offset))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<sentence_index:int,sentence:string,at:int>>").alias("out"))
+
+    def add(acc: Column, x: Column) -> Column:
+        one = F.struct(F.size(acc["out"]).alias("sentence_index"), x["s"].alias("sentence"), acc["at"].alias("at"))
+        after = acc["at"] + F.char_length(x["s"]) + F.coalesce(F.char_length(x["gap"]), F.lit(0))
+        return F.struct(after.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+    placed = F.aggregate(F.arrays_zip(cut.alias("s"), gaps.alias("gap")), none, add, lambda acc: acc["out"])
+    out = blocks.where("not is_heading").withColumn("s", F.explode(placed))
     start = F.col("char_start") + F.col("s.at")
     return out.select("draft_id", "paragraph_index", "s.sentence_index", F.col("s.sentence").alias("text"), start.alias("char_start"), (start + F.char_length("s.sentence")).alias("char_end"), "section_title")
 

@@ -35,6 +35,29 @@ def accepted_json(accepted: DataFrame) -> DataFrame:
     return by_claim.groupBy("draft_id").agg(F.to_json(F.struct(whole.alias("accepted"))).alias("json"))
 
 
+def json_bundle(drafts: DataFrame, accepted: DataFrame, audit: DataFrame, bibliography: DataFrame, style: str = "APA", mode: str = "n/a", at: str | None = None) -> DataFrame:
+    """draft_id, json: each of ``drafts`` (draft_id, filename) with its accepted claims, audit and bibliography; ``at``: when.
+
+    ``accepted``: draft_id, claim_id, sentence, ref_id, at, in_text; a claim has its citation_text only with a single paper.
+    ``audit``: draft_id, claim_id and the report's columns. ``bibliography``: draft_id, number, ref_id, text.
+    """
+    listed = lambda c, *by: F.transform(F.array_sort(F.collect_list(F.struct(*by, c.alias("_v")))), lambda x: x["_v"])
+    cited = accepted.groupBy("draft_id", "claim_id").agg(F.min("sentence").alias("sentence_text"), F.when(F.count(F.lit(1)) == 1, F.min("in_text")).alias("citation_text"), listed(F.col("ref_id").cast("string"), "at", "ref_id").alias("reference_ids"))
+    one = F.struct(F.col("claim_id").cast("string").alias("claim_id"), "sentence_text", "citation_text", "reference_ids")
+    columns = [c for c in audit.columns if c not in ("draft_id", "claim_id")]
+    parts = {
+        "accepted": cited.groupBy("draft_id").agg(listed(one, "claim_id").alias("accepted")),
+        "audit": audit.groupBy("draft_id").agg(listed(F.struct(*columns), "claim_id").alias("audit")),
+        "bibliography": bibliography.groupBy("draft_id").agg(listed(F.struct(F.col("ref_id").cast("string").alias("reference_id"), "text"), "number").alias("bibliography")),
+    }
+    out = drafts
+    for part in parts.values():
+        out = out.join(part, "draft_id", "left")
+    head = [F.struct(F.col("draft_id").cast("string").alias("id"), "filename").alias("draft"), F.lit(at).cast("string").alias("generated_at"), F.lit(style).alias("citation_style"), F.lit(mode).alias("insertion_mode")]
+    whole = F.struct(*head, *[F.coalesce(F.col(p), F.array().cast(out.schema[p].dataType)).alias(p) for p in parts])
+    return out.select("draft_id", F.to_json(whole, {"ignoreNullFields": "false"}).alias("json"))
+
+
 def download_name(stem: Column, extension: str) -> Column:
     """A file name without the characters that file systems refuse; blank stems are called paper."""
     clean = F.trim(F.regexp_replace(stem, r'[\\/:*?"<>|\x00-\x1f]', "_"))

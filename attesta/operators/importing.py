@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalized_title
 
 MIN_ABSTRACT = 200
+ROUNDS = 12
 #: Provider fields, each filled where it is blank; the citation count only where it is null.
 ENRICHED = ("abstract", "source_title", "year", "citation_count", "doi")
 
@@ -42,9 +45,34 @@ def mark_duplicates(rows: DataFrame) -> DataFrame:
     return rows.join(marked.select("row_no", duplicate.alias("duplicate")), "row_no")
 
 
+def _keys(pairs: DataFrame) -> DataFrame:
+    return pairs.select("first", F.explode(F.array_compact(F.array(F.concat(F.lit("d"), "_doi"), F.concat(F.lit("e"), "_eid")))).alias("key"))
+
+
 def _settled(pairs: DataFrame) -> DataFrame:
-    """The accepted ones of the distinct pairs (_doi, _eid, first), in order of their first rows."""
-    keys = pairs.select("first", F.explode(F.array_compact(F.array(F.concat(F.lit("d"), "_doi"), F.concat(F.lit("e"), "_eid")))).alias("key")).checkpoint()
+    """The accepted ones of the distinct pairs (_doi, _eid, first), in order of their first rows.
+
+    In rounds: a pair that is the first of all its identifiers is accepted, and those that share one with it go. Identifiers
+    shared by many pairs are settled in one round. What hangs together in long chains after ROUNDS of them is read in order.
+    """
+    accepted = []
+    for _ in range(ROUNDS):
+        keys = _keys(pairs)
+        least = keys.groupBy("key").agg(F.min("first").alias("least"))
+        judged = keys.join(least, "key").groupBy("first").agg(F.bool_and(F.col("first") == F.col("least")).alias("accepted"))
+        marked = pairs.join(judged, "first").checkpoint()
+        taken = marked.where("accepted").select("first", "_doi", "_eid")
+        accepted.append(taken.select("first"))
+        shared = _keys(marked.where("not accepted").select("first", "_doi", "_eid")).join(_keys(taken).select("key"), "key", "left_semi").select("first")
+        pairs = marked.where("not accepted").select("first", "_doi", "_eid").join(shared, "first", "left_anti").checkpoint()
+        if pairs.isEmpty():
+            return reduce(DataFrame.union, accepted)
+    return reduce(DataFrame.union, [*accepted, _read_in_order(pairs)])
+
+
+def _read_in_order(pairs: DataFrame) -> DataFrame:
+    """As _settled(), with one task for each group of pairs that hang together."""
+    keys = _keys(pairs).checkpoint()
     groups = keys.select("first", F.col("first").alias("group")).distinct()
     while True:
         least = keys.join(groups, "first").groupBy("key").agg(F.min("group").alias("least"))
@@ -69,13 +97,30 @@ def _settled(pairs: DataFrame) -> DataFrame:
     return pairs.join(groups, "first").groupBy("group").applyInPandas(settle, "first long")
 
 
+def known_rows(library: DataFrame, incoming: DataFrame) -> DataFrame:
+    """row_no, ref_id: which paper of the library an incoming row is, by its DOI, else its EID, else, without any identifier, its title.
+
+    Of eid, title and has_id, what either table lacks is not asked. Each key joins by itself, so rows without it meet nobody.
+    """
+    both = set(library.columns) & set(incoming.columns)
+    keys = [("doi", F.col("doi"), F.lit(True)), ("eid", F.col("eid"), F.lit(True))]
+    if "title" in both and "has_id" in incoming.columns:
+        keys.append(("title", F.nullif(normalized_title(F.col("title")), F.lit("")), ~F.col("has_id")))
+    found = []
+    for order, (name, key, asked) in enumerate(keys):
+        if name in both:
+            held = library.select(key.alias("_key"), "ref_id").where("_key is not null").groupBy("_key").agg(F.min("ref_id").alias("ref_id"))
+            found.append(incoming.where(asked).select("row_no", key.alias("_key")).where("_key is not null").join(held, "_key").select("row_no", F.struct(F.lit(order), "ref_id").alias("_r")))
+    return reduce(DataFrame.union, found).groupBy("row_no").agg(F.min("_r").getField("ref_id").alias("ref_id"))
+
+
 def backfilled(library: DataFrame, incoming: DataFrame) -> DataFrame:
-    """``library`` (ref_id, doi, abstract, status) with abstracts of 200 characters or more that an incoming row with the DOI brings;
-    such rows are ENRICHED by DATASET and need embedding again."""
-    offered = incoming.select("doi", trusted_abstract(F.col("abstract")).alias("_new"), "row_no").where("_new is not null and doi is not null")
-    first = offered.groupBy("doi").agg(F.min_by("_new", "row_no").alias("_new"))
+    """``library`` (ref_id, doi, abstract, status) with abstracts of 200 characters or more that an incoming row of the same paper
+    (known_rows) brings; such rows are ENRICHED by DATASET and need embedding again."""
+    offered = incoming.select("row_no", trusted_abstract(F.col("abstract")).alias("_new")).where("_new is not null")
+    first = offered.join(known_rows(library, incoming), "row_no").groupBy("ref_id").agg(F.min_by("_new", "row_no").alias("_new"))
     fills = F.col("abstract").isNull() & F.col("_new").isNotNull()
-    return library.join(first, "doi", "left").withColumns(
+    return library.join(first, "ref_id", "left").withColumns(
         {
             "abstract": F.coalesce("abstract", "_new"),
             "status": F.when(fills, "ENRICHED").otherwise(F.col("status")),
@@ -115,9 +160,38 @@ def enriched(papers: DataFrame, providers: list[tuple[str, DataFrame]]) -> DataF
 
 def library_winners(library: DataFrame, key: Column) -> DataFrame:
     """ref_id, winner_id: which copy of a key stays. With an embedding first, then with an abstract, the oldest, the least id."""
-    best = Window.partitionBy("_key").orderBy(F.col("embedded").desc(), F.col("has_abstract").desc(), "created_at", "ref_id")
     keyed = library.withColumn("_key", key).where("_key is not null")
-    return keyed.withColumn("winner_id", F.first("ref_id").over(best)).select("ref_id", "winner_id")
+    best = keyed.groupBy("_key").agg(F.min(F.struct(~F.col("embedded"), ~F.col("has_abstract"), "created_at", "ref_id")).getField("ref_id").alias("winner_id"))
+    return keyed.select("ref_id", "_key").join(best, "_key").select("ref_id", "winner_id")
+
+
+def library_losers(library: DataFrame, keys: list[Column]) -> DataFrame:
+    """ref_id, winner_id of the copies that go: those by the first key, then by each further key those that have not gone yet.
+    Where a later key's winner has gone itself, the paper that it went for is meant."""
+    out = None
+    for key in keys:
+        lost = library_winners(library, key).where("ref_id <> winner_id")
+        if out is not None:
+            lost = lost.join(out.select("ref_id"), "ref_id", "left_anti")
+            gone = out.select(F.col("ref_id").alias("winner_id"), F.col("winner_id").alias("_to"))
+            lost = out.unionByName(lost.join(gone, "winner_id", "left").select("ref_id", F.coalesce("_to", "winner_id").alias("winner_id")).where("ref_id <> winner_id"))
+        out = lost
+    return out
+
+
+def repointed(children: DataFrame, losers: DataFrame) -> DataFrame:
+    """``children`` (claim_id, ref_id and more) with the winners in place of the losers; where a claim then has a paper twice,
+    the row that had it before stays, else that of the least old ref_id."""
+    moved = children.join(losers, "ref_id", "left").withColumn("_to", F.coalesce("winner_id", "ref_id"))
+    rest = [c for c in children.columns if c not in ("claim_id", "ref_id")]
+    kept = moved.groupBy("claim_id", "_to").agg(F.min_by(F.struct(F.lit(0), *rest), F.struct(F.col("winner_id").isNotNull(), "ref_id")).alias("_k"))
+    values = {c: F.col("_k")[c] for c in rest} | {"claim_id": F.col("claim_id"), "ref_id": F.col("_to")}
+    return kept.select(*(values[c].alias(c) for c in children.columns))
+
+
+def replaced(table: DataFrame, prepared: DataFrame, new: DataFrame) -> DataFrame:
+    """``table`` after a run over the ``prepared`` claims (claim_id): their old rows go, whether or not they have new ones; others stay."""
+    return table.join(prepared.select("claim_id"), "claim_id", "left_anti").select(*table.columns).unionByName(new)
 
 
 def upsert_ignore(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

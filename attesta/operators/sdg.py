@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # A small table of goals and phrases of our own: * stands for any run of characters, ? for one, "and" for both parts.
@@ -11,13 +11,21 @@ GOALS = (
     (2, "Zero Hunger", ("hunger", "fertili?er", "food security", "crop and yield")),
     (3, "Good Health and Well-being", ("vaccin*", "health", "disease and prevention")),
     (4, "Quality Education", ("education", "literacy", "school and access")),
+    (5, "Gender Equality", ("gender", "equal pay", "women and participation")),
     (6, "Clean Water and Sanitation", ("sanitation", "drinking water", "water and quality")),
     (7, "Affordable and Clean Energy", ("renewable", "solar", "energy and efficiency")),
+    (8, "Decent Work and Economic Growth", ("decent work", "employment", "economic growth and labo?r")),
     (9, "Industry, Innovation and Infrastructure", ("infrastructure", "innovation", "industr* and technology")),
+    (10, "Reduced Inequalities", ("social inclusion", "discrimination", "inequalit* and migra*")),
     (11, "Sustainable Cities and Communities", ("urban", "public transport", "city and planning")),
+    (12, "Responsible Consumption and Production", ("recycl*", "circular economy", "waste and consumption")),
     (13, "Climate Action", ("climate", "greenhouse gas", "carbon and emission")),
     (14, "Life Below Water", ("marine and coral bleaching", "ocean", "fisher*")),
+    (15, "Life on Land", ("biodiversity", "deforestation", "forest and soil")),
+    (16, "Peace, Justice and Strong Institutions", ("rule of law", "corruption", "peace and conflict")),
+    (17, "Partnerships for the Goals", ("global partnership", "development aid", "cooperation and capacity building")),
 )
+# Phrases too general to carry a goal alone.
 GENERIC = ("framework", "model", "system", "innovation", "technology", "management")
 
 
@@ -37,15 +45,62 @@ def matched_goals(texts: DataFrame, top: int = 3, most: int = 10, goals=GOALS) -
     Phrases match anywhere, in any case; one with "and" when each of its parts does. The phrases are a fixed, small list, so
     they are expressions over the texts: one scan, no join.
     """
+    each = texts.select("text_id", F.explode(_hits(goals)).alias("g")).select("text_id", "g.*").where(F.size("phrases") > 0)
+    order = Window.partitionBy("text_id").orderBy(F.desc("hits"), "goal")
+    ranked = each.withColumn("hits", F.size("phrases")).withColumn("goal_rank", F.row_number().over(order))
+    return ranked.where(F.col("goal_rank") <= top).withColumn("phrases", F.slice("phrases", 1, most))
+
+
+def _hits(goals) -> Column:
+    """Each goal with the phrases that hit, longest first."""
     found = []
     for goal, name, phrases in goals:
         hits = [F.when(_all_parts(p), F.lit(p)) for p in phrases]
         longest = F.array_sort(F.array_compact(F.array(*hits)), lambda a, b: F.when(F.length(b) != F.length(a), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
         found.append(F.struct(F.lit(goal).alias("goal"), F.lit(name).alias("goal_name"), longest.alias("phrases")))
-    each = texts.select("text_id", F.explode(F.array(*found)).alias("g")).select("text_id", "g.*").where(F.size("phrases") > 0)
-    order = Window.partitionBy("text_id").orderBy(F.desc("hits"), "goal")
-    ranked = each.withColumn("hits", F.size("phrases")).withColumn("goal_rank", F.row_number().over(order))
-    return ranked.where(F.col("goal_rank") <= top).withColumn("phrases", F.slice("phrases", 1, most))
+    return F.array(*found)
+
+
+def with_candidates(texts: DataFrame, most: int = 10, goals=GOALS) -> DataFrame:
+    """``texts`` with candidates: every goal (goal, goal_name, phrases), those with the most hits first, then by number.
+
+    Goals that no phrase hits stand as bare names after the others, and alone where no goal is hit. Blank texts go.
+    """
+    hit = F.transform(_hits(goals), lambda g: F.struct((-F.size(g["phrases"])).alias("order"), g["goal"].alias("goal"), g["goal_name"].alias("goal_name"), F.slice(g["phrases"], 1, most).alias("phrases")))
+    listed = F.transform(F.array_sort(hit), lambda g: F.struct(g["goal"].alias("goal"), g["goal_name"].alias("goal_name"), g["phrases"].alias("phrases")))
+    return texts.where(F.trim(F.coalesce("text", F.lit(""))) != "").withColumn("candidates", listed)
+
+
+def classified(asked: DataFrame, goals=GOALS) -> DataFrame:
+    """``asked`` (candidates and an answer: answer_goal, answer_keyword, answer_fits, answer_follow_up) with goal, goal_name,
+    keyword, closest_goal and closest_name.
+
+    A goal that is no candidate is the first candidate; a keyword that the goal's hits lack is the longest hit, and none where it is
+    the goal's own name. What does not fit, or only by one generic phrase, has no goal but a closest one. A goal without
+    a hit takes the follow-up's keyword, if it is one of its phrases, or its first phrase. A missing answer is the stand-in's:
+    the first candidate, which fits.
+    """
+    plain = lambda c: F.lower(F.trim(c))
+    candidates = F.col("candidates")
+    match = F.coalesce(F.get(F.filter(candidates, lambda c: c["goal"] == F.col("answer_goal")), F.lit(0)), F.get(candidates, F.lit(0)))
+    out = asked.withColumn("_m", match)
+    hits = F.col("_m.phrases")
+    said = F.when(F.array_contains(hits, F.col("answer_keyword")), F.col("answer_keyword")).otherwise(F.get(hits, F.lit(0)))
+    out = out.withColumn("_k", F.when(plain(said) != plain(F.col("_m.goal_name")), said))
+    generic = F.coalesce(plain(F.col("_k")).isin(*GENERIC), F.lit(False)) & ~F.exists(hits, lambda p: ~plain(p).isin(*GENERIC))
+    out = out.withColumn("_fits", F.coalesce("answer_fits", F.lit(True)) & ~generic)
+    full = F.element_at(F.create_map(*[x for g, _, phrases in goals for x in (F.lit(g), F.array(*map(F.lit, phrases)))]), F.col("_m.goal"))
+    followed = F.when(F.array_contains(full, F.col("answer_follow_up")), F.col("answer_follow_up")).otherwise(F.get(full, F.lit(0)))
+    fits = F.col("_fits")
+    return out.withColumns(
+        {
+            "goal": F.when(fits, F.col("_m.goal")),
+            "goal_name": F.when(fits, F.col("_m.goal_name")),
+            "keyword": F.when(fits, F.coalesce("_k", followed)),
+            "closest_goal": F.when(~fits, F.col("_m.goal")),
+            "closest_name": F.when(~fits, F.col("_m.goal_name")),
+        }
+    ).drop("_m", "_k", "_fits")
 
 
 def _all_parts(phrase: str):
@@ -58,9 +113,9 @@ def _all_parts(phrase: str):
 
 def pick(matches: DataFrame) -> DataFrame:
     """text_id, goal, keyword, declined: the deterministic classifier takes the first goal and its first phrase, and
-    declines when that phrase is generic and the only one."""
+    declines, without a keyword, when that phrase is generic and so are all others."""
     best = matches.where("goal_rank = 1")
     keyword = F.get("phrases", F.lit(0))
     generic = keyword.isin(*GENERIC)
     other = F.get(F.filter("phrases", lambda p: ~p.isin(*GENERIC)), F.lit(0))
-    return best.select("text_id", "goal", F.when(generic, other).otherwise(keyword).alias("keyword"), (generic & other.isNull()).alias("declined"))
+    return best.select("text_id", "goal", F.when(~generic | other.isNotNull(), keyword).alias("keyword"), (generic & other.isNull()).alias("declined"))

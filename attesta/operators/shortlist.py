@@ -23,8 +23,14 @@ def _flags(df: DataFrame) -> DataFrame:
 
 
 def best_references(recommendations: DataFrame, n: int) -> DataFrame:
-    """The ``n`` best papers among the first places, each with its best claim."""
+    """The ``n`` best papers among the first places, each with its best claim; where there is a draft_id, of each draft."""
     first = recommendations.where("rank = 1")
+    by = [c for c in recommendations.columns if c == "draft_id"]
+    if by:
+        each = first.groupBy("draft_id", "ref_id").agg(F.max(F.struct("score", (-F.col("claim_id")).alias("c"))).alias("b"))
+        listed = each.select("draft_id", "ref_id", F.col("b.score").alias("score"), (-F.col("b.c")).alias("claim_id"))
+        order = Window.partitionBy("draft_id").orderBy(F.desc("score"), "claim_id", "ref_id")
+        return _flags(listed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n))
     by_paper = first.groupBy("ref_id").agg(F.max(F.struct("score", (-F.col("claim_id")).alias("c"))).alias("b"))
     return _flags(by_paper.select("ref_id", F.col("b.score").alias("score"), (-F.col("b.c")).alias("claim_id")).orderBy(F.desc("score"), "claim_id", "ref_id").limit(n))
 
@@ -70,6 +76,34 @@ def audit(claims: DataFrame, drafts: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.withColumn("outcome", outcome).drop("raw_text")
 
 
+def audit_counts(rows: DataFrame) -> DataFrame:
+    """draft_id, inserted, mismatched, not_accepted of audit rows."""
+    count = lambda o: F.count_if(F.col("outcome") == o)
+    return rows.groupBy("draft_id").agg(count("INSERTED").alias("inserted"), count("POSITION_MISMATCH").alias("mismatched"), count("NOT_ACCEPTED").alias("not_accepted"))
+
+
+def audit_columns(rows: DataFrame, accepted: DataFrame) -> DataFrame:
+    """The report's 15 columns after draft_id and claim_id, of audit rows (with section_title, paragraph_index, claim_text, claim_type,
+    existing_citation_status) and the accepted papers (claim_id, ref_id, at, title, year, link and, null without a
+    recommendation, score_percentage, verdict, recommendation_label, user_decision, user_note) in order of acceptance."""
+    fields = ("at", "ref_id", "title", "year", "link", "score_percentage", "verdict", "recommendation_label", "user_decision", "user_note")
+    papers = accepted.groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_p"))
+    said = lambda f: F.array_join(F.transform("_p", f), "; ")
+    first = F.get(F.filter("_p", lambda p: p["verdict"].isNotNull()), F.lit(0))
+    got = F.col("_p").isNotNull()
+    out = rows.join(papers, "claim_id", "left").withColumn("_r", first)
+    return out.select(
+        "draft_id", "claim_id", "section_title", "paragraph_index", F.coalesce(F.nullif("claim_text", F.lit("")), "sentence").alias("claim_text"),
+        "claim_type", "existing_citation_status", "citation_text",
+        F.when(got, said(lambda p: p["title"])).alias("reference_titles"),
+        F.when(got, said(lambda p: F.coalesce(p["year"].cast("string"), F.lit("n.d.")))).alias("reference_years"),
+        F.when(got, said(lambda p: F.nullif(p["link"], F.lit("")))).alias("reference_links"),
+        *[F.col(f"_r.{c}").alias(c) for c in ("score_percentage", "verdict", "recommendation_label")],
+        F.when(~got, "PENDING").otherwise(F.coalesce(F.when(F.col("_r").isNotNull(), F.col("_r.user_decision")), F.lit("ACCEPTED"))).alias("user_decision"),
+        F.col("_r.user_note").alias("user_note"), F.col("outcome").alias("insertion_status"),
+    )
+
+
 def bibliography_order(accepted: DataFrame) -> DataFrame:
     """draft_id, ref_id, number: a draft's papers in the order in which they were first accepted."""
     first = accepted.groupBy("draft_id", "ref_id").agg(F.min(F.struct("at", "claim_id")).alias("first"))

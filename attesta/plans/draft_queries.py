@@ -80,7 +80,7 @@ def mock_classify(spark, sf_dir):
 
 
 def claims_of_documents(spark, sf_dir):
-    """The prefilter over the first sentence of every document's lines."""
+    """The prefilter over every line of the documents."""
     lines = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("text"))
     return lines.select("doc_id", *[c.alias(k) for k, c in claims.prefilter(F.col("text"), F.lit(None).cast("string")).items()]).groupBy("doc_id", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
@@ -178,5 +178,5 @@ SELECT * EXCLUDE (c) FROM r WHERE needs_citation OR c > 0""",
     "gated_claims": "SELECT * FROM (SELECT l_suppkey AS draft_id, l_orderkey * 10 + l_linenumber AS char_start, row_number() OVER (PARTITION BY l_suppkey ORDER BY CASE WHEN l_linenumber % 5 <> 0 THEN l_discount ELSE 0 END DESC, l_orderkey * 10 + l_linenumber) AS gate_rank FROM lineitem WHERE l_returnflag <> 'A') WHERE gate_rank <= 40",
     "sdg_match": f"WITH {_MATCHED} SELECT text_id, goal, goal_name, hits, array_to_string(ps[1:10], '|') AS phrases, goal_rank FROM m",
     "sdg_pick": f"""WITH {_MATCHED}, k AS (SELECT text_id, goal, ps[1] AS first, list_filter(ps[1:10], lambda p: p NOT IN {_GENERIC})[1] AS other FROM m WHERE goal_rank = 1)
-SELECT text_id, goal, CASE WHEN first IN {_GENERIC} THEN other ELSE first END AS keyword, first IN {_GENERIC} AND other IS NULL AS declined FROM k""",
+SELECT text_id, goal, CASE WHEN first IN {_GENERIC} AND other IS NULL THEN NULL ELSE first END AS keyword, first IN {_GENERIC} AND other IS NULL AS declined FROM k""",
 }

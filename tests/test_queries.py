@@ -5,12 +5,12 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from attesta.plans import citation_queries, draft_queries, library_queries, retrieval_queries, service_queries
+from attesta.plans import bundle_queries, citation_queries, draft_queries, library_queries, retrieval_queries, service_queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = {k: f for m in (retrieval_queries, library_queries, draft_queries, citation_queries, service_queries) for k, f in m.QUERIES.items()}
-SQL = {k: s for m in (retrieval_queries, library_queries, draft_queries, citation_queries, service_queries) for k, s in m.SQL.items()}
+QUERIES = {k: f for m in (retrieval_queries, library_queries, draft_queries, citation_queries, service_queries, bundle_queries) for k, f in m.QUERIES.items()}
+SQL = {k: s for m in (retrieval_queries, library_queries, draft_queries, citation_queries, service_queries, bundle_queries) for k, s in m.SQL.items()}
 
 
 @pytest.fixture(scope="module")
