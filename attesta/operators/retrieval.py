@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.scoring import prerank_score
 from ..functions.text import jaccard, rounded, tokens
 
 RETRIEVED, PRERANKED = 20, 10
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: Claims go to the executors in blocks of this many vectors, a pass over the library for each.
-CLAIM_BLOCK = 4096
+#: A task compares so many claims with a block of papers at once.
+CLAIMS_AT_ONCE = 512
 
 
 def usable(vector: Column) -> Column:
@@ -25,50 +22,54 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _blocks(claims: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
-    names, rows = [], []
-    for r in claims.select("claim_id", "vector").where(usable(F.col("vector"))).toLocalIterator():
-        names.append(r.claim_id)
-        rows.append(r.vector)
-        if len(names) == CLAIM_BLOCK:
-            yield names, np.array(rows, np.float64)
-            names, rows = [], []
-    if names:
-        yield names, np.array(rows, np.float64)
+def _packed(rows: DataFrame, name: str) -> DataFrame:
+    """The usable vectors of ``rows`` (name_id, vector), a row for each Arrow batch: name_ids and name_vectors, these end to end."""
+    kind = rows.schema[f"{name}_id"].dataType.simpleString()
+
+    def pack(batches):
+        for batch in batches:
+            if batch.num_rows:
+                values = batch.column("vector").flatten()
+                ends = lambda n: pa.array([0, n], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends(batch.num_rows), batch.column(f"{name}_id")), pa.ListArray.from_arrays(ends(len(values)), values)], [f"{name}_ids", f"{name}_vectors"])
+
+    plain = rows.where(usable(F.col("vector"))).select(f"{name}_id", F.col("vector").cast("array<double>").alias("vector"))
+    return plain.mapInArrow(pack, f"{name}_ids array<{kind}>, {name}_vectors array<double>")
+
+
+def _directions(ids: pa.Array, values: pa.Array) -> np.ndarray:
+    x = values.to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def vector_topk(claims: DataFrame, library: DataFrame, k: int = RETRIEVED, min_year: int | None = None) -> DataFrame:
     """claim_id, ref_id, semantic (cosine, 9 decimals) and vector_rank of each claim's ``k`` nearest papers.
 
     ``claims``: claim_id, vector; ``library``: ref_id, vector and, with ``min_year``, year (null years are left
-    out). Exact: every paper meets every block of claims, keeps its batch's best and a window ranks the rest. Ties go to
-    the smaller ref_id. Claims and papers without a usable() vector have no row.
+    out). Exact: every block of papers meets every block of claims, keeps each claim's best and a window ranks the rest; all in
+    tasks, none through the driver. Ties go to the smaller ref_id. Claims and papers without a usable() vector have no row.
     """
-    papers = library.where(usable(F.col("vector")))
+    papers = library
     if min_year is not None:
         papers = papers.where(F.col("year") >= min_year)
-    papers = papers.select("ref_id", "vector")
-    kind, id_type = claims.schema["claim_id"].dataType.simpleString(), papers.schema["ref_id"].dataType.simpleString()
-    id_arrow = to_arrow_type(claims.schema["claim_id"].dataType)
-    schema, found = f"claim_id {kind}, ref_id {id_type}, semantic double", None
-    for names, matrix in _blocks(claims):
-        held = claims.sparkSession.sparkContext.broadcast((names, matrix / np.linalg.norm(matrix, axis=1, keepdims=True)))
-
-        def nearest(batches, held=held):
-            for batch in batches:
-                names, q = held.value
-                x = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                sim = np.floor(q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T * 1e9 + 0.5) / 1e9
-                # Equal similarities may lie across the k-th place: all of them go on.
-                at = min(k, batch.num_rows) - 1
-                least = -np.partition(-sim, at, axis=1)[:, at]
-                row, col = np.nonzero(sim >= least[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(names, id_arrow).take(pa.array(row)), batch.column("ref_id").take(pa.array(col)), pa.array(sim[row, col])], ["claim_id", "ref_id", "semantic"])
-
-        some = papers.mapInArrow(nearest, schema)
-        found = some if found is None else found.unionByName(some)
-    if found is None:
-        found = papers.sparkSession.createDataFrame([], schema)
+    kind, id_type = (df.schema[c].dataType.simpleString() for df, c in ((claims, "claim_id"), (papers, "ref_id")))
+
+    def nearest(batches):
+        for batch in batches:
+            for names, asked, refs, held in zip(*(batch.column(c) for c in ("claim_ids", "claim_vectors", "ref_ids", "ref_vectors"))):
+                names, refs = names.values, refs.values
+                q, x = _directions(names, asked.values), _directions(refs, held.values)
+                at = min(k, len(refs)) - 1
+                for first in range(0, len(names), CLAIMS_AT_ONCE):
+                    sim = np.floor(q[first : first + CLAIMS_AT_ONCE] @ x.T * 1e9 + 0.5) / 1e9
+                    # Equal similarities may lie across the k-th place: all of them go on.
+                    least = -np.partition(-sim, at, axis=1)[:, at]
+                    row, col = np.nonzero(sim >= least[:, None])
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(row + first)), refs.take(pa.array(col)), pa.array(sim[row, col])], ["claim_id", "ref_id", "semantic"])
+
+    # Blocks of claims meet blocks of papers: one row each, of thousands of vectors. Spark broadcasts the smaller side while it is small.
+    blocks = _packed(papers, "ref").crossJoin(_packed(claims.select("claim_id", "vector").repartition("claim_id"), "claim"))
+    found = blocks.mapInArrow(nearest, f"claim_id {kind}, ref_id {id_type}, semantic double")
     order = Window.partitionBy("claim_id").orderBy(F.desc("semantic"), "ref_id")
     return found.withColumn("vector_rank", F.row_number().over(order)).where(F.col("vector_rank") <= k)
 
