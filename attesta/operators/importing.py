@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalized_title
+from .staging import ensure_shared_dir
 
 MIN_ABSTRACT = 200
 ROUNDS = 12
@@ -55,6 +56,7 @@ def _settled(pairs: DataFrame) -> DataFrame:
     In rounds: a pair that is the first of all its identifiers is accepted, and those that share one with it go. Identifiers
     shared by many pairs are settled in one round. What hangs together in long chains after ROUNDS of them is read in order.
     """
+    ensure_shared_dir(pairs.sparkSession)
     accepted = []
     for _ in range(ROUNDS):
         keys = _keys(pairs)

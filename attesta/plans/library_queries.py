@@ -100,12 +100,6 @@ def dedupe_import_chains(spark, sf_dir):
         F.expr("concat('t', o_orderkey)").alias("title"),
         (F.col("o_orderkey") % 4 < 3).alias("has_id"),
     )
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="attesta-"))
     return importing.mark_duplicates(rows).select("row_no", "duplicate")
 
 
