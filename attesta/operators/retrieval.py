@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import prerank_score
 from ..functions.text import jaccard, rounded, tokens
+from .staging import computed_once
 
 RETRIEVED, PRERANKED = 20, 10
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -90,6 +91,8 @@ def bm25(queries: DataFrame, corpus: DataFrame, pairs: DataFrame | None = None)
     ``queries``: claim_id, words (repeats count); ``corpus``: ref_id, words. Statistics are those of the whole
     corpus. Only postings of tokens that some query has are made, and only of papers that some pair has.
     """
+    # Read for lengths, frequencies and postings: without a stop every text would be cut into tokens three times.
+    corpus = computed_once(corpus.select("ref_id", "words"))
     idf, totals = corpus_statistics(corpus)
     asked = queries.select("claim_id", F.explode("words").alias("token")).groupBy("claim_id", "token").agg(F.count(F.lit(1)).alias("times"))
     papers = corpus if pairs is None else corpus.join(pairs.select("ref_id").distinct(), "ref_id", "left_semi")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions.text import rounded, share_of, tokens
+from ..operators.drafts import gated
 from ..operators.retrieval import claim_words, prerank, vector_topk
 from ..operators.staging import computed_once
 
@@ -50,14 +51,25 @@ def scored(candidates: DataFrame) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(order))
 
 
-def recommend(claims: DataFrame, papers: DataFrame, min_year: int | None = None) -> DataFrame:
+def recommend_drafts(claims: DataFrame, papers: DataFrame, min_year: int | None = None, most: int = 40, verified: int = VERIFIED_CLAIMS) -> DataFrame:
+    """recommend() for drafts: the ``most`` claims of each (gated) go to retrieval, ``verified`` of each get verdicts.
+
+    ``claims``: draft_id, claim_id, needs_citation, confidence, char_start, claim_text, local_context, vector. A claim asks with its
+    context, or with its text where it has none.
+    """
+    query = F.coalesce(F.nullif(F.trim("local_context"), F.lit("")), F.col("claim_text"))
+    asked = gated(claims, most).select("draft_id", "claim_id", query.alias("query"), "vector")
+    return recommend(asked, papers, min_year, verified)
+
+
+def recommend(claims: DataFrame, papers: DataFrame, min_year: int | None = None, verified: int = VERIFIED_CLAIMS) -> DataFrame:
     """``claims``: claim_id, query, vector and, where they are of several drafts, draft_id; ``papers``: ref_id, title, abstract, year, vector."""
     words = papers.where("vector is not null").select("ref_id", tokens(F.concat_ws(" ", "title", "abstract")).alias("words"))
     asked = claims.select("claim_id", "query", tokens(F.col("query")).alias("query_words"), claim_words(F.col("query")).alias("keywords"))
     # The pairs filter the postings and are scored by them: without a stop the search would run for each of these branches.
     near = computed_once(vector_topk(claims, papers, min_year=min_year))
-    ranked = prerank(near, asked, papers.select("ref_id", tokens(F.col("title")).alias("keyword_words")), computed_once(words))
+    ranked = prerank(near, asked, papers.select("ref_id", tokens(F.col("title")).alias("keyword_words")), words)
     candidates = reranked(ranked, asked, papers)
     if "draft_id" in claims.columns:
         candidates = candidates.join(claims.select("claim_id", "draft_id"), "claim_id")
-    return scored(gate(computed_once(candidates)))
+    return scored(gate(computed_once(candidates), verified))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 from ..functions.text import RETRIEVAL_STOPWORDS, VERIFIER_STOPWORDS, hash_dimension, letters_of, rounded, tokens
 from ..operators import retrieval
-from .recommend import gate, recommend, reranked
+from .recommend import gate, recommend, recommend_drafts, reranked
 
 AS_OF_YEAR, WINDOW_YEARS = 2026, 5
 MIN_YEAR = AS_OF_YEAR - (WINDOW_YEARS - 1)
@@ -87,6 +87,16 @@ def recommend_pipeline(spark, sf_dir):
     return out.select("claim_id", "ref_id", "rank", rounded(F.col("semantic"), 4).alias("semantic"), rounded(F.col("lexical"), 4).alias("lexical"), rounded(F.col("keyword"), 4).alias("keyword"), rounded(F.col("rerank"), 4).alias("rerank"), "verdict", "percentage", "label")
 
 
+def recommend_by_draft(spark, sf_dir):
+    """Items as claims of three drafts, some without need or confidence, every fourth with a context: eight of each are asked, four verified."""
+    c = F.col("claim_id")
+    rows = claims(spark, sf_dir).select(
+        "claim_id", (c % 3).alias("draft_id"), (c % 7 != 0).alias("needs_citation"), F.when(c % 6 != 0, c % 5 / 10).alias("confidence"), c.alias("char_start"),
+        F.col("query").alias("claim_text"), F.when(c % 4 == 0, F.concat(F.lit("Claim: "), "query")).otherwise(" ").alias("local_context"), "vector",
+    )
+    return recommend_drafts(rows, papers(spark, sf_dir), most=8, verified=4).select("draft_id", "claim_id", "ref_id", "rank", "verdict", "percentage", "label")
+
+
 def jaccard_overlap(spark, sf_dir):
     near = retrieval.vector_topk(claims(spark, sf_dir), papers(spark, sf_dir))
     rows = near.join(claims(spark, sf_dir).select("claim_id", retrieval.claim_words(F.col("query")).alias("k")), "claim_id").join(papers(spark, sf_dir).select("ref_id", tokens(F.col("title")).alias("w")), "ref_id")
@@ -97,8 +107,8 @@ def jaccard_overlap(spark, sf_dir):
 
 def fake_embed_sparse(spark, sf_dir):
     words = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", r"[ \n\t\r]+")).alias("t"))
-    dims = words.select("doc_id", letters_of(F.col("t")).alias("t")).where("t <> ''").groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("k")).select("doc_id", hash_dimension(F.col("t")).alias("dim"), "k")
-    counts = dims.groupBy("doc_id", "dim").agg(F.sum("k").alias("n"))
+    dims = words.select("doc_id", letters_of(F.col("t")).alias("t")).where("t <> ''").select("doc_id", hash_dimension(F.col("t")).alias("dim"))
+    counts = dims.groupBy("doc_id", "dim").agg(F.count(F.lit(1)).alias("n"))
     norms = counts.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("norm"))
     return counts.join(norms, "doc_id").select("doc_id", "dim", "n", rounded(F.col("n") / F.col("norm"), 6).alias("weight"))
 
@@ -134,7 +144,7 @@ def score_labels(spark, sf_dir):
     return _scored(spark, sf_dir).groupBy("verdict", "has_abstract", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, recency_filtered_topk, tokenize_docs, bm25_topk, jaccard_overlap, hybrid_prerank, fake_rerank, claim_gate, mock_verdicts, recommend_pipeline, fake_embed_sparse, score_blend, score_skipped, score_caps, score_labels)}
+QUERIES = {f.__name__: f for f in (vector_topk, recency_filtered_topk, tokenize_docs, bm25_topk, jaccard_overlap, hybrid_prerank, fake_rerank, claim_gate, mock_verdicts, recommend_pipeline, recommend_by_draft, fake_embed_sparse, score_blend, score_skipped, score_caps, score_labels)}
 
 
 def _list(words) -> str:
@@ -225,6 +235,20 @@ valued AS (SELECT *, {_VALUE} AS v FROM parts),
 finals AS (SELECT *, {_final("s", "l", "k", "r", "v")} AS final FROM valued),
 shown AS (SELECT *, {_shown(_round("final", 9), "has_abstract")} AS percentage FROM finals)"""
 _TOKENS = _tok("text")
+_SHOWN = f"""ratios AS (SELECT *, {_RATIO} AS ratio FROM gated), judged AS (SELECT *, {_VERDICT} AS verdict FROM ratios), valued AS (SELECT *, {_VALUE} AS v FROM judged),
+finals AS (SELECT *, {_final("semantic", "lexical", "keyword", "rerank", "v")} AS final FROM valued),
+shown AS (SELECT *, trim(coalesce(abstract, '')) <> '' AS has, {_shown("final", "trim(coalesce(abstract, '')) <> ''")} AS percentage FROM finals)"""
+_OF_DRAFTS = {
+    TABLES[: TABLES.index("papers AS")]: """claims AS (SELECT claim_id, query, v FROM (SELECT item_id AS claim_id, CASE WHEN item_id % 4 = 0 THEN 'Claim: ' || text ELSE text END AS query, CAST(embedding AS DOUBLE[]) AS v,
+  row_number() OVER (PARTITION BY item_id % 3 ORDER BY CASE WHEN item_id % 6 = 0 THEN 0.0 ELSE (item_id % 5) / 10 END DESC, item_id) AS n FROM benchmark JOIN embeddings ON vec_id = item_id WHERE item_id % 7 <> 0) WHERE n <= 8),
+""",
+    CLAIMS_ALL: "claims_all AS (SELECT claim_id, query FROM claims)",
+    "best AS (SELECT claim_id FROM re GROUP BY claim_id ORDER BY max(rerank) DESC, claim_id LIMIT 20)": "best AS (SELECT claim_id FROM (SELECT claim_id, row_number() OVER (PARTITION BY claim_id % 3 ORDER BY max(rerank) DESC, claim_id) AS n FROM re GROUP BY claim_id) WHERE n <= 4)",
+}
+_DRAFTS = GATED
+for _whole, _each in _OF_DRAFTS.items():
+    assert _whole in _DRAFTS
+    _DRAFTS = _DRAFTS.replace(_whole, _each)
 
 SQL = {
     "vector_topk": f"WITH {TABLES}, {_near()} SELECT * FROM near",
@@ -237,9 +261,8 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY bm25
     "fake_rerank": f"WITH {RERANKED} SELECT claim_id, ref_id, prerank_rank, rerank FROM re",
     "claim_gate": f"WITH {GATED} SELECT claim_id, ref_id, rerank, rerank_rank FROM gated",
     "mock_verdicts": f"WITH {TABLES}, {_near()}, q AS (SELECT n.claim_id, n.ref_id, query, abstract FROM near n JOIN claims c ON c.claim_id = n.claim_id JOIN papers p ON p.ref_id = n.ref_id), ratios AS (SELECT *, {_RATIO} AS ratio FROM q) SELECT claim_id, ref_id, {_VERDICT} AS verdict FROM ratios",
-    "recommend_pipeline": f"""WITH {GATED}, ratios AS (SELECT *, {_RATIO} AS ratio FROM gated), judged AS (SELECT *, {_VERDICT} AS verdict FROM ratios), valued AS (SELECT *, {_VALUE} AS v FROM judged),
-finals AS (SELECT *, {_final("semantic", "lexical", "keyword", "rerank", "v")} AS final FROM valued),
-shown AS (SELECT *, trim(coalesce(abstract, '')) <> '' AS has, {_shown("final", "trim(coalesce(abstract, '')) <> ''")} AS percentage FROM finals)
+    "recommend_by_draft": f"""WITH {_DRAFTS}, {_SHOWN} SELECT claim_id % 3 AS draft_id, claim_id, ref_id, row_number() OVER (PARTITION BY claim_id ORDER BY percentage DESC, rerank_rank) AS rank, verdict, percentage, {_label("percentage", "has")} AS label FROM shown""",
+    "recommend_pipeline": f"""WITH {GATED}, {_SHOWN}
 SELECT claim_id, ref_id, row_number() OVER (PARTITION BY claim_id ORDER BY percentage DESC, rerank_rank) AS rank, {_round("semantic", 4)} AS semantic, {_round("lexical", 4)} AS lexical,
   {_round("keyword", 4)} AS keyword, {_round("rerank", 4)} AS rerank, verdict, percentage, {_label("percentage", "has")} AS label FROM shown""",
     "fake_embed_sparse": """WITH w AS (SELECT doc_id, regexp_replace(lower(t), '[^\\p{L}\\p{N}]', '', 'g') AS t FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \\n\\t\\r]+')) AS t FROM documents)),
