@@ -187,3 +187,14 @@ def test_identifiers_in_capitals_and_headers_of_one_column(spark):
     aliases = next(a for a in spreadsheets.COLUMN_ALIASES.values() if len(a) > 1)
     title, link = (spreadsheets.COLUMN_ALIASES[c][0] for c in ("title", "source_link"))
     assert spreadsheets.header_row([list(aliases), [title, link]]) == 1 or aliases[0] in (title, link)
+
+
+def test_one_claim_alone_gets_what_the_batch_gives(spark):
+    from attesta.plans.recommend import recommend
+
+    words = "solar wind turbine grid storage battery cell panel heat water soil crop".split()
+    papers = spark.createDataFrame([(i, f"On {words[i % 12]} and {words[i * 5 % 12]}", f"{words[i % 12]} improves {words[i * 7 % 12]} by {i} percent", 2020, [1.0, i % 4 + 0.5, i % 3 - 1.0]) for i in range(30)], "ref_id long, title string, abstract string, year int, vector array<double>")
+    claims = spark.createDataFrame([(i, f"{words[i]} improves {words[i + 3]} in the field", [1.0, i + 0.1, i / 3]) for i in range(4)], "claim_id long, query string, vector array<double>")
+    rows = lambda c: sorted((r.claim_id, r.ref_id, r.rank, r.percentage, r.label) for r in recommend(c, papers).collect())
+    together = rows(claims)
+    assert rows(claims.where("claim_id = 2")) == [r for r in together if r[0] == 2] != []
