@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, jaccard, linededup, packing, pii, quality, sharding, suffixdedup, toxicity
+from . import chat, clustering, decontaminate, embeddings, jaccard, linededup, packing, pii, quality, runs, sharding, suffixdedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffixdedup.op1_suffix_dedup,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_vectors": embeddings.op8_near_vectors,
     "op9_line_dedup": linededup.op9_line_dedup,
     "op10_quality": quality.op10_quality,
+    "op11_chat_format": chat.op11_chat_format,
+    "op12_periodic_runs": runs.op12_periodic_runs,
+    "op13_centroid_clusters": clustering.op13_centroid_clusters,
 }
 
 SQL: dict[str, str] = {
@@ -26,4 +29,6 @@ SQL: dict[str, str] = {
     "op4_jaccard": jaccard.OP4_SQL,
     "op8_near_vectors": embeddings.OP8_SQL,
     "op9_line_dedup": linededup.OP9_SQL,
+    "op11_chat_format": chat.OP11_SQL,
+    "op13_centroid_clusters": clustering.OP13_SQL,
 }
