@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,21 +9,16 @@ from pyspark.sql import functions as F
 from ..functions.scoring import prerank_score
 from ..functions.text import jaccard, rounded, tokens
 from .staging import computed_once
+from .text_index import inverse_frequencies, scored_pairs
+from .vector_index import CLAIMS_AT_ONCE, VectorIndex, best_of, cosines, directions, nearest_first, usable, usual_length
 
 RETRIEVED, PRERANKED = 20, 10
-K1, B, EPSILON = 1.5, 0.75, 0.25
-#: A task compares so many claims with a block of papers at once.
-CLAIMS_AT_ONCE = 512
+#: Claims' vectors go to every task up to this size.
+BROADCAST_BYTES = 32 << 20
 
 
-def usable(vector: Column) -> Column:
-    """Whether a vector has a direction: neither null nor empty nor zero, without null or non-finite components."""
-    finite = F.forall(vector, lambda x: F.coalesce((x == x) & ~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
-    return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
-
-
-def _packed(rows: DataFrame, name: str) -> DataFrame:
-    """The usable vectors of ``rows`` (name_id, vector), a row for each Arrow batch: name_ids and name_vectors, these end to end."""
+def _packed(rows: DataFrame, name: str, dimensions: int) -> DataFrame:
+    """The usable vectors of ``rows`` (name_id, vector) of this length, a row for each Arrow batch: name_ids and name_vectors, these end to end."""
     kind = rows.schema[f"{name}_id"].dataType.simpleString()
 
     def pack(batches):
@@ -32,78 +26,63 @@ def _packed(rows: DataFrame, name: str) -> DataFrame:
             if batch.num_rows:
                 values = batch.column("vector").flatten()
                 ends = lambda n: pa.array([0, n], pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends(batch.num_rows), batch.column(f"{name}_id")), pa.ListArray.from_arrays(ends(len(values)), values)], [f"{name}_ids", f"{name}_vectors"])
+                columns = [pa.ListArray.from_arrays(ends(batch.num_rows), batch.column(f"{name}_id")), pa.ListArray.from_arrays(ends(len(values)), values)]
+                yield pa.RecordBatch.from_arrays(columns, [f"{name}_ids", f"{name}_vectors"])
 
-    plain = rows.where(usable(F.col("vector"))).select(f"{name}_id", F.col("vector").cast("array<double>").alias("vector"))
+    plain = rows.where(usable(F.col("vector")) & (F.size("vector") == dimensions)).select(f"{name}_id", F.col("vector").cast("array<double>").alias("vector"))
     return plain.mapInArrow(pack, f"{name}_ids array<{kind}>, {name}_vectors array<double>")
 
 
-def _directions(ids: pa.Array, values: pa.Array) -> np.ndarray:
-    x = values.to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-
-def vector_topk(claims: DataFrame, library: DataFrame, k: int = RETRIEVED, min_year: int | None = None) -> DataFrame:
+def vector_topk(claims: DataFrame, library: DataFrame, k: int = RETRIEVED, min_year: int | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """claim_id, ref_id, semantic (cosine, 9 decimals) and vector_rank of each claim's ``k`` nearest papers.
 
     ``claims``: claim_id, vector; ``library``: ref_id, vector and, with ``min_year``, year (null years are left
-    out). Exact: every block of papers meets every block of claims, keeps each claim's best and a window ranks the rest; all in
-    tasks, none through the driver. Ties go to the smaller ref_id. Claims and papers without a usable() vector have no row.
+    out). Exact. Claims of up to ``broadcast_bytes`` go to every task, in blocks, and the papers pass by once, wherever they
+    are; more of them search an index, which is built for it (VectorIndex, to be kept where there are many searches).
+    Ties go to the smaller ref_id. Claims and papers without a usable() vector have no row, nor have vectors
+    of another length than most claims have.
     """
     papers = library
     if min_year is not None:
         papers = papers.where(F.col("year") >= min_year)
     kind, id_type = (df.schema[c].dataType.simpleString() for df, c in ((claims, "claim_id"), (papers, "ref_id")))
+    dimensions = usual_length(claims)
+    asked = claims.select("claim_id", "vector").where(usable(F.col("vector")) & (F.size("vector") == dimensions))
+    if asked.count() * dimensions * 8 > broadcast_bytes:
+        return VectorIndex.build(papers, dimensions).nearest(asked, k)[0]
 
     def nearest(batches):
         for batch in batches:
-            for names, asked, refs, held in zip(*(batch.column(c) for c in ("claim_ids", "claim_vectors", "ref_ids", "ref_vectors"))):
-                names, refs = names.values, refs.values
-                q, x = _directions(names, asked.values), _directions(refs, held.values)
-                at = min(k, len(refs)) - 1
-                for first in range(0, len(names), CLAIMS_AT_ONCE):
-                    sim = np.floor(q[first : first + CLAIMS_AT_ONCE] @ x.T * 1e9 + 0.5) / 1e9
-                    # Equal similarities may lie across the k-th place: all of them go on.
-                    least = -np.partition(-sim, at, axis=1)[:, at]
-                    row, col = np.nonzero(sim >= least[:, None])
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(row + first)), refs.take(pa.array(col)), pa.array(sim[row, col])], ["claim_id", "ref_id", "semantic"])
-
-    # Blocks of claims meet blocks of papers: one row each, of thousands of vectors. Spark broadcasts the smaller side while it is small.
-    blocks = _packed(papers, "ref").crossJoin(_packed(claims.select("claim_id", "vector").repartition("claim_id"), "claim"))
-    found = blocks.mapInArrow(nearest, f"claim_id {kind}, ref_id {id_type}, semantic double")
-    order = Window.partitionBy("claim_id").orderBy(F.desc("semantic"), "ref_id")
-    return found.withColumn("vector_rank", F.row_number().over(order)).where(F.col("vector_rank") <= k)
+            for names, vectors, refs, held in zip(*(batch.column(c) for c in ("claim_ids", "claim_vectors", "ref_ids", "ref_vectors"))):
+                q, x = directions(vectors.values.to_numpy(), dimensions), directions(held.values.to_numpy(), dimensions)
+                for first in range(0, len(q), CLAIMS_AT_ONCE):
+                    yield best_of(names.values.slice(first, CLAIMS_AT_ONCE), refs.values, cosines(q[first : first + CLAIMS_AT_ONCE], x), k)
+
+    blocks = _packed(papers, "ref", dimensions).crossJoin(F.broadcast(_packed(asked, "claim", dimensions)))
+    return nearest_first(blocks.mapInArrow(nearest, f"claim_id {kind}, ref_id {id_type}, semantic double"), k)
 
 
 def corpus_statistics(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """token, idf (with the floor for tokens in more than half of the documents) and n_docs, avg_length of ``corpus`` (ref_id, words)."""
-    totals = corpus.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("words")).alias("avg_length"))
+    """token, idf (with the floor for tokens in more than half of the documents) and n_docs, average (length) of ``corpus`` (ref_id, words)."""
+    totals = corpus.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("words")).alias("average"))
     in_docs = corpus.select(F.explode(F.array_distinct("words")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    raw = in_docs.join(F.broadcast(totals), F.lit(True)).select("token", (F.ln(F.col("n_docs") - F.col("n") + 0.5) - F.ln(F.col("n") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    idf = raw.join(F.broadcast(mean), F.lit(True)).select("token", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return idf, totals
+    return inverse_frequencies(in_docs, totals), totals
 
 
-def bm25(queries: DataFrame, corpus: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """claim_id, ref_id, bm25 for the pairs that share a token (of ``pairs``, where given).
+def bm25(queries: DataFrame, corpus: DataFrame, pairs: DataFrame) -> DataFrame:
+    """claim_id, ref_id, bm25 for those of the ``pairs`` that share a token. For the best of all documents see TextIndex.
 
     ``queries``: claim_id, words (repeats count); ``corpus``: ref_id, words. Statistics are those of the whole
-    corpus. Only postings of tokens that some query has are made, and only of papers that some pair has.
+    corpus; only papers that some pair has are cut into postings.
     """
     # Read for lengths, frequencies and postings: without a stop every text would be cut into tokens three times.
     corpus = computed_once(corpus.select("ref_id", "words"))
     idf, totals = corpus_statistics(corpus)
     asked = queries.select("claim_id", F.explode("words").alias("token")).groupBy("claim_id", "token").agg(F.count(F.lit(1)).alias("times"))
-    papers = corpus if pairs is None else corpus.join(pairs.select("ref_id").distinct(), "ref_id", "left_semi")
-    postings = papers.select("ref_id", F.size("words").alias("length"), F.explode("words").alias("token"))
-    postings = postings.join(asked.select("token").distinct(), "token", "left_semi").groupBy("ref_id", "token", "length").agg(F.count(F.lit(1)).alias("tf"))
-    weighted = postings.join(idf, "token").join(F.broadcast(totals), F.lit(True))
-    saturation = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    terms = asked.join(weighted.select("ref_id", "token", (F.col("idf") * saturation).alias("part")), "token")
-    if pairs is not None:
-        terms = terms.join(pairs.select("claim_id", "ref_id"), ["claim_id", "ref_id"], "left_semi")
-    return terms.groupBy("claim_id", "ref_id").agg(F.sum(F.col("times") * F.col("part")).alias("bm25"))
+    weights = asked.join(idf, "token").select("claim_id", "token", (F.col("times") * F.col("idf")).alias("weight"))
+    papers = corpus.join(pairs.select("ref_id").distinct(), "ref_id", "left_semi")
+    postings = papers.select("ref_id", F.size("words").alias("length"), F.explode("words").alias("token")).groupBy("ref_id", "length", "token").agg(F.count(F.lit(1)).alias("tf"))
+    return scored_pairs(pairs.select("claim_id", "ref_id"), postings, weights, totals)
 
 
 def min_max(value: Column, *by: str) -> Column:

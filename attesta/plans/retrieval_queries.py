@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 from ..functions.text import RETRIEVAL_STOPWORDS, VERIFIER_STOPWORDS, hash_dimension, letters_of, rounded, tokens
 from ..operators import retrieval
+from ..operators.staging import computed_once
+from ..operators.text_index import TextIndex
+from ..operators.vector_index import VectorIndex
 from .recommend import gate, recommend, recommend_drafts, reranked
 
 AS_OF_YEAR, WINDOW_YEARS = 2026, 5
@@ -34,11 +37,16 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_topk(spark, sf_dir):
-    return retrieval.vector_topk(claims(spark, sf_dir), papers(spark, sf_dir))
+    return VectorIndex.build(papers(spark, sf_dir)).nearest(claims(spark, sf_dir), retrieval.RETRIEVED)[0]
 
 
 def recency_filtered_topk(spark, sf_dir):
-    return retrieval.vector_topk(claims(spark, sf_dir), papers(spark, sf_dir), min_year=MIN_YEAR)
+    return VectorIndex.build(papers(spark, sf_dir)).nearest(claims(spark, sf_dir), retrieval.RETRIEVED, MIN_YEAR)[0]
+
+
+def vector_topk_scan(spark, sf_dir):
+    """vector_topk without an index: the claims go to the papers."""
+    return retrieval.vector_topk(claims(spark, sf_dir), papers(spark, sf_dir))
 
 
 def tokenize_docs(spark, sf_dir):
@@ -49,18 +57,14 @@ def tokenize_docs(spark, sf_dir):
 def bm25_topk(spark, sf_dir):
     corpus = papers(spark, sf_dir).select("ref_id", tokens(F.concat_ws(" ", "title", "abstract")).alias("words"))
     asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), tokens(F.col("text")).alias("words"))
-    found = retrieval.bm25(asked, corpus).withColumn("bm25", rounded(F.col("bm25"), 6))
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("claim_id").orderBy(F.desc("bm25"), "ref_id")
-    return found.withColumn("bm25_rank", F.row_number().over(order)).where("bm25_rank <= 20")
+    return TextIndex.build(corpus).best(asked, 20)[0]
 
 
 def _preranked(spark, sf_dir):
     c, p = claims(spark, sf_dir), papers(spark, sf_dir)
     words = p.where("vector is not null").select("ref_id", tokens(F.concat_ws(" ", "title", "abstract")).alias("words"))
     asked = c.select("claim_id", "query", tokens(F.col("query")).alias("query_words"), retrieval.claim_words(F.col("query")).alias("keywords"))
-    ranked = retrieval.prerank(retrieval.vector_topk(c, p), asked, p.select("ref_id", tokens(F.col("title")).alias("keyword_words")), words)
+    ranked = retrieval.prerank(computed_once(retrieval.vector_topk(c, p)), asked, p.select("ref_id", tokens(F.col("title")).alias("keyword_words")), words)
     return ranked, asked, p
 
 
@@ -144,7 +148,7 @@ def score_labels(spark, sf_dir):
     return _scored(spark, sf_dir).groupBy("verdict", "has_abstract", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, recency_filtered_topk, tokenize_docs, bm25_topk, jaccard_overlap, hybrid_prerank, fake_rerank, claim_gate, mock_verdicts, recommend_pipeline, recommend_by_draft, fake_embed_sparse, score_blend, score_skipped, score_caps, score_labels)}
+QUERIES = {f.__name__: f for f in (vector_topk, recency_filtered_topk, vector_topk_scan, tokenize_docs, bm25_topk, jaccard_overlap, hybrid_prerank, fake_rerank, claim_gate, mock_verdicts, recommend_pipeline, recommend_by_draft, fake_embed_sparse, score_blend, score_skipped, score_caps, score_labels)}
 
 
 def _list(words) -> str:
@@ -252,6 +256,7 @@ for _whole, _each in _OF_DRAFTS.items():
 
 SQL = {
     "vector_topk": f"WITH {TABLES}, {_near()} SELECT * FROM near",
+    "vector_topk_scan": f"WITH {TABLES}, {_near()} SELECT * FROM near",
     "recency_filtered_topk": f"WITH {TABLES}, {_near(f'AND year >= {MIN_YEAR}')} SELECT * FROM near",
     "tokenize_docs": f"SELECT doc_id, len({_TOKENS}) AS n_tokens, sha256(array_to_string({_TOKENS}, ' ')) AS tokens_hash FROM documents",
     "bm25_topk": f"""WITH {TABLES}, {CLAIMS_ALL}, {_bm25("", "")}
