@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalized_title
-from .staging import ensure_shared_dir
+from .staging import removed, written_once
 
 MIN_ABSTRACT = 200
-ROUNDS = 12
 #: Provider fields, each filled where it is blank; the citation count only where it is null.
 ENRICHED = ("abstract", "source_title", "year", "citation_count", "doi")
 
@@ -26,8 +24,8 @@ def mark_duplicates(rows: DataFrame) -> DataFrame:
     or, for rows without any identifier, the title. Rows that are duplicates themselves don't count as earlier ones.
 
     Of rows with the same pair of identifiers only the first can be accepted, so the pairs alone are looked at. With one
-    identifier each, a pair's first row is accepted. Where pairs share one of two identifiers they are settled in file
-    order, inside the group of pairs that hang together. Titles come last: the first accepted row of each decides.
+    identifier each, a pair's first row is accepted. Where pairs share one of two identifiers they are settled in rounds
+    (_settled). Titles come last: the first accepted row of each decides.
     """
     title = F.when(F.length(normalized_title(F.col("title"))) > 0, normalized_title(F.col("title")))
     keyed = rows.select("row_no", F.lower("doi").alias("_doi"), F.lower("eid").alias("_eid"), title.alias("_title"), "has_id")
@@ -50,53 +48,57 @@ def _keys(pairs: DataFrame) -> DataFrame:
     return pairs.select("first", F.explode(F.array_compact(F.array(F.concat(F.lit("d"), "_doi"), F.concat(F.lit("e"), "_eid")))).alias("key"))
 
 
+def _earlier(pairs: DataFrame) -> DataFrame:
+    """first, earlier (0, 1, or more than 1: how many earlier pairs share an identifier with it), which (the latest of the two that count).
+
+    Of each identifier only its first two pairs are looked for, by sums that each task makes before the shuffle; the rest have more than one before them.
+    """
+    keys = written_once(_keys(pairs), "keys")
+    least = keys.groupBy("key").agg(F.min("first").alias("least"))
+    placed = written_once(keys.join(least, "key"), "keys")
+    second = placed.where("first > least").groupBy("key").agg(F.min("first").alias("second"))
+    number = F.when(F.col("first") == F.col("least"), 0).when(F.col("first") == F.col("second"), 1).otherwise(2)
+    told = placed.join(second, "key", "left").select("first", number.alias("n"), F.when(F.col("first") > F.col("least"), F.col("least")).alias("which"))
+    return told.groupBy("first").agg(F.sum("n").alias("earlier"), F.max("which").alias("which"))
+
+
+def _alternating(earlier: DataFrame) -> DataFrame:
+    """first, accepted, of the pairs that hang, one by one, on a pair with nothing before it: every second one is accepted.
+
+    A pair with a single earlier neighbour is accepted if and only if that is not. Composed along a chain these choices
+    alternate, so the distance to the chain's start decides, which pointer doubling finds: rounds grow with the
+    logarithm of the longest chain.
+    """
+    # up: the pair that the chain was followed to, steps before this one; null where that is its start.
+    up = F.when(F.col("earlier") == 1, F.col("which"))
+    chains = written_once(earlier.where("earlier < 2").select("first", up.alias("up"), F.col("earlier").alias("steps")), "chains")
+    while not (open_ := chains.where("up is not null")).isEmpty():
+        ahead = chains.select(F.col("first").alias("up"), F.col("steps").alias("more"), F.col("up").alias("next"))
+        # What hangs on a pair with several before it finds nothing there and is left for a later round.
+        moved = open_.join(ahead, "up").select("first", F.col("next").alias("up"), F.col("steps") + F.col("more"))
+        before, chains = chains, written_once(chains.where("up is null").union(moved), "chains")
+        removed(before)
+    return chains.select("first", (F.col("steps") % 2 == 0).alias("accepted"))
+
+
 def _settled(pairs: DataFrame) -> DataFrame:
     """The accepted ones of the distinct pairs (_doi, _eid, first), in order of their first rows.
 
-    In rounds: a pair that is the first of all its identifiers is accepted, and those that share one with it go. Identifiers
-    shared by many pairs are settled in one round. What hangs together in long chains after ROUNDS of them is read in order.
+    A pair is accepted if no accepted earlier one shares an identifier with it. Each round settles all pairs that depend on a
+    pair with nothing before it, directly or along a chain (_alternating), and takes away what shares an identifier with an accepted one:
+    then pairs that waited for several are first themselves or part of a chain. So rounds grow with how deep such
+    pairs are nested, not with the length of chains, and no task has a group of pairs that hang together.
     """
-    ensure_shared_dir(pairs.sparkSession)
     accepted = []
-    for _ in range(ROUNDS):
-        keys = _keys(pairs)
-        least = keys.groupBy("key").agg(F.min("first").alias("least"))
-        judged = keys.join(least, "key").groupBy("first").agg(F.bool_and(F.col("first") == F.col("least")).alias("accepted"))
-        marked = pairs.join(judged, "first").checkpoint()
-        taken = marked.where("accepted").select("first", "_doi", "_eid")
+    pairs = written_once(pairs.select("first", "_doi", "_eid"), "pairs")
+    while not pairs.isEmpty():
+        judged = _alternating(written_once(_earlier(pairs), "earlier"))
+        taken = pairs.join(judged.where("accepted"), "first", "left_semi")
         accepted.append(taken.select("first"))
-        shared = _keys(marked.where("not accepted").select("first", "_doi", "_eid")).join(_keys(taken).select("key"), "key", "left_semi").select("first")
-        pairs = marked.where("not accepted").select("first", "_doi", "_eid").join(shared, "first", "left_anti").checkpoint()
-        if pairs.isEmpty():
-            return reduce(DataFrame.union, accepted)
-    return reduce(DataFrame.union, [*accepted, _read_in_order(pairs)])
-
-
-def _read_in_order(pairs: DataFrame) -> DataFrame:
-    """As _settled(), with one task for each group of pairs that hang together."""
-    keys = _keys(pairs).checkpoint()
-    groups = keys.select("first", F.col("first").alias("group")).distinct()
-    while True:
-        least = keys.join(groups, "first").groupBy("key").agg(F.min("group").alias("least"))
-        moved = keys.join(least, "key").groupBy("first").agg(F.min("least").alias("to"))
-        # A group's own group is a step ahead: the way to the least row halves each time.
-        ahead = moved.join(groups.select(F.col("first").alias("to"), F.col("group").alias("beyond")), "to")
-        after = groups.join(ahead.select("first", F.least("to", "beyond").alias("to")), "first").select("first", F.col("group").alias("was"), F.least("group", "to").alias("group")).checkpoint()
-        groups = after.select("first", "group")
-        if after.where("was <> group").isEmpty():
-            break
-
-    def settle(batch):
-        dois, eids, out = set(), set(), []
-        for first, doi, eid in batch.sort_values("first")[["first", "_doi", "_eid"]].itertuples(index=False):
-            if doi in dois or eid in eids:
-                continue
-            out.append(first)
-            dois |= {doi} - {None}
-            eids |= {eid} - {None}
-        return pd.DataFrame({"first": out}, dtype="int64")
-
-    return pairs.join(groups, "first").groupBy("group").applyInPandas(settle, "first long")
+        rest = pairs.join(judged, "first", "left_anti")
+        shared = _keys(rest).join(_keys(taken).select("key"), "key", "left_semi").select("first").distinct()
+        pairs = written_once(rest.join(shared, "first", "left_anti"), "pairs")
+    return reduce(DataFrame.union, accepted) if accepted else pairs.select("first")
 
 
 def known_rows(library: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -169,16 +171,21 @@ def library_winners(library: DataFrame, key: Column) -> DataFrame:
 
 def library_losers(library: DataFrame, keys: list[Column]) -> DataFrame:
     """ref_id, winner_id of the copies that go: those by the first key, then by each further key those that have not gone yet.
-    Where a later key's winner has gone itself, the paper that it went for is meant."""
-    out = None
+
+    A winner that has gone itself, by whichever key, is followed until one that stays, by pointer doubling. A
+    winner always precedes its copies in library_winners' order, so no way leads back.
+    """
+    lost = None
     for key in keys:
-        lost = library_winners(library, key).where("ref_id <> winner_id")
-        if out is not None:
-            lost = lost.join(out.select("ref_id"), "ref_id", "left_anti")
-            gone = out.select(F.col("ref_id").alias("winner_id"), F.col("winner_id").alias("_to"))
-            lost = out.unionByName(lost.join(gone, "winner_id", "left").select("ref_id", F.coalesce("_to", "winner_id").alias("winner_id")).where("ref_id <> winner_id"))
-        out = lost
-    return out
+        new = library_winners(library, key).where("ref_id <> winner_id")
+        lost = new if lost is None else lost.unionByName(new.join(lost.select("ref_id"), "ref_id", "left_anti"))
+    lost = written_once(lost, "losers")
+    while True:
+        further = lost.select(F.col("ref_id").alias("winner_id"), F.col("winner_id").alias("_to"))
+        if lost.join(further, "winner_id", "left_semi").isEmpty():
+            return lost
+        before, lost = lost, written_once(lost.join(further, "winner_id", "left").select("ref_id", F.coalesce("_to", "winner_id").alias("winner_id")), "losers")
+        removed(before)
 
 
 def repointed(children: DataFrame, losers: DataFrame) -> DataFrame:

@@ -148,8 +148,9 @@ m AS (SELECT c.*, a.fits, CASE WHEN list_contains(ps, k) THEN k ELSE ps[1] END A
 f AS (SELECT *, fits AND NOT (coalesce(k IN {_G}, false) AND len(list_filter(ps, lambda p: p NOT IN {_G})) = 0) AS ok FROM m)
 SELECT text_id, CASE WHEN ok THEN goal END AS goal, CASE WHEN ok THEN goal_name END AS goal_name, CASE WHEN ok THEN coalesce(k, CASE WHEN text_id % 4 = 2 THEN 'public transport' ELSE opening END) END AS keyword,
   CASE WHEN NOT ok THEN goal END AS closest_goal, CASE WHEN NOT ok THEN goal_name END AS closest_name FROM f""",
-    "library_merge": f"""WITH {_DOCS}, d AS (SELECT * FROM ({_won("doi")}) WHERE ref_id <> winner_id), e AS (SELECT * FROM ({_won("eid")}) WHERE ref_id <> winner_id AND ref_id NOT IN (SELECT ref_id FROM d)),
-s AS (SELECT e.ref_id, coalesce(d.winner_id, e.winner_id) AS winner_id FROM e LEFT JOIN d ON d.ref_id = e.winner_id) SELECT * FROM d UNION ALL SELECT * FROM s WHERE ref_id <> winner_id""",
+    "library_merge": f"""WITH RECURSIVE {_DOCS}, d AS (SELECT * FROM ({_won("doi")}) WHERE ref_id <> winner_id), e AS (SELECT * FROM ({_won("eid")}) WHERE ref_id <> winner_id AND ref_id NOT IN (SELECT ref_id FROM d)),
+g AS (SELECT * FROM d UNION ALL SELECT * FROM e), w AS (SELECT ref_id, winner_id FROM g UNION ALL SELECT w.ref_id, g.winner_id FROM w JOIN g ON g.ref_id = w.winner_id)
+SELECT ref_id, winner_id FROM w WHERE winner_id NOT IN (SELECT ref_id FROM g)""",
     "repointed_rows": """WITH r AS (SELECT l_orderkey % 500 AS claim_id, l_partkey AS old, CASE WHEN l_partkey % 10 IN (1, 2) THEN l_partkey - l_partkey % 10 ELSE l_partkey END AS ref_id, max(l_orderkey) AS note FROM lineitem GROUP BY 1, 2)
 SELECT claim_id, ref_id, arg_min(note, (ref_id <> old, old)) AS note FROM r GROUP BY 1, 2""",
     "backfill_by_keys": """WITH b AS (SELECT doc_id AS ref_id, CASE WHEN doc_id % 5 = 0 THEN text END AS abstract FROM documents WHERE doc_id % 2 = 0),

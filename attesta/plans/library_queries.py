@@ -257,6 +257,13 @@ SQL = {
     "content_hash": "SELECT doc_id, sha256(split_part(text, chr(10), 1) || ' [SEP] ' || text || ' Keywords: ' || lang || '; ' || source) AS content_hash, sha256(regexp_replace(lower(trim(split_part(text, chr(10), 1))), '\\s+', ' ', 'g')) AS claim_hash FROM documents",
     "stale_rows": "SELECT doc_id FROM documents WHERE NOT (doc_id IN (SELECT vec_id FROM embeddings) AND doc_id IN (SELECT doc_id FROM labels))",
     "dedupe_import": f"WITH {_IMPORT} SELECT row_no, duplicate FROM d",
+    "dedupe_import_chains": """WITH RECURSIVE r AS (SELECT o_orderkey AS row_no, o_orderkey % 4 < 3 AS has_id, CASE WHEN o_orderkey % 4 < 2 THEN o_custkey END AS doi, CASE WHEN o_orderkey % 4 IN (1, 2) THEN o_custkey END AS eid FROM orders),
+s AS (SELECT 0 AS round, row_no, doi, eid, 'open' AS state FROM r WHERE has_id
+UNION ALL SELECT round + 1, row_no, doi, eid, CASE WHEN state <> 'open' THEN state WHEN doi IS NOT NULL AND doi_taken OR eid IS NOT NULL AND eid_taken THEN 'refused'
+  WHEN (doi IS NULL OR row_no = doi_first) AND (eid IS NULL OR row_no = eid_first) THEN 'accepted' ELSE 'open' END
+  FROM (SELECT *, bool_or(state = 'open') OVER () AS any_open, bool_or(state = 'accepted') OVER d AS doi_taken, min(CASE WHEN state = 'open' THEN row_no END) OVER d AS doi_first,
+    bool_or(state = 'accepted') OVER e AS eid_taken, min(CASE WHEN state = 'open' THEN row_no END) OVER e AS eid_first FROM s WINDOW d AS (PARTITION BY doi), e AS (PARTITION BY eid)) WHERE any_open)
+SELECT row_no, has_id AND row_no NOT IN (SELECT row_no FROM s WHERE state = 'accepted') AS duplicate FROM r""",
     "import_summary": f"WITH {_IMPORT} SELECT count(*) FILTER (WHERE row_no % 11 <> 0 AND NOT duplicate) AS imported, count(*) FILTER (WHERE row_no % 11 <> 0 AND duplicate) AS duplicates, count(*) FILTER (WHERE row_no % 11 = 0) AS invalid FROM d",
     "abstract_backfill": """WITH offer AS (SELECT '10.1/' || doc_id % 300 AS doi, arg_min(text, doc_id) AS a FROM documents WHERE length(text) >= 200 GROUP BY 1),
 l AS (SELECT doc_id AS ref_id, '10.1/' || doc_id AS doi, CASE WHEN doc_id % 2 = 0 THEN text END AS abstract FROM documents),

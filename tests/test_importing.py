@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 from attesta.operators import importing
 
 SCHEMA = "row_no long, doi string, eid string, has_id boolean, title string"
@@ -48,3 +50,21 @@ def test_only_trusted_abstracts_fill_gaps(spark):
     incoming = spark.createDataFrame([(1, "a", "x" * 200), (2, "b", "y" * 200), (3, "c", "short")], "row_no long, doi string, abstract string")
     out = {r.ref_id: (r.status, r.stale) for r in importing.backfilled(library, incoming).collect()}
     assert out == {1: ("ENRICHED", True), 2: ("ENRICHED", False), 3: ("PENDING", False)}
+
+
+def test_a_long_chain_takes_rounds_by_its_logarithm(spark, monkeypatch):
+    rows = [(i, f"d{i // 2}", f"e{(i + 1) // 2}", True, None) for i in range(3000)]
+    rows += [(10_000 + i, "hub", f"h{i}", True, None) for i in range(200)] + [(9000 + i, None, f"h{i}", True, None) for i in range(150)]
+    written = []
+    monkeypatch.setattr(importing, "written_once", lambda df, label, f=importing.written_once: written.append(label) or f(df, label))
+    assert marked(spark, rows) == sequential(rows)
+    assert written.count("chains") <= 16
+
+
+def test_winners_that_went_themselves_are_followed(spark):
+    # 1 and 2 share a DOI, 2 and 3 an EID, 3 and 4 a title.
+    rows = [(1, False, 9, "d", None, None), (2, False, 8, "d", "e", None), (3, False, 7, None, "e", "t"), (4, False, 6, None, None, "t"), (5, True, 9, None, None, None)]
+    library = spark.createDataFrame(rows, "ref_id long, has_abstract boolean, created_at int, doi string, eid string, title string").selectExpr("*", "false as embedded")
+    losers = importing.library_losers(library, [F.col("doi"), F.col("eid"), F.col("title")])
+    assert {r.ref_id: r.winner_id for r in losers.collect()} == {1: 4, 2: 4, 3: 4}
+    assert importing.library_losers(library.where("ref_id = 5"), [F.col("doi"), F.col("eid")]).count() == 0
