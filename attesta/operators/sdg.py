@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.phrases import matcher
+
 # A small table of goals and phrases of our own: * stands for any run of characters, ? for one, "and" for both parts.
 GOALS = (
     (1, "No Poverty", ("poverty", "social protection", "income and inequality")),
@@ -29,36 +34,50 @@ GOALS = (
 GENERIC = ("framework", "model", "system", "innovation", "technology", "management")
 
 
-def goal_phrases(spark: SparkSession, goals=GOALS) -> DataFrame:
-    rows = [(g, name, p, i) for g, name, phrases in goals for i, p in enumerate(phrases)]
-    return spark.createDataFrame(rows, "goal int, goal_name string, phrase string, phrase_no int")
+#: The list of goals goes to every task; a list over this size is an error.
+MOST_LIST_BYTES = 8 << 20
 
 
-def _pattern(part: str) -> str:
-    out = "".join(".*" if c == "*" else "." if c == "?" else c if c.isalnum() or c == " " else "\\" + c for c in part)
-    return f"(?i){out}"
+def goals_from_json(spark: SparkSession, path: str) -> tuple[tuple[int, str, tuple[str, ...]], ...]:
+    """Goals by number, from a JSON array of objects with number, name and keywords."""
+    rows = spark.read.schema("number int, name string, keywords array<string>").json(path, multiLine=True)
+    size = rows.agg(F.sum(F.length("name") + F.length(F.array_join("keywords", " ")))).first()[0] or 0
+    if size > MOST_LIST_BYTES:
+        raise ValueError(f"a list of goals may have {MOST_LIST_BYTES} characters, this one has {size}")
+    return tuple((r.number, r.name, tuple(r.keywords)) for r in rows.orderBy("number").collect())
 
 
-def matched_goals(texts: DataFrame, top: int = 3, most: int = 10, goals=GOALS) -> DataFrame:
-    """text_id, goal, goal_name, hits, phrases (longest first) and goal_rank: each text's ``top`` goals by how many phrases hit.
+def with_hits(texts: DataFrame, goals=GOALS, name: str = "goal_hits") -> DataFrame:
+    """``texts`` (text and more) with every goal (goal, goal_name, phrases): the phrases that hit, longest first.
 
-    Phrases match anywhere, in any case; one with "and" when each of its parts does. The phrases are a fixed, small list, so
-    they are expressions over the texts: one scan, no join.
+    Phrases match anywhere, in any case (functions/phrases.py): one pass over each text, whatever their number.
     """
-    each = texts.select("text_id", F.explode(_hits(goals)).alias("g")).select("text_id", "g.*").where(F.size("phrases") > 0)
-    order = Window.partitionBy("text_id").orderBy(F.desc("hits"), "goal")
-    ranked = each.withColumn("hits", F.size("phrases")).withColumn("goal_rank", F.row_number().over(order))
-    return ranked.where(F.col("goal_rank") <= top).withColumn("phrases", F.slice("phrases", 1, most))
+    held = texts.sparkSession.sparkContext.broadcast(tuple(p for _, _, phrases in goals for p in phrases))
+    of_goal = [i for i, (_, _, phrases) in enumerate(goals) for _ in phrases]
+    at = texts.columns.index("text")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look, phrases = matcher(held.value), held.value
+        for batch in batches:
+            rows = []
+            for text in batch.column(at):
+                hit = [[] for _ in goals]
+                for i in look.found(text.as_py()):
+                    hit[of_goal[i]].append(phrases[i])
+                rows.append([{"goal": g, "goal_name": goal_name, "phrases": sorted(found, key=lambda p: (-len(p), p))} for (g, goal_name, _), found in zip(goals, hit)])
+            kind = pa.list_(pa.struct([("goal", pa.int32()), ("goal_name", pa.string()), ("phrases", pa.list_(pa.string()))]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], [*batch.schema.names, name])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema)
+    return texts.mapInArrow(find, f"{kinds}, {name} array<struct<goal: int, goal_name: string, phrases: array<string>>>")
 
 
-def _hits(goals) -> Column:
-    """Each goal with the phrases that hit, longest first."""
-    found = []
-    for goal, name, phrases in goals:
-        hits = [F.when(_all_parts(p), F.lit(p)) for p in phrases]
-        longest = F.array_sort(F.array_compact(F.array(*hits)), lambda a, b: F.when(F.length(b) != F.length(a), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-        found.append(F.struct(F.lit(goal).alias("goal"), F.lit(name).alias("goal_name"), longest.alias("phrases")))
-    return F.array(*found)
+def matched_goals(texts: DataFrame, top: int = 3, most: int = 10, goals=GOALS) -> DataFrame:
+    """text_id, goal, goal_name, hits, phrases (longest first) and goal_rank: each text's ``top`` goals by how many phrases hit."""
+    hit = F.filter("goal_hits", lambda g: F.size(g["phrases"]) > 0)
+    ordered = F.array_sort(F.transform(hit, lambda g: F.struct((-F.size(g["phrases"])).alias("n"), g["goal"].alias("goal"), g["goal_name"].alias("goal_name"), g["phrases"].alias("phrases"))))
+    each = with_hits(texts.select("text_id", "text"), goals).select("text_id", F.posexplode(F.slice(ordered, 1, top)).alias("at", "g"))
+    return each.select("text_id", "g.goal", "g.goal_name", F.slice("g.phrases", 1, most).alias("phrases"), (-F.col("g.n")).alias("hits"), (F.col("at") + 1).alias("goal_rank"))
 
 
 def with_candidates(texts: DataFrame, most: int = 10, goals=GOALS) -> DataFrame:
@@ -66,9 +85,10 @@ def with_candidates(texts: DataFrame, most: int = 10, goals=GOALS) -> DataFrame:
 
     Goals that no phrase hits stand as bare names after the others, and alone where no goal is hit. Blank texts go.
     """
-    hit = F.transform(_hits(goals), lambda g: F.struct((-F.size(g["phrases"])).alias("order"), g["goal"].alias("goal"), g["goal_name"].alias("goal_name"), F.slice(g["phrases"], 1, most).alias("phrases")))
+    hit = F.transform("goal_hits", lambda g: F.struct((-F.size(g["phrases"])).alias("order"), g["goal"].alias("goal"), g["goal_name"].alias("goal_name"), F.slice(g["phrases"], 1, most).alias("phrases")))
     listed = F.transform(F.array_sort(hit), lambda g: F.struct(g["goal"].alias("goal"), g["goal_name"].alias("goal_name"), g["phrases"].alias("phrases")))
-    return texts.where(F.trim(F.coalesce("text", F.lit(""))) != "").withColumn("candidates", listed)
+    told = texts.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    return with_hits(told, goals).withColumn("candidates", listed).drop("goal_hits")
 
 
 def classified(asked: DataFrame, goals=GOALS) -> DataFrame:
@@ -89,7 +109,8 @@ def classified(asked: DataFrame, goals=GOALS) -> DataFrame:
     out = out.withColumn("_k", F.when(plain(said) != plain(F.col("_m.goal_name")), said))
     generic = F.coalesce(plain(F.col("_k")).isin(*GENERIC), F.lit(False)) & ~F.exists(hits, lambda p: ~plain(p).isin(*GENERIC))
     out = out.withColumn("_fits", F.coalesce("answer_fits", F.lit(True)) & ~generic)
-    full = F.element_at(F.create_map(*[x for g, _, phrases in goals for x in (F.lit(g), F.array(*map(F.lit, phrases)))]), F.col("_m.goal"))
+    lists = asked.sparkSession.createDataFrame([(g, list(phrases)) for g, _, phrases in goals], "_g int, _full array<string>")
+    out, full = out.join(F.broadcast(lists), F.col("_m.goal") == F.col("_g"), "left"), F.col("_full")
     followed = F.when(F.array_contains(full, F.col("answer_follow_up")), F.col("answer_follow_up")).otherwise(F.get(full, F.lit(0)))
     fits = F.col("_fits")
     return out.withColumns(
@@ -100,15 +121,7 @@ def classified(asked: DataFrame, goals=GOALS) -> DataFrame:
             "closest_goal": F.when(~fits, F.col("_m.goal")),
             "closest_name": F.when(~fits, F.col("_m.goal_name")),
         }
-    ).drop("_m", "_k", "_fits")
-
-
-def _all_parts(phrase: str):
-    text = F.coalesce(F.col("text"), F.lit(""))
-    out = F.lit(True)
-    for part in phrase.split(" and "):
-        out = out & text.rlike(_pattern(part.strip()))
-    return out
+    ).drop("_m", "_k", "_fits", "_g", "_full")
 
 
 def pick(matches: DataFrame) -> DataFrame:

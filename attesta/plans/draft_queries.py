@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import claims
 from ..functions.text import sentence_hash
 from ..operators import drafts, sdg
+from ..operators.staging import ensure_shared_dir
 from .retrieval_queries import read
 
 
@@ -114,7 +117,27 @@ def sdg_pick(spark, sf_dir):
     return sdg.pick(sdg.matched_goals(_texts(spark, sf_dir)))
 
 
-_ALL = (block_offsets, section_titles, local_context, sentence_offsets, find_citations, prefilter_signals, mock_classify, claims_of_documents, resolved_claims, gated_claims, sdg_match, sdg_pick)
+#: Phrases of all kinds that the items' words make, as goals; the same expressions in both dialects.
+WORDS = "regexp_extract_all(lower(text), '[a-z]{{3,}}'{group})"
+PHRASE = "case i % 4 when 0 then concat(a, ' ', b) when 1 then concat(a, ' and ', c) when 2 then concat(a, '*', b) else concat(substr(a, 1, 2), '?', substr(a, 4), ' ', b) end"
+PATTERN = "case i % 4 when 2 then concat(a, '.*', b) else concat(substr(a, 1, 2), '.', substr(a, 4), ' ', b) end"
+
+
+def sdg_match_list(spark, sf_dir):
+    """Goals of all documents by a JSON list of phrases that has thousands: every second word of the items starts one."""
+    words = read(spark, sf_dir, "benchmark").select("item_id", F.expr(WORDS.format(group=", 0")).alias("w"))
+    each = words.select("item_id", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1)), F.lit(2))).alias("i")).where("i + 3 <= size(w)")
+    phrases = each.selectExpr("item_id", "i div 2 as i", "w[i - 1] as a", "w[i] as b", "w[i + 2] as c").selectExpr("cast(item_id % 17 + 1 as int) as number", f"{PHRASE} as phrase").distinct()
+    goals = phrases.groupBy("number").agg(F.sort_array(F.collect_list("phrase")).alias("keywords")).select("number", F.concat(F.lit("Goal "), "number").alias("name"), "keywords")
+    path = f"{ensure_shared_dir(spark)}/goals-{uuid.uuid4().hex}"
+    listed = goals.agg(F.to_json(F.sort_array(F.collect_list(F.struct("number", "name", "keywords")))).alias("value"))
+    listed.coalesce(1).write.text(path)
+    texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    found = sdg.matched_goals(texts, goals=sdg.goals_from_json(spark, path))
+    return found.select("text_id", "goal", F.col("hits").cast("long").alias("hits"), F.sha2(F.array_join("phrases", "|"), 256).alias("phrases_hash"), "goal_rank")
+
+
+_ALL = (block_offsets, section_titles, local_context, sentence_offsets, find_citations, prefilter_signals, mock_classify, claims_of_documents, resolved_claims, gated_claims, sdg_match, sdg_pick, sdg_match_list)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _NORM = "trim(regexp_replace(replace(replace(t, chr(160), ' '), chr(13), ''), '[ \\t]+', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12))"
@@ -151,7 +174,8 @@ _CROSS = "regexp_replace(text, '" + claims.CROSS_REFERENCE + "', '(', 'g')"
 
 
 def _phrase(phrase: str) -> str:
-    return "(" + " AND ".join(f"regexp_matches(text, '{sdg._pattern(p.strip())}')" for p in phrase.split(" and ")) + ")"
+    written = lambda p: p.replace("*", ".*").replace("?", ".")
+    return "(" + " AND ".join(f"regexp_matches(text, '(?i){written(p)}')" for p in phrase.split(" and ")) + ")"
 
 
 _GOALS = " UNION ALL ".join(f"SELECT text_id, {g} AS goal, '{name}' AS goal_name, '{p}' AS phrase FROM t WHERE {_phrase(p)}" for g, name, phrases in sdg.GOALS for p in phrases)
@@ -176,6 +200,13 @@ r AS (SELECT s_suppkey, CASE WHEN known THEN s_suppkey % 2 = 0 ELSE verdict = 'S
   text AS claim_text, CASE WHEN known THEN 'LLM' ELSE 'RULE' END AS detection_method, sha256(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g')) AS claim_hash, len({_CITED}) AS c FROM q)
 SELECT * EXCLUDE (c) FROM r WHERE needs_citation OR c > 0""",
     "gated_claims": "SELECT * FROM (SELECT l_suppkey AS draft_id, l_orderkey * 10 + l_linenumber AS char_start, row_number() OVER (PARTITION BY l_suppkey ORDER BY CASE WHEN l_linenumber % 5 <> 0 THEN l_discount ELSE 0 END DESC, l_orderkey * 10 + l_linenumber) AS gate_rank FROM lineitem WHERE l_returnflag <> 'A') WHERE gate_rank <= 40",
+    "sdg_match_list": f"""WITH w AS (SELECT item_id, {WORDS.format(group="")} AS w FROM benchmark),
+e AS (SELECT item_id, i // 2 AS i, w[i] AS a, w[i + 1] AS b, w[i + 3] AS c FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1, 2)) AS i FROM w) WHERE i + 3 <= len(w)),
+p AS (SELECT CAST(item_id % 17 + 1 AS INTEGER) AS goal, {PHRASE} AS phrase, any_value(i % 4) AS kind, any_value(a) AS a, any_value(b) AS b, any_value(c) AS c, any_value({PATTERN}) AS pattern FROM e GROUP BY 1, 2),
+d AS (SELECT doc_id AS text_id, lower(text) AS text FROM documents),
+h AS (SELECT text_id, goal, phrase FROM d, p WHERE CASE kind WHEN 0 THEN contains(text, phrase) WHEN 1 THEN contains(text, a) AND contains(text, c) ELSE contains(text, substr(a, 1, 2)) AND contains(text, b) AND regexp_matches(text, pattern) END),
+g AS (SELECT text_id, goal, count(*) AS hits, list(phrase ORDER BY length(phrase) DESC, phrase) AS ps FROM h GROUP BY 1, 2)
+SELECT * FROM (SELECT text_id, goal, hits, sha256(array_to_string(ps[1:10], '|')) AS phrases_hash, row_number() OVER (PARTITION BY text_id ORDER BY hits DESC, goal) AS goal_rank FROM g) WHERE goal_rank <= 3""",
     "sdg_match": f"WITH {_MATCHED} SELECT text_id, goal, goal_name, hits, array_to_string(ps[1:10], '|') AS phrases, goal_rank FROM m",
     "sdg_pick": f"""WITH {_MATCHED}, k AS (SELECT text_id, goal, ps[1] AS first, list_filter(ps[1:10], lambda p: p NOT IN {_GENERIC})[1] AS other FROM m WHERE goal_rank = 1)
 SELECT text_id, goal, CASE WHEN first IN {_GENERIC} AND other IS NULL THEN NULL ELSE first END AS keyword, first IN {_GENERIC} AND other IS NULL AS declined FROM k""",
