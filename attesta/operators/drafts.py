@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.claims import INTRODUCTION
+from ..functions.offsets import WHITE
 
 #: Between blocks in a draft's text.
 SEPARATOR = 2
@@ -15,7 +16,7 @@ ABBREVIATIONS = ("al.", "e.g.", "i.e.", "etc.", "vs.", "cf.", "Fig.", "Figs.", "
 
 def normalized_paragraph(text: Column) -> Column:
     text = F.replace(F.replace(text, F.lit(" "), F.lit(" ")), F.lit("\r"), F.lit(""))
-    return F.btrim(F.regexp_replace(text, "[ \t]+", " "), F.lit(" \t\n\x0b\x0c"))
+    return F.btrim(F.regexp_replace(text, "[ \t]+", " "), F.lit(WHITE))
 
 
 def assembled(raw: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import claims
+from ..functions.offsets import normalized_with_map, source_span
 from ..functions.text import sentence_hash
 from ..operators import drafts, sdg
 from ..operators.staging import ensure_shared_dir
@@ -117,6 +118,34 @@ def sdg_pick(spark, sf_dir):
     return sdg.pick(sdg.matched_goals(_texts(spark, sf_dir)))
 
 
+#: Documents with white space of all kinds.
+RAW = "concat(' ', chr(13), chr(10), chr(9), replace(replace(replace(text, '. ', concat('.', chr(9), ' ', chr(13), ' ')), ', ', concat(',', chr(160), chr(160))), chr(10), concat(chr(13), chr(10))), ' ', chr(13), chr(10))"
+
+
+def offset_map(spark, sf_dir):
+    """Where the characters of each normalised document came from, and the source of its middle third."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.expr(RAW).alias("raw"))
+    mapped = docs.select("doc_id", "raw", normalized_with_map("raw").alias("m")).select("doc_id", "raw", "m.normalized", "m.runs")
+    n = F.char_length("normalized")
+    mapped = mapped.withColumn("span", source_span(F.col("runs"), F.floor(n / 3).cast("int"), F.floor(2 * n / 3).cast("int")))
+    long_ = lambda r: [r[c].cast("long") for c in ("start", "source", "length")]
+
+    def total(r):
+        start, source, size = long_(r)
+        return size * source + F.shiftright(size * (size - 1), 1)
+
+    def weighted(r):
+        start, source, size = long_(r)
+        return size * start * source + (start + source) * F.shiftright(size * (size - 1), 1) + F.floor((size - 1) * size * (2 * size - 1) / 6)
+
+    added = lambda f: F.aggregate("runs", F.lit(0).cast("long"), lambda acc, r: acc + f(r).cast("long"))
+    return mapped.select(
+        "doc_id", n.cast("long").alias("n_chars"), F.size("runs").cast("long").alias("n_runs"), added(total).alias("source_sum"), added(weighted).alias("weighted_sum"),
+        F.col("span.start").cast("long").alias("span_start"), F.col("span.end").cast("long").alias("span_end"),
+        F.sha2("normalized", 256).alias("normalized_hash"), F.sha2(F.substr("raw", F.col("span.start") + 1, F.col("span.end") - F.col("span.start")), 256).alias("span_hash"),
+    )
+
+
 #: Phrases of all kinds that the items' words make, as goals; the same expressions in both dialects.
 WORDS = "regexp_extract_all(lower(text), '[a-z]{{3,}}'{group})"
 PHRASE = "case i % 4 when 0 then concat(a, ' ', b) when 1 then concat(a, ' and ', c) when 2 then concat(a, '*', b) else concat(substr(a, 1, 2), '?', substr(a, 4), ' ', b) end"
@@ -137,7 +166,7 @@ def sdg_match_list(spark, sf_dir):
     return found.select("text_id", "goal", F.col("hits").cast("long").alias("hits"), F.sha2(F.array_join("phrases", "|"), 256).alias("phrases_hash"), "goal_rank")
 
 
-_ALL = (block_offsets, section_titles, local_context, sentence_offsets, find_citations, prefilter_signals, mock_classify, claims_of_documents, resolved_claims, gated_claims, sdg_match, sdg_pick, sdg_match_list)
+_ALL = (block_offsets, section_titles, local_context, sentence_offsets, find_citations, prefilter_signals, mock_classify, claims_of_documents, resolved_claims, gated_claims, sdg_match, sdg_pick, sdg_match_list, offset_map)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _NORM = "trim(regexp_replace(replace(replace(t, chr(160), ' '), chr(13), ''), '[ \\t]+', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12))"
@@ -200,6 +229,17 @@ r AS (SELECT s_suppkey, CASE WHEN known THEN s_suppkey % 2 = 0 ELSE verdict = 'S
   text AS claim_text, CASE WHEN known THEN 'LLM' ELSE 'RULE' END AS detection_method, sha256(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g')) AS claim_hash, len({_CITED}) AS c FROM q)
 SELECT * EXCLUDE (c) FROM r WHERE needs_citation OR c > 0""",
     "gated_claims": "SELECT * FROM (SELECT l_suppkey AS draft_id, l_orderkey * 10 + l_linenumber AS char_start, row_number() OVER (PARTITION BY l_suppkey ORDER BY CASE WHEN l_linenumber % 5 <> 0 THEN l_discount ELSE 0 END DESC, l_orderkey * 10 + l_linenumber) AS gate_rank FROM lineitem WHERE l_returnflag <> 'A') WHERE gate_rank <= 40",
+    "offset_map": f"""WITH r AS (SELECT doc_id, raw, regexp_extract_all(raw, '(?s).') AS l FROM (SELECT doc_id, {RAW} AS raw FROM documents)),
+c AS (SELECT doc_id, unnest(l) AS c, generate_subscripts(l, 1) - 1 AS pos FROM r),
+b AS (SELECT *, c IN (' ', chr(9), chr(160)) AS blank FROM c WHERE c <> chr(13)),
+k AS (SELECT *, coalesce(lag(blank) OVER (PARTITION BY doc_id ORDER BY pos), false) AS after_blank FROM b),
+o AS (SELECT doc_id, pos, CASE WHEN blank THEN ' ' ELSE c END AS c FROM k WHERE NOT (blank AND after_blank)),
+e AS (SELECT doc_id, min(pos) AS first, max(pos) AS last FROM o WHERE c NOT IN (' ', chr(10), chr(9)) GROUP BY 1),
+n AS (SELECT doc_id, pos, c, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS size FROM o JOIN e USING (doc_id) WHERE pos BETWEEN first AND last),
+s AS (SELECT doc_id, count(*) AS n_chars, count(DISTINCT pos - i) AS n_runs, sum(pos) AS source_sum, sum(i * pos) AS weighted_sum, min(pos) FILTER (i = size // 3 AND 2 * size // 3 > size // 3) AS span_start,
+  max(pos) FILTER (i = 2 * size // 3 - 1 AND 2 * size // 3 > size // 3) + 1 AS span_end, string_agg(c, '' ORDER BY i) AS normalized FROM n GROUP BY 1)
+SELECT doc_id, coalesce(n_chars, 0) AS n_chars, coalesce(n_runs, 0) AS n_runs, CAST(coalesce(source_sum, 0) AS BIGINT) AS source_sum, CAST(coalesce(weighted_sum, 0) AS BIGINT) AS weighted_sum, span_start, span_end,
+  sha256(coalesce(normalized, '')) AS normalized_hash, sha256(array_to_string(l[span_start + 1:span_end], '')) AS span_hash FROM r LEFT JOIN s USING (doc_id)""",
     "sdg_match_list": f"""WITH w AS (SELECT item_id, {WORDS.format(group="")} AS w FROM benchmark),
 e AS (SELECT item_id, i // 2 AS i, w[i] AS a, w[i + 1] AS b, w[i + 3] AS c FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1, 2)) AS i FROM w) WHERE i + 3 <= len(w)),
 p AS (SELECT CAST(item_id % 17 + 1 AS INTEGER) AS goal, {PHRASE} AS phrase, any_value(i % 4) AS kind, any_value(a) AS a, any_value(b) AS b, any_value(c) AS c, any_value({PATTERN}) AS pattern FROM e GROUP BY 1, 2),
