@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import prerank_score
-from ..functions.text import jaccard, rounded, tokens
+from ..functions.text import jaccard, rounded
 from .staging import computed_once
 from .text_index import inverse_frequencies, scored_pairs
 from .vector_index import CLAIMS_AT_ONCE, VectorIndex, best_of, cosines, directions, nearest_first, usable, usual_length
@@ -109,8 +109,3 @@ def prerank(candidates: DataFrame, claims: DataFrame, papers: DataFrame, corpus:
     )
     order = Window.partitionBy("claim_id").orderBy(F.desc("prerank"), "vector_rank")
     return scored.withColumn("prerank_rank", F.row_number().over(order)).where(F.col("prerank_rank") <= k).drop("keywords", "keyword_words")
-
-
-def claim_words(text: Column, most: int = 12) -> Column:
-    """The keywords of a claim by rule: its first distinct tokens."""
-    return F.slice(F.array_distinct(tokens(text)), 1, most)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 from ..functions.text import rounded, share_of, tokens
 from ..operators.drafts import gated
-from ..operators.retrieval import claim_words, prerank, vector_topk
+from ..operators.keyphrases import with_keywords
+from ..operators.retrieval import prerank, vector_topk
 from ..operators.staging import computed_once
 
 VERIFIED_CLAIMS, VERIFIED_PAPERS = 20, 3
@@ -65,7 +66,7 @@ def recommend_drafts(claims: DataFrame, papers: DataFrame, min_year: int | None
 def recommend(claims: DataFrame, papers: DataFrame, min_year: int | None = None, verified: int = VERIFIED_CLAIMS) -> DataFrame:
     """``claims``: claim_id, query, vector and, where they are of several drafts, draft_id; ``papers``: ref_id, title, abstract, year, vector."""
     words = papers.where("vector is not null").select("ref_id", tokens(F.concat_ws(" ", "title", "abstract")).alias("words"))
-    asked = claims.select("claim_id", "query", tokens(F.col("query")).alias("query_words"), claim_words(F.col("query")).alias("keywords"))
+    asked = computed_once(with_keywords(claims.select("claim_id", "query", tokens(F.col("query")).alias("query_words"))))
     # The pairs filter the postings and are scored by them: without a stop the search would run for each of these branches.
     near = computed_once(vector_topk(claims, papers, min_year=min_year))
     ranked = prerank(near, asked, papers.select("ref_id", tokens(F.col("title")).alias("keyword_words")), words)

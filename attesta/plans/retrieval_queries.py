@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 from ..functions.text import RETRIEVAL_STOPWORDS, VERIFIER_STOPWORDS, hash_dimension, letters_of, rounded, tokens
 from ..operators import retrieval
+from ..operators.keyphrases import CUTTING, LEAST_CHARACTERS, key_phrases, with_keywords
 from ..operators.staging import computed_once
 from ..operators.text_index import TextIndex
 from ..operators.vector_index import VectorIndex
@@ -63,7 +64,7 @@ def bm25_topk(spark, sf_dir):
 def _preranked(spark, sf_dir):
     c, p = claims(spark, sf_dir), papers(spark, sf_dir)
     words = p.where("vector is not null").select("ref_id", tokens(F.concat_ws(" ", "title", "abstract")).alias("words"))
-    asked = c.select("claim_id", "query", tokens(F.col("query")).alias("query_words"), retrieval.claim_words(F.col("query")).alias("keywords"))
+    asked = computed_once(with_keywords(c.select("claim_id", "query", tokens(F.col("query")).alias("query_words"))))
     ranked = retrieval.prerank(computed_once(retrieval.vector_topk(c, p)), asked, p.select("ref_id", tokens(F.col("title")).alias("keyword_words")), words)
     return ranked, asked, p
 
@@ -103,12 +104,17 @@ def recommend_by_draft(spark, sf_dir):
 
 def jaccard_overlap(spark, sf_dir):
     near = retrieval.vector_topk(claims(spark, sf_dir), papers(spark, sf_dir))
-    rows = near.join(claims(spark, sf_dir).select("claim_id", retrieval.claim_words(F.col("query")).alias("k")), "claim_id").join(papers(spark, sf_dir).select("ref_id", tokens(F.col("title")).alias("w")), "ref_id")
+    rows = near.join(with_keywords(claims(spark, sf_dir)).select("claim_id", F.col("keywords").alias("k")), "claim_id").join(papers(spark, sf_dir).select("ref_id", tokens(F.col("title")).alias("w")), "ref_id")
     from ..functions.text import jaccard
 
     return rows.select("claim_id", "ref_id", rounded(jaccard(F.col("k"), F.col("w")), 6).alias("keyword"))
 
 
+def item_key_phrases(spark, sf_dir):
+    """The best phrases of each item, scored over all items."""
+    return key_phrases(read(spark, sf_dir, "benchmark"), "item_id", "text").select("item_id", F.array_join("phrases", "|").alias("phrases"))
+
+
 def fake_embed_sparse(spark, sf_dir):
     words = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", r"[ \n\t\r]+")).alias("t"))
     dims = words.select("doc_id", letters_of(F.col("t")).alias("t")).where("t <> ''").select("doc_id", hash_dimension(F.col("t")).alias("dim"))
@@ -148,7 +154,7 @@ def score_labels(spark, sf_dir):
     return _scored(spark, sf_dir).groupBy("verdict", "has_abstract", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, recency_filtered_topk, vector_topk_scan, tokenize_docs, bm25_topk, jaccard_overlap, hybrid_prerank, fake_rerank, claim_gate, mock_verdicts, recommend_pipeline, recommend_by_draft, fake_embed_sparse, score_blend, score_skipped, score_caps, score_labels)}
+QUERIES = {f.__name__: f for f in (vector_topk, recency_filtered_topk, vector_topk_scan, tokenize_docs, bm25_topk, jaccard_overlap, hybrid_prerank, fake_rerank, claim_gate, mock_verdicts, recommend_pipeline, recommend_by_draft, item_key_phrases, fake_embed_sparse, score_blend, score_skipped, score_caps, score_labels)}
 
 
 def _list(words) -> str:
@@ -167,11 +173,6 @@ def _round(x: str, digits: int) -> str:
     return f"(floor(({x}) * {10**digits}.0 + 0.5) / {10**digits}.0)"
 
 
-#: The first distinct ones of a list, in order.
-def _first_distinct(x: str, n: int) -> str:
-    return f"list_filter({x}, lambda t, i: list_position({x}, t) = i)[1:{n}]"
-
-
 TABLES = f"""claims AS (SELECT item_id AS claim_id, text AS query, CAST(embedding AS DOUBLE[]) AS v FROM benchmark JOIN embeddings ON vec_id = item_id),
 papers AS (SELECT doc_id AS ref_id, array_to_string(regexp_extract_all(text, '[^ \\n]+')[1:8], ' ') AS title, text AS abstract, CAST(2017 + doc_id % 10 AS INTEGER) AS year, CAST(embedding AS DOUBLE[]) AS v
   FROM documents LEFT JOIN embeddings ON vec_id = doc_id)"""
@@ -194,11 +195,25 @@ bm AS (SELECT a.claim_id, p.ref_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.
   FROM asked a JOIN post p ON a.t = p.t JOIN idfs i ON i.t = a.t, totals {pairs} GROUP BY a.claim_id, p.ref_id)"""
 
 
+def _phrases(source: str, key: str, text: str) -> str:
+    """CTEs up to kp (key, ps): the best phrases of each text of ``source``."""
+    return f"""kt AS (SELECT {key} AS key, list_transform(regexp_extract_all(lower(coalesce({text}, '')), '\\p{{L}}+|[^\\p{{L}}\\s]+'), lambda t: CASE WHEN list_contains({_list(CUTTING)}, t) OR NOT regexp_matches(t, '^\\p{{L}}') THEN '|' ELSE t END) AS l FROM {source}),
+kl AS (SELECT key, list_filter(list_transform(string_split(array_to_string(l, ' '), '|'), lambda p: trim(p)), lambda p: length(p) >= {LEAST_CHARACTERS}) AS l FROM kt),
+ke AS (SELECT key, unnest(l) AS phrase, generate_subscripts(l, 1) AS "at" FROM kl),
+kw AS (SELECT key, phrase, "at", unnest(string_split(phrase, ' ')) AS word, len(string_split(phrase, ' ')) AS size FROM ke),
+kc AS (SELECT word, sum(size) / count(*) AS score FROM kw GROUP BY 1),
+ks AS (SELECT key, phrase, min("at") AS "at", {_round("sum(score) / count(DISTINCT kw.at)", 6)} AS score FROM kw JOIN kc USING (word) GROUP BY 1, 2),
+kp AS (SELECT key, list(phrase ORDER BY place) AS ps FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, "at") AS place FROM ks) WHERE place <= 12 GROUP BY 1)"""
+
+
+#: The claims' keywords: kk (claim_id, k).
+KEYWORDS = f"""{_phrases("claims", "claim_id", "query")},
+kk AS (SELECT claim_id, coalesce(list_distinct({_tok("array_to_string(ps, ' ')")}), []) AS k FROM claims LEFT JOIN kp ON key = claim_id)"""
 CLAIMS_ALL = "claims_all AS (SELECT item_id AS claim_id, text AS query FROM benchmark)"
 _JACCARD = f"""CASE WHEN len(k) = 0 OR len(w) = 0 THEN 0.0 ELSE len(list_intersect(k, list_distinct(w))) / len(list_distinct(list_concat(k, w))) END"""
-PRERANKED = f"""{TABLES}, {CLAIMS_ALL}, {_near()}, {_bm25("WHERE v IS NOT NULL", "")},
-joined AS (SELECT n.*, {_round("coalesce(bm25, 0)", 6)} AS b, {_first_distinct(_tok("query"), 12)} AS k, {_tok("title")} AS w
-  FROM near n LEFT JOIN bm ON bm.claim_id = n.claim_id AND bm.ref_id = n.ref_id JOIN claims c ON c.claim_id = n.claim_id JOIN papers p ON p.ref_id = n.ref_id),
+PRERANKED = f"""{TABLES}, {CLAIMS_ALL}, {KEYWORDS}, {_near()}, {_bm25("WHERE v IS NOT NULL", "")},
+joined AS (SELECT n.*, {_round("coalesce(bm25, 0)", 6)} AS b, k, {_tok("title")} AS w
+  FROM near n LEFT JOIN bm ON bm.claim_id = n.claim_id AND bm.ref_id = n.ref_id JOIN kk c ON c.claim_id = n.claim_id JOIN papers p ON p.ref_id = n.ref_id),
 parts AS (SELECT *, CASE WHEN max(b) OVER g > min(b) OVER g THEN (b - min(b) OVER g) / (max(b) OVER g - min(b) OVER g) WHEN max(b) OVER g > 0 THEN 1.0 ELSE 0.0 END AS lexical, {_JACCARD} AS keyword
   FROM joined WINDOW g AS (PARTITION BY claim_id)),
 pre AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY prerank DESC, vector_rank) AS prerank_rank
@@ -261,7 +276,8 @@ SQL = {
     "tokenize_docs": f"SELECT doc_id, len({_TOKENS}) AS n_tokens, sha256(array_to_string({_TOKENS}, ' ')) AS tokens_hash FROM documents",
     "bm25_topk": f"""WITH {TABLES}, {CLAIMS_ALL}, {_bm25("", "")}
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY bm25 DESC, ref_id) AS bm25_rank FROM (SELECT claim_id, ref_id, {_round("bm25", 6)} AS bm25 FROM bm)) WHERE bm25_rank <= 20""",
-    "jaccard_overlap": f"WITH {TABLES}, {_near()}, j AS (SELECT n.claim_id, n.ref_id, {_first_distinct(_tok('query'), 12)} AS k, {_tok('title')} AS w FROM near n JOIN claims c ON c.claim_id = n.claim_id JOIN papers p ON p.ref_id = n.ref_id) SELECT claim_id, ref_id, {_round(_JACCARD, 6)} AS keyword FROM j",
+    "item_key_phrases": f"WITH {_phrases('benchmark', 'item_id', 'text')} SELECT key AS item_id, array_to_string(ps, '|') AS phrases FROM kp",
+    "jaccard_overlap": f"WITH {TABLES}, {KEYWORDS}, {_near()}, j AS (SELECT n.claim_id, n.ref_id, k, {_tok('title')} AS w FROM near n JOIN kk c ON c.claim_id = n.claim_id JOIN papers p ON p.ref_id = n.ref_id) SELECT claim_id, ref_id, {_round(_JACCARD, 6)} AS keyword FROM j",
     "hybrid_prerank": f"WITH {PRERANKED} SELECT claim_id, ref_id, vector_rank, {_round('lexical', 6)} AS lexical, {_round('keyword', 6)} AS keyword, prerank, prerank_rank FROM pre",
     "fake_rerank": f"WITH {RERANKED} SELECT claim_id, ref_id, prerank_rank, rerank FROM re",
     "claim_gate": f"WITH {GATED} SELECT claim_id, ref_id, rerank, rerank_rank FROM gated",
