@@ -10,7 +10,8 @@ from ..functions import claims
 from ..functions.offsets import normalized_with_map, source_span
 from ..functions.text import sentence_hash
 from ..operators import drafts, sdg
-from ..operators.staging import ensure_shared_dir
+from ..operators import sentences as sentence_ends
+from ..operators.staging import computed_once, ensure_shared_dir
 from .retrieval_queries import read
 
 
@@ -118,6 +119,21 @@ def sdg_pick(spark, sf_dir):
     return sdg.pick(sdg.matched_goals(_texts(spark, sf_dir)))
 
 
+def learned_abbreviations(spark, sf_dir):
+    """Words of the documents whose period ends no sentence, by their counts."""
+    scores = sentence_ends.abbreviation_scores(sentence_ends._tokens(read(spark, sf_dir, "documents")))
+    return scores.where(F.col("score") >= sentence_ends.LEAST_ABBREVIATION)
+
+
+def learned_sentences(spark, sf_dir):
+    """Sentences of every draft, cut by the model of all of them: how many stand in the draft's text where their offsets don't say."""
+    blocks = computed_once(drafts.assembled(_raw(spark, sf_dir)))
+    found = sentence_ends.learned_sentences(blocks, sentence_ends.learned(blocks))
+    placed = found.join(blocks.select("draft_id", "paragraph_index", F.col("text").alias("block"), F.col("char_start").alias("from")), ["draft_id", "paragraph_index"])
+    there = F.substr("block", (F.col("char_start") - F.col("from") + 1).cast("int"), (F.col("char_end") - F.col("char_start")).cast("int")) == F.col("text")
+    return placed.groupBy("draft_id").agg(F.count(F.lit(1)).alias("sentences"), F.count_if(~there).alias("misplaced"))
+
+
 #: Documents with white space of all kinds.
 RAW = "concat(' ', chr(13), chr(10), chr(9), replace(replace(replace(text, '. ', concat('.', chr(9), ' ', chr(13), ' ')), ', ', concat(',', chr(160), chr(160))), chr(10), concat(chr(13), chr(10))), ' ', chr(13), chr(10))"
 
@@ -166,7 +182,7 @@ def sdg_match_list(spark, sf_dir):
     return found.select("text_id", "goal", F.col("hits").cast("long").alias("hits"), F.sha2(F.array_join("phrases", "|"), 256).alias("phrases_hash"), "goal_rank")
 
 
-_ALL = (block_offsets, section_titles, local_context, sentence_offsets, find_citations, prefilter_signals, mock_classify, claims_of_documents, resolved_claims, gated_claims, sdg_match, sdg_pick, sdg_match_list, offset_map)
+_ALL = (block_offsets, section_titles, local_context, sentence_offsets, find_citations, prefilter_signals, mock_classify, claims_of_documents, resolved_claims, gated_claims, sdg_match, sdg_pick, sdg_match_list, offset_map, learned_abbreviations, learned_sentences)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _NORM = "trim(regexp_replace(replace(replace(t, chr(160), ' '), chr(13), ''), '[ \\t]+', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12))"
@@ -229,6 +245,14 @@ r AS (SELECT s_suppkey, CASE WHEN known THEN s_suppkey % 2 = 0 ELSE verdict = 'S
   text AS claim_text, CASE WHEN known THEN 'LLM' ELSE 'RULE' END AS detection_method, sha256(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g')) AS claim_hash, len({_CITED}) AS c FROM q)
 SELECT * EXCLUDE (c) FROM r WHERE needs_citation OR c > 0""",
     "gated_claims": "SELECT * FROM (SELECT l_suppkey AS draft_id, l_orderkey * 10 + l_linenumber AS char_start, row_number() OVER (PARTITION BY l_suppkey ORDER BY CASE WHEN l_linenumber % 5 <> 0 THEN l_discount ELSE 0 END DESC, l_orderkey * 10 + l_linenumber) AS gate_rank FROM lineitem WHERE l_returnflag <> 'A') WHERE gate_rank <= 40",
+    "learned_abbreviations": """WITH t AS (SELECT unnest(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda t: t <> '')) AS raw FROM documents),
+b AS (SELECT regexp_replace(regexp_replace(raw, '^["''“‘(\\[]+', ''), '[)\\]"''”’,;:]+$', '') AS w FROM t),
+c AS (SELECT lower(regexp_replace(w, '[.!?]+$', '')) AS word, regexp_matches(w, '[^.]\\.$') AS dot FROM b),
+n AS (SELECT word, count(*) AS n, count(*) FILTER (dot) AS dots FROM c WHERE word <> '' GROUP BY 1),
+s AS (SELECT sum(dots) / sum(n) AS p FROM n),
+l AS (SELECT word, n - dots AS without, dots, length(word) - length(replace(word, '.', '')) + 1 AS periods, least(p, 0.999) AS p FROM n, s WHERE dots > 0 AND regexp_matches(word, '\\p{L}') AND NOT regexp_matches(word, '[^\\p{L}\\p{N}.]')),
+k AS (SELECT *, length(word) - periods + 1 AS letters, dots * (ln(0.99) - ln(p)) + CASE WHEN without > 0 THEN without * (ln(1 - 0.99) - ln(1 - p)) ELSE 0 END AS d FROM l)
+SELECT * FROM (SELECT word, floor(2 * d * exp(-letters) * periods * pow(letters, -without) * 1000000.0 + 0.5) / 1000000.0 AS score FROM k) WHERE score >= 0.3""",
     "offset_map": f"""WITH r AS (SELECT doc_id, raw, regexp_extract_all(raw, '(?s).') AS l FROM (SELECT doc_id, {RAW} AS raw FROM documents)),
 c AS (SELECT doc_id, unnest(l) AS c, generate_subscripts(l, 1) - 1 AS pos FROM r),
 b AS (SELECT *, c IN (' ', chr(9), chr(160)) AS blank FROM c WHERE c <> chr(13)),

@@ -36,3 +36,5 @@ def test_query_gives_what_sql_gives(spark, duck, name):
 
 def test_sentences_stand_where_their_offsets_say(spark):
     assert draft_queries.sentence_offsets(spark, DATA).where("misplaced > 0").count() == 0
+    learned = draft_queries.learned_sentences(spark, DATA).agg({"misplaced": "sum", "sentences": "sum"}).first()
+    assert learned["sum(misplaced)"] == 0 and learned["sum(sentences)"] > 1000
