@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
@@ -10,7 +10,7 @@ from ..functions.text import RETRIEVAL_STOPWORDS, VERIFIER_STOPWORDS, hash_dimen
 from ..operators import retrieval
 from ..operators.keyphrases import CUTTING, LEAST_CHARACTERS, key_phrases, with_keywords
 from ..operators.staging import computed_once
-from ..operators.text_index import TextIndex
+from ..operators.text_index import TextIndex, best_by_scan
 from ..operators.vector_index import VectorIndex
 from .recommend import gate, recommend, recommend_drafts, reranked
 
@@ -55,10 +55,23 @@ def tokenize_docs(spark, sf_dir):
     return docs.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.sha2(F.array_join("t", " "), 256).alias("tokens_hash"))
 
 
+def _texts(spark, sf_dir):
+    return papers(spark, sf_dir).select("ref_id", tokens(F.concat_ws(" ", "title", "abstract")).alias("words"))
+
+
 def bm25_topk(spark, sf_dir):
-    corpus = papers(spark, sf_dir).select("ref_id", tokens(F.concat_ws(" ", "title", "abstract")).alias("words"))
+    """Whole items as queries: their words are mostly common ones, so the papers are passed by once."""
     asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), tokens(F.col("text")).alias("words"))
-    return TextIndex.build(corpus).best(asked, 20)[0]
+    return best_by_scan(asked, _texts(spark, sf_dir), 20)
+
+
+def bm25_index_topk(spark, sf_dir):
+    """Searches of three words, those of each item that the fewest papers have, in the index."""
+    index = TextIndex.build(_texts(spark, sf_dir))
+    words = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
+    order = Window.partitionBy("claim_id").orderBy("n", "token")
+    rarest = words.join(index.frequencies, "token").withColumn("place", F.row_number().over(order)).where("place <= 3")
+    return index.best(rarest.groupBy("claim_id").agg(F.collect_list("token").alias("words")), 5)[0]
 
 
 def _preranked(spark, sf_dir):
@@ -154,7 +167,7 @@ def score_labels(spark, sf_dir):
     return _scored(spark, sf_dir).groupBy("verdict", "has_abstract", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, recency_filtered_topk, vector_topk_scan, tokenize_docs, bm25_topk, jaccard_overlap, hybrid_prerank, fake_rerank, claim_gate, mock_verdicts, recommend_pipeline, recommend_by_draft, item_key_phrases, fake_embed_sparse, score_blend, score_skipped, score_caps, score_labels)}
+QUERIES = {f.__name__: f for f in (vector_topk, recency_filtered_topk, vector_topk_scan, tokenize_docs, bm25_topk, bm25_index_topk, jaccard_overlap, hybrid_prerank, fake_rerank, claim_gate, mock_verdicts, recommend_pipeline, recommend_by_draft, item_key_phrases, fake_embed_sparse, score_blend, score_skipped, score_caps, score_labels)}
 
 
 def _list(words) -> str:
@@ -195,6 +208,12 @@ bm AS (SELECT a.claim_id, p.ref_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.
   FROM asked a JOIN post p ON a.t = p.t JOIN idfs i ON i.t = a.t, totals {pairs} GROUP BY a.claim_id, p.ref_id)"""
 
 
+_ASKED = f"asked AS (SELECT claim_id, t, count(*) AS times FROM (SELECT claim_id, unnest({_tok('query')}) AS t FROM claims_all) GROUP BY claim_id, t)"
+_ASKED_RAREST = f"""asked AS (SELECT claim_id, t, 1 AS times FROM (SELECT claim_id, t, row_number() OVER (PARTITION BY claim_id ORDER BY n, t) AS place
+  FROM (SELECT DISTINCT claim_id, unnest({_tok("query")}) AS t FROM claims_all) JOIN dfs USING (t)) WHERE place <= 3)"""
+assert _ASKED in _bm25("", "")
+
+
 def _phrases(source: str, key: str, text: str) -> str:
     """CTEs up to kp (key, ps): the best phrases of each text of ``source``."""
     return f"""kt AS (SELECT {key} AS key, list_transform(regexp_extract_all(lower(coalesce({text}, '')), '\\p{{L}}+|[^\\p{{L}}\\s]+'), lambda t: CASE WHEN list_contains({_list(CUTTING)}, t) OR NOT regexp_matches(t, '^\\p{{L}}') THEN '|' ELSE t END) AS l FROM {source}),
@@ -277,6 +296,8 @@ SQL = {
     "bm25_topk": f"""WITH {TABLES}, {CLAIMS_ALL}, {_bm25("", "")}
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY bm25 DESC, ref_id) AS bm25_rank FROM (SELECT claim_id, ref_id, {_round("bm25", 6)} AS bm25 FROM bm)) WHERE bm25_rank <= 20""",
     "item_key_phrases": f"WITH {_phrases('benchmark', 'item_id', 'text')} SELECT key AS item_id, array_to_string(ps, '|') AS phrases FROM kp",
+    "bm25_index_topk": f"""WITH {TABLES}, {CLAIMS_ALL}, {_bm25("", "").replace(_ASKED, _ASKED_RAREST)}
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY bm25 DESC, ref_id) AS bm25_rank FROM (SELECT claim_id, ref_id, {_round("bm25", 6)} AS bm25 FROM bm)) WHERE bm25_rank <= 5""",
     "jaccard_overlap": f"WITH {TABLES}, {KEYWORDS}, {_near()}, j AS (SELECT n.claim_id, n.ref_id, k, {_tok('title')} AS w FROM near n JOIN kk c ON c.claim_id = n.claim_id JOIN papers p ON p.ref_id = n.ref_id) SELECT claim_id, ref_id, {_round(_JACCARD, 6)} AS keyword FROM j",
     "hybrid_prerank": f"WITH {PRERANKED} SELECT claim_id, ref_id, vector_rank, {_round('lexical', 6)} AS lexical, {_round('keyword', 6)} AS keyword, prerank, prerank_rank FROM pre",
     "fake_rerank": f"WITH {RERANKED} SELECT claim_id, ref_id, prerank_rank, rerank FROM re",

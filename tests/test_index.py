@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attesta.operators import retrieval
-from attesta.operators.text_index import TextIndex
+from attesta.operators.text_index import TextIndex, best_by_scan
 from attesta.operators.vector_index import VectorIndex
 
 PAPERS, CLAIMS = "ref_id long, vector array<double>, year int", "claim_id string, vector array<double>"
@@ -144,6 +144,15 @@ def test_added_documents_change_the_statistics(spark):
     assert listed(index.best(spark.createDataFrame(queries, "claim_id string, words array<string>"), 5)[0]) == brute_bm25(queries, corpus, 5)
 
 
+@pytest.mark.parametrize("most_bytes", [1 << 20, 0])
+def test_scan_finds_the_same(spark, most_bytes):
+    corpus = texts(4, 700)
+    queries = [(f"q{i}", w) for i, w in texts(5, 25) if w] + [("absent", ["nowhere"]), ("common", ["w0"] * 3), ("none", None)]
+    found = best_by_scan(spark.createDataFrame(queries, "claim_id string, words array<string>"), spark.createDataFrame(corpus, "ref_id long, words array<string>").repartition(5), 6, most_bytes)
+    assert listed(found) == brute_bm25([q for q in queries if q[1]], corpus, 6)
+
+
 def test_index_of_nothing(spark):
     queries = spark.createDataFrame([("q", ["a"])], "claim_id string, words array<string>")
     assert TextIndex.build(spark.createDataFrame([], "ref_id long, words array<string>")).best(queries, 5)[0].count() == 0
+    assert best_by_scan(queries, spark.createDataFrame([], "ref_id long, words array<string>"), 5).count() == 0
