@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..functions.text import RETRIEVAL_STOPWORDS, VERIFIER_STOPWORDS, hash_dimension, letters_of, rounded, tokens
+from ..functions.text import RETRIEVAL_STOPWORDS, VERIFIER_STOPWORDS, hash_dimension, letters_of, rounded, sentence_hash, tokens
 from ..operators import retrieval
 from ..operators.keyphrases import CUTTING, LEAST_CHARACTERS, key_phrases, with_keywords
 from ..operators.staging import computed_once
 from ..operators.text_index import TextIndex, best_by_scan
 from ..operators.vector_index import VectorIndex
+from ..operators.verification import NO_ABSTRACT, UNAVAILABLE, verified
 from .recommend import gate, recommend, recommend_drafts, reranked
 
 AS_OF_YEAR, WINDOW_YEARS = 2026, 5
@@ -100,6 +101,38 @@ def mock_verdicts(spark, sf_dir):
     return rows.select("claim_id", "ref_id", scoring.rule_verdict(F.col("query"), F.col("abstract")).alias("verdict"))
 
 
+def _stand_in(claim, context, candidates, fault):
+    """A model that fails for some claims, answers some in a wrong form at first, leaves candidates out and invents one."""
+    if len(claim) % 5 == 0:
+        raise TimeoutError
+    if len(claim) % 3 == 0 and fault is None:
+        return [{"idx": 0, "verdict": "YES"}]
+    sizes = [(i, len(c["abstract"])) for i, c in enumerate(candidates)]
+    told = [{"idx": i, "verdict": list(scoring.VERDICT_SCORES)[n % 5], "evidence": f"{n} characters"} for i, n in sizes if n % 7]
+    return [*told, {"idx": 99, "verdict": "SUPPORTED"}]
+
+
+def _verified(spark, sf_dir):
+    """The five nearest papers of each claim; every sixth paper's abstract is blank, every fourth pair is in the cache."""
+    near = retrieval.vector_topk(claims(spark, sf_dir), papers(spark, sf_dir), 5)
+    asked = claims(spark, sf_dir).select("claim_id", sentence_hash(F.col("query")).alias("claim_hash"), F.col("query").alias("claim_text"), F.lit("").alias("claim_context"))
+    abstract = F.when(F.col("ref_id") % 6 == 0, " ").otherwise(F.col("abstract")).alias("abstract")
+    texts = papers(spark, sf_dir).select("ref_id", "title", abstract, F.array("title").alias("keywords"))
+    rows = near.join(asked, "claim_id").join(texts, "ref_id").withColumn("place", F.col("vector_rank"))
+    told = [F.lit("held").alias("evidence"), F.lit("").alias("limitations"), F.lit("").alias("recommended_usage")]
+    cache = near.where("(claim_id + ref_id) % 4 = 0").join(asked, "claim_id").select("claim_hash", "ref_id", F.lit("PARTIALLY_SUPPORTED").alias("verdict"), *told)
+    return verified(rows, cache, _stand_in)
+
+
+def verified_pairs(spark, sf_dir):
+    return _verified(spark, sf_dir).outcomes.select("claim_id", "ref_id", "verdict", "support_score", "evidence", "recommended_usage", "from_cache")
+
+
+def verdict_entries(spark, sf_dir):
+    """What these calls add to the cache."""
+    return _verified(spark, sf_dir).entries.select("claim_hash", "ref_id", "verdict", "evidence")
+
+
 def recommend_pipeline(spark, sf_dir):
     out = recommend(claims(spark, sf_dir), papers(spark, sf_dir))
     return out.select("claim_id", "ref_id", "rank", rounded(F.col("semantic"), 4).alias("semantic"), rounded(F.col("lexical"), 4).alias("lexical"), rounded(F.col("keyword"), 4).alias("keyword"), rounded(F.col("rerank"), 4).alias("rerank"), "verdict", "percentage", "label")
@@ -167,7 +200,7 @@ def score_labels(spark, sf_dir):
     return _scored(spark, sf_dir).groupBy("verdict", "has_abstract", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, recency_filtered_topk, vector_topk_scan, tokenize_docs, bm25_topk, bm25_index_topk, jaccard_overlap, hybrid_prerank, fake_rerank, claim_gate, mock_verdicts, recommend_pipeline, recommend_by_draft, item_key_phrases, fake_embed_sparse, score_blend, score_skipped, score_caps, score_labels)}
+QUERIES = {f.__name__: f for f in (vector_topk, recency_filtered_topk, vector_topk_scan, tokenize_docs, bm25_topk, bm25_index_topk, jaccard_overlap, hybrid_prerank, fake_rerank, claim_gate, mock_verdicts, recommend_pipeline, recommend_by_draft, verified_pairs, verdict_entries, item_key_phrases, fake_embed_sparse, score_blend, score_skipped, score_caps, score_labels)}
 
 
 def _list(words) -> str:
@@ -288,6 +321,11 @@ for _whole, _each in _OF_DRAFTS.items():
     assert _whole in _DRAFTS
     _DRAFTS = _DRAFTS.replace(_whole, _each)
 
+_VERIFIED = f"""WITH {TABLES}, {_near()},
+q AS (SELECT n.claim_id, n.ref_id, query, (n.claim_id + n.ref_id) % 4 = 0 AS held, CASE WHEN n.ref_id % 6 = 0 THEN ' ' ELSE abstract END AS a FROM near n JOIN claims c ON c.claim_id = n.claim_id JOIN papers p ON p.ref_id = n.ref_id WHERE vector_rank <= 5),
+v AS (SELECT *, trim(a) = '' AS blank, CASE WHEN held THEN 'PARTIALLY_SUPPORTED' WHEN trim(a) = '' THEN 'INSUFFICIENT_EVIDENCE' WHEN length(query) % 5 = 0 OR length(a) % 7 = 0 THEN 'SKIPPED'
+  ELSE {_list(scoring.VERDICT_SCORES)}[length(a) % 5 + 1] END AS verdict FROM q)"""
+
 SQL = {
     "vector_topk": f"WITH {TABLES}, {_near()} SELECT * FROM near",
     "vector_topk_scan": f"WITH {TABLES}, {_near()} SELECT * FROM near",
@@ -296,6 +334,9 @@ SQL = {
     "bm25_topk": f"""WITH {TABLES}, {CLAIMS_ALL}, {_bm25("", "")}
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY bm25 DESC, ref_id) AS bm25_rank FROM (SELECT claim_id, ref_id, {_round("bm25", 6)} AS bm25 FROM bm)) WHERE bm25_rank <= 20""",
     "item_key_phrases": f"WITH {_phrases('benchmark', 'item_id', 'text')} SELECT key AS item_id, array_to_string(ps, '|') AS phrases FROM kp",
+    "verified_pairs": f"""{_VERIFIED} SELECT claim_id, ref_id, verdict, coalesce({_VALUE}, 0.0) AS support_score, CASE WHEN held THEN 'held' WHEN blank OR verdict = 'SKIPPED' THEN '' ELSE length(a) || ' characters' END AS evidence,
+  CASE WHEN held THEN '' WHEN blank THEN '{NO_ABSTRACT[2]}' WHEN verdict = 'SKIPPED' THEN '{UNAVAILABLE[2]}' ELSE '' END AS recommended_usage, held AS from_cache FROM v""",
+    "verdict_entries": f"""{_VERIFIED} SELECT DISTINCT sha256(regexp_replace(lower(trim(query)), '\\s+', ' ', 'g')) AS claim_hash, ref_id, verdict, length(a) || ' characters' AS evidence FROM v WHERE NOT held AND NOT blank AND verdict <> 'SKIPPED'""",
     "bm25_index_topk": f"""WITH {TABLES}, {CLAIMS_ALL}, {_bm25("", "").replace(_ASKED, _ASKED_RAREST)}
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY bm25 DESC, ref_id) AS bm25_rank FROM (SELECT claim_id, ref_id, {_round("bm25", 6)} AS bm25 FROM bm)) WHERE bm25_rank <= 5""",
     "jaccard_overlap": f"WITH {TABLES}, {KEYWORDS}, {_near()}, j AS (SELECT n.claim_id, n.ref_id, k, {_tok('title')} AS w FROM near n JOIN kk c ON c.claim_id = n.claim_id JOIN papers p ON p.ref_id = n.ref_id) SELECT claim_id, ref_id, {_round(_JACCARD, 6)} AS keyword FROM j",
