@@ -8,11 +8,19 @@ from pyspark.sql import functions as F
 from ..functions.citations import insertion_offset
 
 
-def markdown(blocks: DataFrame, splices: DataFrame) -> DataFrame:
+#: The audit table's columns, in order, and what it says of drafts without a row.
+AUDIT_HEADS = ("Section", "Claim", "Type", "Existing citation", "Score", "Verdict", "Decision", "Status")
+NO_CLAIMS = "## Citation Audit Report\n\n_No claims required a citation._"
+CLAIM_CHARACTERS = 120
+
+
+def markdown(blocks: DataFrame, splices: DataFrame, references: DataFrame | None = None, audit: DataFrame | None = None) -> DataFrame:
     """draft_id, markdown: the blocks (draft_id, paragraph_index, text, is_heading) with their citations.
 
     ``splices``: draft_id, paragraph_index, start, end, sentence, citation. A citation goes before the end of its sentence if the block
-    has the sentence at start to end; else it is left out. Splices of a block apply from its end to its start.
+    has the sentence at start to end; else it is left out. Splices of a block apply from its end to its start. A heading in a draft's first
+    block is of the first level, others are of the second. ``references``: draft_id, number, text, a list under a heading of its own, for
+    drafts that have any. ``audit``: the rows of audit_table(); drafts without rows say that no claim needed a citation.
     """
     by_block = splices.groupBy("draft_id", "paragraph_index").agg(F.sort_array(F.collect_list(F.struct("start", "end", "sentence", "citation")), asc=False).alias("_s"))
 
@@ -22,9 +30,19 @@ def markdown(blocks: DataFrame, splices: DataFrame) -> DataFrame:
         return F.when(there, F.concat(F.substr(text, F.lit(1), at), F.lit(" "), x["citation"], F.substr(text, at + 1))).otherwise(text)
 
     spliced = blocks.join(by_block, ["draft_id", "paragraph_index"], "left").withColumn("text", F.aggregate(F.coalesce("_s", F.array()), F.col("text"), put))
-    lines = spliced.withColumn("text", F.when(F.col("is_heading"), F.concat(F.lit("## "), "text")).otherwise(F.col("text")))
+    first = blocks.groupBy("draft_id").agg(F.min("paragraph_index").alias("_first"))
+    level = F.when(F.col("paragraph_index") == F.col("_first"), "# ").otherwise("## ")
+    lines = spliced.join(first, "draft_id").withColumn("text", F.when(F.col("is_heading"), F.concat(level, "text")).otherwise(F.col("text")))
     ordered = F.array_sort(F.collect_list(F.struct("paragraph_index", "text")))
-    return lines.groupBy("draft_id").agg(F.array_join(F.transform(ordered, lambda b: b["text"]), "\n\n").alias("markdown"))
+    out = lines.groupBy("draft_id").agg(F.array_join(F.transform(ordered, lambda b: b["text"]), "\n\n").alias("markdown"))
+    if references is not None:
+        entries = F.transform(F.array_sort(F.collect_list(F.struct("number", "text"))), lambda r: F.concat(F.lit("- "), r["text"]))
+        listed = references.groupBy("draft_id").agg(F.concat(F.lit("\n\n## References\n\n"), F.array_join(entries, "\n")).alias("_r"))
+        out = out.join(listed, "draft_id", "left").select("draft_id", F.concat("markdown", F.coalesce("_r", F.lit(""))).alias("markdown"))
+    if audit is not None:
+        told = F.concat("markdown", F.lit("\n\n"), F.coalesce("audit", F.lit(NO_CLAIMS)))
+        out = out.join(audit_table(audit), "draft_id", "left").select("draft_id", told.alias("markdown"))
+    return out
 
 
 def accepted_json(accepted: DataFrame) -> DataFrame:
@@ -69,7 +87,14 @@ def write_audit(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 
 
-def audit_table(rows: DataFrame, most: int = 120) -> DataFrame:
-    """One Markdown table row for each audit row: the claim cut to ``most`` characters, bars escaped."""
-    cell = lambda c: F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|"))
-    return rows.select("claim_id", F.concat(F.lit("| "), F.substring(cell("sentence"), 1, most), F.lit(" | "), cell("outcome"), F.lit(" | "), cell("citation_text"), F.lit(" |")).alias("row"))
+def audit_table(rows: DataFrame) -> DataFrame:
+    """draft_id, audit: a Markdown table of each draft's rows (draft_id, place, section_title, claim_text, claim_type, existing_citation_status,
+    score_percentage, verdict, user_decision, insertion_status), in order of place. Bars in claims are escaped, then claims are cut."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    claim = F.substring(F.replace(said("claim_text"), F.lit("|"), F.lit("\\|")), 1, CLAIM_CHARACTERS)
+    score = F.when(F.col("score_percentage").isNotNull(), F.format_string("%.1f%%", F.col("score_percentage").cast("double"))).otherwise("")
+    cells = [said("section_title"), claim, said("claim_type"), said("existing_citation_status"), score, said("verdict"), said("user_decision"), said("insertion_status")]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    head = "## Citation Audit Report\n\n| " + " | ".join(AUDIT_HEADS) + " |\n|" + "---|" * len(AUDIT_HEADS) + "\n"
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda r: r["line"])
+    return rows.groupBy("draft_id").agg(F.concat(F.lit(head), F.array_join(lines, "\n")).alias("audit"))

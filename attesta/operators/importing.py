@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from ..functions.text import normalized_title
 from .staging import removed, written_once
 
 MIN_ABSTRACT = 200
+#: Rows that an import warns of one by one.
+WARNINGS = 10
 #: Provider fields, each filled where it is blank; the citation count only where it is null.
 ENRICHED = ("abstract", "source_title", "year", "citation_count", "doi")
 
@@ -141,6 +145,39 @@ def import_summary(rows: DataFrame) -> DataFrame:
     return rows.agg(count(valid & ~duplicate).alias("imported"), count(valid & duplicate).alias("duplicates"), count(~valid).alias("invalid"))
 
 
+def with_backfills(rows: DataFrame, library: DataFrame) -> DataFrame:
+    """``rows`` (row_no, valid, duplicate, abstract, doi and what known_rows() takes) with backfills: whether the row gives its abstract to a
+    paper of the ``library`` that has none. Of several rows for one paper the first with an abstract of 200 characters does."""
+    blank = library.where(F.col("abstract").isNull() | (F.col("abstract") == "")).select("ref_id")
+    known = known_rows(library, rows).join(blank, "ref_id", "left_semi")
+    gives = rows.where(F.col("valid") & F.col("duplicate") & trusted_abstract(F.col("abstract")).isNotNull()).select("row_no")
+    first = known.join(gives, "row_no", "left_semi").groupBy("ref_id").agg(F.min("row_no").alias("row_no")).select("row_no", F.lit(True).alias("backfills"))
+    return rows.join(first, "row_no", "left").withColumn("backfills", F.coalesce("backfills", F.lit(False)))
+
+
+def import_report(rows: DataFrame, shown: int = WARNINGS) -> DataFrame:
+    """imported, duplicates, invalid, backfilled and warnings (texts) of an import, one row, from one pass over ``rows`` (row_no, valid, duplicate,
+    backfills, has_id).
+
+    A duplicate that backfills counts as backfilled only. Imported rows without an identifier are warned of: the ``shown`` first, and
+    then how many more. Each batch of a task gives its counts and its first few rows, so what comes together is small.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            taken, again = b.valid & ~b.duplicate, b.valid & b.duplicate
+            bare = b.row_no[taken & ~b.has_id]
+            counts = {"imported": taken.sum(), "duplicates": (again & ~b.backfills).sum(), "invalid": (~b.valid).sum(), "backfilled": (again & b.backfills).sum(), "bare": len(bare)}
+            yield pd.DataFrame([counts | {"first": sorted(bare.tolist())[:shown]}])
+
+    parts = rows.select("row_no", "valid", "duplicate", "backfills", "has_id").mapInPandas(count, "imported long, duplicates long, invalid long, backfilled long, bare long, first array<long>")
+    total = parts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("imported", "duplicates", "invalid", "backfilled", "bare")), F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, shown).alias("first"))
+    each = F.transform("first", lambda n: F.concat(F.lit("Row "), n.cast("string"), F.lit(": no DOI/EID found in LINK; enrichment will likely be incomplete")))
+    more = F.concat(F.lit("...and "), (F.col("bare") - shown).cast("string"), F.lit(" more rows without identifiers"))
+    warnings = F.when(F.col("bare") > shown, F.concat(each, F.array(more))).otherwise(each)
+    return total.select("imported", "duplicates", "invalid", "backfilled", warnings.alias("warnings"))
+
+
 def enriched(papers: DataFrame, providers: list[tuple[str, DataFrame]]) -> DataFrame:
     """``papers`` (ref_id and ENRICHED) after the chain of providers (ref_id and ENRICHED each, one row a paper).
 

@@ -118,9 +118,13 @@ def audit_report(spark, sf_dir):
     return shortlist.audit(c, c.select("draft_id", texts.alias("raw_text")), accepted_texts(spark, sf_dir)).select("claim_id", "outcome", "citation_text")
 
 
+def _lines(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("draft_id"), F.posexplode(F.split("text", "\n")).alias("paragraph_index", "text"))
+
+
 def markdown_export(spark, sf_dir):
     """Documents with a citation at the end of every second line."""
-    lines = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("draft_id"), F.posexplode(F.split("text", "\n")).alias("paragraph_index", "text"))
+    lines = _lines(spark, sf_dir)
     splices = lines.where("paragraph_index % 2 = 1").select("draft_id", "paragraph_index", F.lit(0).alias("start"), F.char_length("text").alias("end"), F.col("text").alias("sentence"), F.concat(F.lit("(Smith, "), "paragraph_index", F.lit(")")).alias("citation"))
     return exporting.markdown(lines.withColumn("is_heading", F.col("paragraph_index") % 3 == 0), splices).select("draft_id", F.sha2("markdown", 256).alias("markdown_hash"))
 
@@ -139,7 +143,20 @@ def bibliography_numbers(spark, sf_dir):
     return shortlist.bibliography_order(accepted)
 
 
-_ALL = (cite_apa, cite_chicago, cite_ieee, author_names, splice_citation, topn_per_claim, best_references, best_reference, verdict_histogram, decisions, accepted_texts, coverage, audit_report, markdown_export, json_export, download_names, bibliography_numbers)
+def markdown_report(spark, sf_dir):
+    """Drafts with reference lists and audit tables, where they have any."""
+    lines = _lines(spark, sf_dir)
+    n, doc = F.col("paragraph_index"), F.col("draft_id")
+    references = lines.where((doc % 2 == 1) & (n < 4)).select("draft_id", (-n).alias("number"), F.concat(F.lit("*"), F.substring("text", 1, 20), F.lit("*")).alias("text"))
+    audit = lines.where((doc % 3 != 0) & (n % 4 == 1)).select(
+        "draft_id", n.alias("place"), F.when(n % 8 == 1, "Intro").alias("section_title"), F.concat(F.lit("a|"), "text").alias("claim_text"), F.lit("CAUSAL_CLAIM").alias("claim_type"), F.lit("NONE").alias("existing_citation_status"),
+        F.when(n % 8 == 5, n / 2).alias("score_percentage"), F.when(n % 8 == 5, "SUPPORTED").alias("verdict"), F.lit("PENDING").alias("user_decision"), F.lit("INSERTED").alias("insertion_status"),
+    )
+    none = lines.where("false").select("draft_id", "paragraph_index", F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("sentence"), F.lit("").alias("citation"))
+    return exporting.markdown(lines.withColumn("is_heading", n % 3 == 0), none, references, audit).select("draft_id", F.sha2("markdown", 256).alias("markdown_hash"))
+
+
+_ALL = (cite_apa, cite_chicago, cite_ieee, author_names, splice_citation, topn_per_claim, best_references, best_reference, verdict_histogram, decisions, accepted_texts, coverage, audit_report, markdown_export, markdown_report, json_export, download_names, bibliography_numbers)
 QUERIES = {f.__name__: f for f in _ALL}
 
 # The names in the form that the parser should find, written out.
@@ -196,8 +213,16 @@ SQL = {
 SELECT (SELECT count(*) FROM c) AS needs, (SELECT count(*) FROM j) AS accepted, (SELECT count(DISTINCT claim_id) FROM j) AS covered, floor((SELECT count(DISTINCT claim_id) FROM j) * 100.0 / (SELECT count(*) FROM c) * 10.0 + 0.5) / 10.0 AS percent""",
     "audit_report": f"WITH {_ACC}, {_TEXTS} SELECT o_orderkey AS claim_id, CASE WHEN citation_text IS NULL THEN 'NOT_ACCEPTED' WHEN o_orderkey % 7 = 0 THEN 'POSITION_MISMATCH' ELSE 'INSERTED' END AS outcome, citation_text FROM orders LEFT JOIN tx ON claim_id = o_orderkey WHERE o_orderstatus <> 'F'",
     "markdown_export": """WITH l AS (SELECT doc_id, i, t, length(regexp_replace(t, '[.?!…"''”’]+$', '')) AS o FROM (SELECT doc_id, unnest(ls) AS t, generate_subscripts(ls, 1) - 1 AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
-m AS (SELECT doc_id, i, CASE WHEN i % 3 = 0 THEN '## ' ELSE '' END || CASE WHEN i % 2 = 1 THEN t[1:o] || ' (Smith, ' || i || ')' || t[o + 1:] ELSE t END AS t FROM l)
+m AS (SELECT doc_id, i, CASE WHEN i = 0 THEN '# ' WHEN i % 3 = 0 THEN '## ' ELSE '' END || CASE WHEN i % 2 = 1 THEN t[1:o] || ' (Smith, ' || i || ')' || t[o + 1:] ELSE t END AS t FROM l)
 SELECT doc_id AS draft_id, sha256(string_agg(t, chr(10) || chr(10) ORDER BY i)) AS markdown_hash FROM m GROUP BY 1""",
+    "markdown_report": """WITH l AS (SELECT doc_id, unnest(ls) AS t, generate_subscripts(ls, 1) - 1 AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+b AS (SELECT doc_id, string_agg(CASE WHEN i = 0 THEN '# ' WHEN i % 3 = 0 THEN '## ' ELSE '' END || t, chr(10) || chr(10) ORDER BY i) AS body FROM l GROUP BY 1),
+r AS (SELECT doc_id, string_agg('- *' || substring(t, 1, 20) || '*', chr(10) ORDER BY -i) AS refs FROM l WHERE doc_id % 2 = 1 AND i < 4 GROUP BY 1),
+a AS (SELECT doc_id, string_agg('| ' || CASE WHEN i % 8 = 1 THEN 'Intro' ELSE '' END || ' | ' || substring('a\\|' || replace(t, '|', '\\|'), 1, 120) || ' | CAUSAL_CLAIM | NONE | ' || CASE WHEN i % 8 = 5 THEN format('{:.1f}', i / 2) || '% | SUPPORTED' ELSE ' | ' END || ' | PENDING | INSERTED |', chr(10) ORDER BY i) AS rows
+  FROM l WHERE doc_id % 3 <> 0 AND i % 4 = 1 GROUP BY 1)
+SELECT doc_id AS draft_id, sha256(body || coalesce(chr(10) || chr(10) || '## References' || chr(10) || chr(10) || refs, '') || chr(10) || chr(10) || '## Citation Audit Report' || chr(10) || chr(10)
+  || coalesce('| Section | Claim | Type | Existing citation | Score | Verdict | Decision | Status |' || chr(10) || '|---|---|---|---|---|---|---|---|' || chr(10) || rows, '_No claims required a citation._')) AS markdown_hash
+FROM b LEFT JOIN r USING (doc_id) LEFT JOIN a USING (doc_id)""",
     "json_export": f"""WITH {_ACC}, e AS (SELECT claim_id % 100 AS draft_id, claim_id, '{{"claim_id":' || claim_id || ',"references":[' || string_agg(CAST(ref_id AS VARCHAR), ',' ORDER BY "at", ref_id) || ']}}' AS j FROM acc GROUP BY claim_id)
 SELECT draft_id, sha256('{{"accepted":[' || string_agg(j, ',' ORDER BY claim_id) || ']}}') AS json_hash FROM e GROUP BY 1""",
     "download_names": """SELECT p_partkey, '[INTI] ' || trim(regexp_replace(p_name || ': a/b "c"? ' || p_type, '[\\\\/:*?"<>|\\x00-\\x1f]', '_', 'g')) || '.docx' AS name FROM part""",

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import identifiers as ids
 from ..functions.text import clean_value, content_text, first_int, normalized_title, rounded, sentence_hash, split_authors, split_keywords
-from ..operators import importing, shortlist
+from ..operators import importing, lookup, shortlist
+from ..operators.staging import computed_once
 from .retrieval_queries import read
 
 # Strings of the shapes that links, cells and names have, built alike on either side.
@@ -108,6 +109,46 @@ def import_summary(spark, sf_dir):
     return importing.import_summary(rows)
 
 
+def import_report(spark, sf_dir):
+    """Documents imported again, by DOI or by title, into a library of every second one, some without an abstract."""
+    docs = read(spark, sf_dir, "documents")
+    n, doi = F.col("doc_id"), F.concat(F.lit("10.1/"), F.col("doc_id") % 400)
+    library = docs.where("doc_id % 2 = 0").select(n.alias("ref_id"), F.concat(F.lit("10.1/"), "doc_id").alias("doi"), F.when(n % 3 > 0, F.col("text")).alias("abstract"))
+    rows = docs.select(n.alias("row_no"), F.when(n % 5 > 0, doi).alias("doi"), F.col("text").alias("abstract"), F.lit(None).cast("string").alias("eid"), F.concat(F.lit("t"), "doc_id").alias("title"), (n % 5 > 0).alias("has_id"), (n % 11 > 0).alias("valid"))
+    held = library.select((-F.col("ref_id") - 1).alias("row_no"), "doi", F.lit(None).cast("string").alias("eid"), F.lit(None).cast("string").alias("title"), F.lit(True).alias("has_id"))
+    marked = importing.mark_duplicates(held.unionByName(rows.where("valid").select(*held.columns)))
+    whole = rows.join(marked.select("row_no", "duplicate"), "row_no", "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))
+    out = importing.import_report(importing.with_backfills(computed_once(whole), library))
+    return out.withColumn("warnings", F.array_join("warnings", "|"))
+
+
+def provider_lookup(spark, sf_dir):
+    """Documents as papers at a provider whose full view is refused after a while, and whose default view has few abstracts."""
+    n = F.col("doc_id")
+    papers = read(spark, sf_dir, "documents").select(n.alias("position"), F.when(n % 3 > 0, F.concat(F.lit("e"), "doc_id")).alias("eid"), F.when(n % 7 > 0, F.concat(F.lit("d"), "doc_id")).alias("doi"))
+    docs = read(spark, sf_dir, "documents")
+
+    def told(view, kind, status, abstract):
+        note = F.when((n % 50 == 49) & F.lit(view == "full"), "AUTHORIZATION_ERROR")
+        return docs.select(F.lit(view).alias("view"), F.lit(kind).alias("kind"), F.concat(F.lit(kind[0]), "doc_id").alias("id"), status.alias("status"), note.alias("note"), abstract.alias("abstract"), F.concat(F.lit(f"{view} {kind} "), "doc_id").alias("title"))
+
+    bare = F.when(n % 40 != 7, F.col("lang"))
+    answers = told("full", "eid", F.when(n % 50 == 49, 403).when(n % 5 == 0, 404).otherwise(200), F.col("source"))
+    answers = answers.unionByName(told("full", "doi", F.when(n % 2 == 0, 200).otherwise(404), F.col("source")))
+    answers = answers.unionByName(told("default", "eid", F.when(n % 4 > 0, 200).otherwise(500), bare)).unionByName(told("default", "doi", F.lit(200), bare))
+    found = lookup.looked_up_in_order(papers, answers, ["eid", "doi"])
+    return found.select("position", "asked_view", "answer.abstract", "answer.title")
+
+
+def provider_batches(spark, sf_dir):
+    """DOIs in requests of 50, some of which fail or are blocked for long."""
+    n = F.col("doc_id")
+    papers = read(spark, sf_dir, "documents").select(F.when(n % 9 > 0, F.concat(F.lit("10.1/"), n % 700)).alias("doi"))
+    wait = F.when(n % 331 == 250, 500.0).when(n % 83 == 11, 60.0)
+    answers = read(spark, sf_dir, "documents").where("doc_id < 700 and doc_id % 2 = 0").select(F.concat(F.lit("10.1/"), "doc_id").alias("doi"), wait.alias("retry_after"), (n % 59 == 3).alias("failed"), F.concat(F.lit("t"), "doc_id").alias("title"))
+    return lookup.prefetched(papers, answers).select("doi", F.col("grouped").alias("request"), "answer.title")
+
+
 def abstract_backfill(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     library = docs.select(F.col("doc_id").alias("ref_id"), F.concat(F.lit("10.1/"), "doc_id").alias("doi"), F.when(F.col("doc_id") % 2 == 0, F.col("text")).alias("abstract"), F.lit("PENDING").alias("status"))
@@ -215,7 +256,7 @@ def provider_json(spark, sf_dir):
     )
 
 
-_ALL = (extract_identifiers, page_links, clean_cells, split_lists, split_author_cells, normalized_titles, content_hash, stale_rows, dedupe_import, dedupe_import_chains, import_summary, abstract_backfill, library_dedupe, enrichment_chain, cache_probe, insert_ignore, mock_provider, inverted_abstract, status_counts, missing_by_year, latest_runs, paginate, in_flight, provider_json)
+_ALL = (extract_identifiers, page_links, clean_cells, split_lists, split_author_cells, normalized_titles, content_hash, stale_rows, dedupe_import, dedupe_import_chains, import_summary, import_report, provider_lookup, provider_batches, abstract_backfill, library_dedupe, enrichment_chain, cache_probe, insert_ignore, mock_provider, inverted_abstract, status_counts, missing_by_year, latest_runs, paginate, in_flight, provider_json)
 QUERIES = {f.__name__: f for f in _ALL}
 
 
@@ -265,6 +306,24 @@ UNION ALL SELECT round + 1, row_no, doi, eid, CASE WHEN state <> 'open' THEN sta
     bool_or(state = 'accepted') OVER e AS eid_taken, min(CASE WHEN state = 'open' THEN row_no END) OVER e AS eid_first FROM s WINDOW d AS (PARTITION BY doi), e AS (PARTITION BY eid)) WHERE any_open)
 SELECT row_no, has_id AND row_no NOT IN (SELECT row_no FROM s WHERE state = 'accepted') AS duplicate FROM r""",
     "import_summary": f"WITH {_IMPORT} SELECT count(*) FILTER (WHERE row_no % 11 <> 0 AND NOT duplicate) AS imported, count(*) FILTER (WHERE row_no % 11 <> 0 AND duplicate) AS duplicates, count(*) FILTER (WHERE row_no % 11 = 0) AS invalid FROM d",
+    "import_report": """WITH lib AS (SELECT doc_id AS ref_id, '10.1/' || doc_id AS doi, doc_id % 3 = 0 AS bare FROM documents WHERE doc_id % 2 = 0),
+r AS (SELECT doc_id AS row_no, doc_id % 5 > 0 AS has_id, doc_id % 11 > 0 AS valid, CASE WHEN doc_id % 5 > 0 THEN '10.1/' || doc_id % 400 END AS doi, text FROM documents),
+k AS (SELECT r.*, lib.ref_id, bare, valid AND has_id AND (lib.ref_id IS NOT NULL OR row_number() OVER (PARTITION BY valid, r.doi ORDER BY row_no) > 1) AS duplicate FROM r LEFT JOIN lib ON lib.doi = r.doi),
+b AS (SELECT ref_id, min(row_no) AS row_no FROM k WHERE valid AND duplicate AND bare AND length(text) >= 200 GROUP BY 1),
+w AS (SELECT row_no, row_number() OVER (ORDER BY row_no) AS i, count(*) OVER () AS n FROM k WHERE valid AND NOT duplicate AND NOT has_id)
+SELECT count(*) FILTER (valid AND NOT duplicate) AS imported, count(*) FILTER (valid AND duplicate) - (SELECT count(*) FROM b) AS duplicates, count(*) FILTER (NOT valid) AS invalid, (SELECT count(*) FROM b) AS backfilled,
+  coalesce((SELECT string_agg('Row ' || row_no || ': no DOI/EID found in LINK; enrichment will likely be incomplete', '|' ORDER BY i) || CASE WHEN max(n) > 10 THEN '|...and ' || max(n) - 10 || ' more rows without identifiers' ELSE '' END FROM w WHERE i <= 10), '') AS warnings FROM k""",
+    "provider_lookup": """WITH p AS (SELECT doc_id AS n, lang, source, doc_id % 3 > 0 AS e, doc_id % 7 > 0 AS d FROM documents),
+f AS (SELECT *, CASE WHEN e AND n % 50 = 49 THEN 'view' WHEN e AND n % 5 > 0 THEN 'eid' WHEN d AND n % 2 = 0 THEN 'doi' END AS in_full, CASE WHEN e AND n % 4 > 0 THEN 'eid' WHEN d THEN 'doi' END AS in_default FROM p),
+s AS (SELECT coalesce(min(n), 9223372036854775807) AS switch FROM f WHERE in_full = 'view'),
+t AS (SELECT coalesce(max(n) FILTER (i = 3), 9223372036854775807) AS last FROM (SELECT n, row_number() OVER (ORDER BY n) AS i FROM f, s WHERE n >= switch AND in_default IS NOT NULL AND n % 40 = 7))
+SELECT n AS position, CASE WHEN n < switch THEN 'full' WHEN n <= last THEN 'default' END AS asked_view, CASE WHEN n < switch THEN CASE WHEN in_full IS NOT NULL THEN source END WHEN n <= last AND in_default IS NOT NULL AND n % 40 <> 7 THEN lang END AS abstract,
+  CASE WHEN n < switch THEN 'full ' || in_full || ' ' || n WHEN n <= last THEN 'default ' || in_default || ' ' || n END AS title FROM f, s, t""",
+    "provider_batches": """WITH i AS (SELECT doi, (row_number() OVER (ORDER BY doi) - 1) // 50 AS request FROM (SELECT DISTINCT '10.1/' || doc_id % 700 AS doi FROM documents WHERE doc_id % 9 > 0)),
+a AS (SELECT '10.1/' || doc_id AS doi, CASE WHEN doc_id % 331 = 250 THEN 500.0 WHEN doc_id % 83 = 11 THEN 60.0 END AS wait, doc_id % 59 = 3 AS failed, 't' || doc_id AS title FROM documents WHERE doc_id < 700 AND doc_id % 2 = 0),
+g AS (SELECT request, max(wait) AS wait, coalesce(bool_or(failed), false) AS failed FROM i LEFT JOIN a USING (doi) GROUP BY 1),
+e AS (SELECT coalesce(min(request), 9223372036854775807) AS stop FROM g WHERE wait > 120)
+SELECT doi, request, title FROM i JOIN g USING (request) LEFT JOIN a USING (doi), e WHERE g.wait IS NULL AND NOT g.failed AND request < stop""",
     "abstract_backfill": """WITH offer AS (SELECT '10.1/' || doc_id % 300 AS doi, arg_min(text, doc_id) AS a FROM documents WHERE length(text) >= 200 GROUP BY 1),
 l AS (SELECT doc_id AS ref_id, '10.1/' || doc_id AS doi, CASE WHEN doc_id % 2 = 0 THEN text END AS abstract FROM documents),
 j AS (SELECT ref_id, abstract, a, abstract IS NULL AND a IS NOT NULL AS fills FROM l LEFT JOIN offer USING (doi))

@@ -68,3 +68,15 @@ def test_winners_that_went_themselves_are_followed(spark):
     losers = importing.library_losers(library, [F.col("doi"), F.col("eid"), F.col("title")])
     assert {r.ref_id: r.winner_id for r in losers.collect()} == {1: 4, 2: 4, 3: 4}
     assert importing.library_losers(library.where("ref_id = 5"), [F.col("doi"), F.col("eid")]).count() == 0
+
+
+def test_report_counts_in_one_pass_and_warns_of_the_first_rows(spark):
+    rows = [(i, i % 10 > 0, i % 3 == 0, i % 9 == 0, i % 2 == 0) for i in range(1, 101)]
+    told = importing.import_report(spark.createDataFrame(rows, "row_no long, valid boolean, duplicate boolean, backfills boolean, has_id boolean").repartition(5)).collect()
+    (r,) = told
+    valid = [x for x in rows if x[1]]
+    bare = [x[0] for x in valid if not x[2] and not x[4]]
+    assert (r.imported, r.duplicates, r.invalid, r.backfilled) == (sum(not x[2] for x in valid), sum(x[2] and not x[3] for x in valid), 10, sum(x[2] and x[3] for x in valid))
+    assert r.warnings == [f"Row {i}: no DOI/EID found in LINK; enrichment will likely be incomplete" for i in bare[:10]] + [f"...and {len(bare) - 10} more rows without identifiers"]
+    (none,) = importing.import_report(spark.createDataFrame([], "row_no long, valid boolean, duplicate boolean, backfills boolean, has_id boolean")).collect()
+    assert tuple(none) == (0, 0, 0, 0, [])
