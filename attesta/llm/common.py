@@ -8,6 +8,7 @@ document, where a document is longer than a slice).
 from __future__ import annotations
 
 import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -68,6 +69,31 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def names_apart(prefix: str):
+    """For operators whose working columns begin with ``prefix``: the caller's columns that do so have other names meanwhile.
+
+    Columns that are given to the operator as expressions must not be named like that.
+    """
+
+    def wrap(operator):
+        @functools.wraps(operator)
+        def run(rows: DataFrame, *args, **kwargs) -> DataFrame:
+            clash = [c for c in rows.columns if c.lower().startswith(prefix)]
+            if not clash:
+                return operator(rows, *args, **kwargs)
+            kept = {}
+            for c in clash:
+                name = "kept" + c
+                while name.lower() in {x.lower() for x in rows.columns}:
+                    name = "kept_" + name
+                kept[c] = name
+            return operator(rows.withColumnsRenamed(kept), *args, **kwargs).withColumnsRenamed({v: k for k, v in kept.items()})
+
+        return run
+
+    return wrap
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that staged() wrote and that nothing reads any more."""
     for df in tables:

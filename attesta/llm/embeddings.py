@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import names_apart, staged, table
 from .components import components, local_labels
 from .sharding import balanced_shards
 
@@ -147,6 +147,7 @@ def _found_links(classes: DataFrame, dim: int, threshold: float, tile: int) -> D
     return left.join(right, "with").drop("with").mapInArrow(_compare(dim, axes, threshold), FOUND)
 
 
+@names_apart("_nv_")
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, tile: int = TILE) -> DataFrame:
     """``vectors`` (with vec_id and embedding) with n_links, component_id and kept; columns of these names are replaced.
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from .common import staged, table
+from .common import names_apart, staged, table
 
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = " \t\n\x0b\x0c\r"
@@ -204,6 +204,7 @@ def mark_lines(docs: DataFrame, hot: DataFrame, n_hot: int, broadcast_bytes: int
     return marked.withColumn("_ld_drop", F.transform("_ld_lines", lambda line, i: F.coalesce(F.array_contains("_ld_at", i), F.lit(False)))).drop("_ld_row", "_ld_at")
 
 
+@names_apart("_ld_")
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, counts: DataFrame | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` (any columns, with ``text``) with ``kept_text``, ``n_lines`` and ``n_dropped``.
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import names_apart, table
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: Tokens of a packing group, on average; bins are only shared within a group.
@@ -65,6 +65,7 @@ class VariableBins:
         return sizes[np.searchsorted(sizes, np.array(self.used, np.int64))]
 
 
+@names_apart("_bp_")
 def pack(docs: DataFrame, length: Column, capacities: tuple[int, ...] = CAPACITIES, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """Rows of ``docs``, one for each piece, with piece, start, n_tokens, bin_id, bin_capacity, bin_used and bin_offset.
 

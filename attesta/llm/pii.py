@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import names_apart, table
 
 KINDS = ("email", "ip", "card", "phone", "number", "token", "contact")
 
@@ -245,6 +245,7 @@ def fit_pii(docs: DataFrame) -> PiiModel:
     return model
 
 
+@names_apart("_pii_")
 def find_pii(docs: DataFrame, model: PiiModel) -> DataFrame:
     """``docs`` with base and spans: arrays of start, end (exclusive, in code points) and kind, by start and kind.
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_BYTES, BYTE_VALUE, LOWER, row_slices, small_batches, table, window_hashes, word_hashes, word_spans
+from .common import ALNUM_BYTES, BYTE_VALUE, LOWER, names_apart, row_slices, small_batches, table, window_hashes, word_hashes, word_spans
 from .toxicity import held_out, training_sample
 
 WORD_FEATURES = 1 << 15
@@ -119,6 +119,7 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, per_grade: int = TRAIN_DOCS
     return OrdinalModel(*fit_ordinal(row, feature, value, grade, len(grades), weight), grades)
 
 
+@names_apart("_qc")
 def with_quality(docs: DataFrame, model: OrdinalModel, keep_grade: int, keep_probability: float = 0.5) -> DataFrame:
     """``docs`` with expected_grade, tail_probability (of ``keep_grade`` or more) and kept. Columns of these names are
     replaced. Null and empty texts have no features and get what the thresholds alone say."""

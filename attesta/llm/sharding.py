@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import names_apart, staged, table
 
 
+@names_apart("_bs_")
 def balanced_shards(rows: DataFrame, order_by: list[Column], size: Column, shards: int) -> DataFrame:
     """``rows`` with ``shard`` (0 to shards - 1) and ``slot`` (its place in the shard, from 0).
 
