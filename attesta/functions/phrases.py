@@ -55,6 +55,12 @@ class PhraseMatcher:
         #: Segments whose places are needed: those of parts with several.
         self.placed = {n for numbers in self.of_part if isinstance(numbers, list) and len(numbers) > 1 for n in numbers}
         self.lengths = {n: len(s) for s, n in self.segments.items()}
+        #: Parts by their first segment and phrases by their first part, so that only those are looked at that have it.
+        self.begun, self.asked, self.always = defaultdict(list), defaultdict(list), []
+        for part, numbers in enumerate(self.of_part):
+            (self.begun[numbers[0]] if isinstance(numbers, list) and numbers else self.always).append(part)
+        for i, needed in enumerate(self.needs):
+            self.asked[needed[0]].append((i, needed[1:]))
 
     def found(self, text: str | None) -> list[int]:
         low = (text or "").lower()
@@ -66,14 +72,9 @@ class PhraseMatcher:
                 start = end + 1 - size - offset
                 if start >= 0 and (size == len(segment) or _fits(low, start, segment)):
                     places.setdefault(number, []).append(start)
-        held: dict[int, bool] = {}
-
-        def holds(part: int) -> bool:
-            if part not in held:
-                held[part] = self._holds(part, low, places)
-            return held[part]
-
-        return [i for i, needed in enumerate(self.needs) if all(holds(p) for p in needed)]
+        parts = {part for number in places for part in self.begun.get(number, ()) if self._holds(part, low, places)}
+        parts.update(part for part in self.always if self._holds(part, low, places))
+        return sorted(i for part in parts for i, others in self.asked.get(part, ()) if parts.issuperset(others))
 
     def _holds(self, part: int, low: str, places: dict[int, list[int]]) -> bool:
         numbers = self.of_part[part]
