@@ -48,6 +48,24 @@ def test_xlsx_with_two_sheets(spark, tmp_path):
         z.writestr("xl/worksheets/s3.xml", "<broken")
     rows = {r.sheet: (r.title, r.source_link) for r in spreadsheets.library_table(spark, str(path)).collect()}
     assert rows == {"One": ("A", "https://a.org"), "Two": ("B", "https://b.org")}
+    (bad,) = spreadsheets.rejected_sheets(spark, str(path)).collect()
+    assert bad.sheet == "Bad" and "cannot be read" in bad.reason
+    with zipfile.ZipFile(tmp_path / "none.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="One" r:id="r1"/><sheet name="Empty" r:id="r2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="r{i}" Target="worksheets/s{i}.xml"/>' for i in (1, 2)) + "</Relationships>")
+        z.writestr("xl/worksheets/s1.xml", sheet([["Nothing", "useful"]]))
+        z.writestr("xl/worksheets/s2.xml", sheet([]))
+    with pytest.raises(ValueError, match="No sheet contained the required columns. sheet 'One': missing columns"):
+        spreadsheets.library_table(spark, str(tmp_path / "none.xlsx"))
+
+
+def test_files_of_several_kinds_in_a_folder(spark, tmp_path):
+    folder = tmp_path / "many files"
+    folder.mkdir()
+    (folder / "a.csv").write_text("Title,Link\nOne,https://a.org\n\nTwo,https://b.org,more,cells\n")
+    (folder / "b.csv").write_bytes("note\nLink,Title\nhttps://c.org,Café\n".encode("latin-1"))
+    rows = spreadsheets.text_rows(spark, str(folder))
+    assert sorted((r.row_no, r.cells[0], r.cells[1]) for r in rows.collect()) == [(0, "Title", "Link"), (0, "note", None), (1, "Link", "Title"), (1, "One", "https://a.org"), (2, "Two", "https://b.org"), (2, "https://c.org", "Café")]
 
 
 def test_markdown_and_text(spark, tmp_path):
