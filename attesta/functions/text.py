@@ -101,7 +101,3 @@ def hash_dimension(token: Column, dim: int = EMBEDDING_DIM) -> Column:
         part = F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long")
         acc = (acc * (2**32 % dim) + part) % dim
     return acc
-
-
-def letters_of(token: Column) -> Column:
-    return F.regexp_replace(F.lower(token), r"[^\p{L}\p{N}]", "")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
+from ..functions.text import EMBEDDING_DIM
+
 
 def embedder(load: Callable[[], Callable[[list[str]], np.ndarray]]):
     """A column function from texts to unit vectors; ``load`` runs once a task and gives the model."""
@@ -25,6 +30,32 @@ def embedder(load: Callable[[], Callable[[list[str]], np.ndarray]]):
     return encode
 
 
+def hashed_embedding(texts: DataFrame, key: str, text_column: str, dimensions: int = EMBEDDING_DIM) -> DataFrame:
+    """``key``, dim, n, weight: the stand-in embedding of each text. Each word, without what is no letter or digit, counts for the dimension
+    that its md5 gives, and weights are counts by their Euclidean length.
+
+    Words are counted inside the rows and each distinct word of a batch is hashed once, so nothing is shuffled; a task holds a batch.
+    Texts without words have no rows.
+    """
+    kind = texts.schema[key].dataType.simpleString()
+    words = F.split(F.regexp_replace(F.lower(F.coalesce(F.col(text_column), F.lit(""))), r"[^\p{L}\p{N} \n\t\r]", ""), r"[ \n\t\r]+")
+
+    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("words")
+            flat, row = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+            codes = flat.dictionary_encode()
+            dims = np.array([int.from_bytes(hashlib.md5(w.encode(), usedforsecurity=False).digest(), "big") % dimensions if w else -1 for w in codes.dictionary.to_pylist()], np.int64)
+            dim = dims[codes.indices.to_numpy()] if len(flat) else np.zeros(0, np.int64)
+            keys, n = np.unique(row[dim >= 0] * dimensions + dim[dim >= 0], return_counts=True)
+            row = keys // dimensions
+            norm = np.sqrt(np.bincount(row, n.astype(float) ** 2, minlength=batch.num_rows))[row] if len(row) else np.zeros(0)
+            columns = [batch.column(key).take(pa.array(row)), pa.array((keys % dimensions).astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(n / norm)]
+            yield pa.RecordBatch.from_arrays(columns, [key, "dim", "n", "weight"])
+
+    return texts.select(key, words.alias("words")).mapInArrow(embed, f"{key} {kind}, dim long, n long, weight double")
+
+
 def reranker(load: Callable[[], Callable[[list[tuple[str, str]]], np.ndarray]]):
     """A column function from query and document to a score from 0 to 1, the sigmoid of the model's output."""
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import claims
 from ..operators import exporting, importing, sdg, shortlist
+from ..operators.staging import ensure_shared_dir
+from ..operators.tables import BucketedTable
 from . import citation_queries as cited
 from . import draft_queries
 from .retrieval_queries import read
@@ -120,7 +124,17 @@ def replaced_rows(spark, sf_dir):
     return importing.replaced(old, again, new).groupBy("claim_id").agg(F.count(F.lit(1)).alias("n"), F.sum("l_linenumber").alias("total"))
 
 
-_ALL = (claim_types, sdg_candidates, sdg_classified, library_merge, repointed_rows, backfill_by_keys, audit_counts, audit_columns, json_bundles, best_references_by_draft, replaced_rows)
+def replaced_table(spark, sf_dir):
+    """The same two runs as commits to a table, which is read afterwards."""
+    old = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("claim_id"), F.col("l_linenumber").cast("long").alias("n"))
+    again = read(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("claim_id"))
+    table = BucketedTable(spark, f"{ensure_shared_dir(spark)}/table-{uuid.uuid4().hex}", buckets=16)
+    table.replace(old.select("claim_id"), old)
+    table.replace(again, again.where("claim_id % 2 = 0").withColumn("n", F.lit(9).cast("long")))
+    return table.read().groupBy("claim_id").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("total"))
+
+
+_ALL = (claim_types, sdg_candidates, sdg_classified, library_merge, repointed_rows, backfill_by_keys, audit_counts, audit_columns, json_bundles, best_references_by_draft, replaced_rows, replaced_table)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _PHRASES = " UNION ALL ".join(f"SELECT {g} AS goal, '{name}' AS goal_name, {i} AS no, '{p}' AS phrase" for g, name, phrases in sdg.GOALS for i, p in enumerate(phrases))
@@ -172,3 +186,4 @@ FROM d LEFT JOIN aj USING (draft_id) LEFT JOIN uj USING (draft_id) LEFT JOIN bj
 SELECT * FROM (SELECT *, score >= 65 AS usable, score >= 75 AS recommended, row_number() OVER (PARTITION BY draft_id ORDER BY score DESC, claim_id, ref_id) AS place FROM b) WHERE place <= 5""",
     "replaced_rows": """SELECT claim_id, count(*) AS n, CAST(sum(x) AS BIGINT) AS total FROM (SELECT l_orderkey AS claim_id, l_linenumber AS x FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0) UNION ALL SELECT o_orderkey, 9 FROM orders WHERE o_orderkey % 6 = 0) GROUP BY 1""",
 }
+SQL["replaced_table"] = SQL["replaced_rows"]

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..functions.text import RETRIEVAL_STOPWORDS, VERIFIER_STOPWORDS, hash_dimension, letters_of, rounded, sentence_hash, tokens
+from ..functions.text import RETRIEVAL_STOPWORDS, VERIFIER_STOPWORDS, rounded, sentence_hash, tokens
 from ..operators import retrieval
 from ..operators.keyphrases import CUTTING, LEAST_CHARACTERS, key_phrases, with_keywords
+from ..operators.models import hashed_embedding
 from ..operators.staging import computed_once
 from ..operators.text_index import TextIndex, best_by_scan
 from ..operators.vector_index import VectorIndex
@@ -162,11 +163,7 @@ def item_key_phrases(spark, sf_dir):
 
 
 def fake_embed_sparse(spark, sf_dir):
-    words = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", r"[ \n\t\r]+")).alias("t"))
-    dims = words.select("doc_id", letters_of(F.col("t")).alias("t")).where("t <> ''").select("doc_id", hash_dimension(F.col("t")).alias("dim"))
-    counts = dims.groupBy("doc_id", "dim").agg(F.count(F.lit(1)).alias("n"))
-    norms = counts.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("norm"))
-    return counts.join(norms, "doc_id").select("doc_id", "dim", "n", rounded(F.col("n") / F.col("norm"), 6).alias("weight"))
+    return hashed_embedding(read(spark, sf_dir, "documents"), "doc_id", "text").withColumn("weight", rounded(F.col("weight"), 6))
 
 
 def _score_parts(spark, sf_dir):
