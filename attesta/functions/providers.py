@@ -35,3 +35,8 @@ def emphasized(text: Column, part: Column) -> Column:
     return F.when(
         found, F.struct(F.substr(text, F.lit(1), at - 1).alias("before"), part.alias("match"), F.substr(text, end).alias("after"))
     ).otherwise(F.struct(text.alias("before"), F.lit("").alias("match"), F.lit("").alias("after")))
+
+
+def issued_year(date_parts: Column) -> Column:
+    """The year of an issue date as lists of year, month and day; null without one."""
+    return F.get(F.get(date_parts, F.lit(0)), F.lit(0)).cast("int")

@@ -178,25 +178,34 @@ def import_report(rows: DataFrame, shown: int = WARNINGS) -> DataFrame:
     return total.select("imported", "duplicates", "invalid", "backfilled", warnings.alias("warnings"))
 
 
-def enriched(papers: DataFrame, providers: list[tuple[str, DataFrame]]) -> DataFrame:
+def enriched(papers: DataFrame, providers: list[tuple[str, DataFrame]], without_abstracts: tuple[str, ...] = ()) -> DataFrame:
     """``papers`` (ref_id and ENRICHED) after the chain of providers (ref_id and ENRICHED each, one row a paper).
 
-    Providers fill blanks in order, up to and with the first that has an abstract; titles are never touched. status:
-    ENRICHED with an abstract, INCOMPLETE when some provider knew the paper, FAILED when none did; provider: who gave the abstract.
+    Providers fill blanks in order, up to and with the first that has an abstract; titles are never touched. A provider's row with a true
+    failed (a column it need not have) is a call that failed. Providers of ``without_abstracts`` aren't asked for papers that
+    have a year and a source title. status: ENRICHED with an abstract, INCOMPLETE when some provider knew the paper, FAILED when none did;
+    provider: who gave the abstract; message: without an abstract, which providers were tried.
     """
-    out = papers.withColumns({"_open": F.coalesce(F.col("abstract"), F.lit("")) == "", "_known": F.lit(False), "provider": F.lit(None).cast("string")})
+    tried = F.array().cast("array<string>")
+    out = papers.withColumns({"_open": F.coalesce(F.col("abstract"), F.lit("")) == "", "_known": F.lit(False), "_tried": tried, "provider": F.lit(None).cast("string")})
     for name, offer in providers:
-        o = offer.select("ref_id", F.struct(*ENRICHED).alias("_o"))
+        failed = F.coalesce("failed", F.lit(False)) if "failed" in offer.columns else F.lit(False)
+        o = offer.select("ref_id", F.struct(*ENRICHED).alias("_o"), failed.alias("_bad"))
         fill = lambda c: F.coalesce(F.col(c), F.col(f"_o.{c}")) if c == "citation_count" else F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.col(f"_o.{c}").cast("string")).cast(dict(papers.dtypes)[c])
-        out = out.join(o, "ref_id", "left")
-        asked = F.col("_open") & F.col("_o").isNotNull()
+        known = F.col("year").isNotNull() & (F.coalesce("source_title", F.lit("")) != "")
+        called = F.col("_open") & ~known if name in without_abstracts else F.col("_open")
+        out = out.join(o, "ref_id", "left").withColumn("_bad", F.coalesce("_bad", F.lit(False)))
+        asked = called & F.col("_o").isNotNull() & ~F.col("_bad")
         gives = asked & (F.coalesce(F.col("_o.abstract"), F.lit("")) != "")
+        told = F.concat("_tried", F.array(F.when(F.col("_bad"), f"{name}:error").otherwise(name)))
         out = out.withColumns(
             {c: F.when(asked, fill(c)).otherwise(F.col(c)) for c in ENRICHED}
-            | {"provider": F.when(gives, name).otherwise(F.col("provider")), "_known": F.col("_known") | asked, "_open": F.col("_open") & ~gives}
-        ).drop("_o")
+            | {"provider": F.when(gives, name).otherwise(F.col("provider")), "_known": F.col("_known") | asked, "_open": F.col("_open") & ~gives, "_tried": F.when(called, told).otherwise(F.col("_tried"))}
+        ).drop("_o", "_bad")
     status = F.when(~F.col("_open"), "ENRICHED").when(F.col("_known"), "INCOMPLETE").otherwise("FAILED")
-    return out.withColumn("status", status).drop("_open", "_known")
+    listed = F.when(F.size("_tried") > 0, F.array_join("_tried", ", ")).otherwise("none")
+    message = F.when(F.col("_open"), F.concat(F.lit("No abstract retrieved (tried: "), listed, F.lit(")")))
+    return out.withColumns({"status": status, "message": message}).drop("_open", "_known", "_tried")
 
 
 def library_winners(library: DataFrame, key: Column) -> DataFrame:

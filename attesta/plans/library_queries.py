@@ -178,7 +178,8 @@ def enrichment_chain(spark, sf_dir):
             F.lit(f"s{k}").alias("source_title"), F.lit(2000 + k).cast("int").alias("year"), F.col("n_chars").alias("citation_count"), F.concat(F.lit("10.1/"), "doc_id").alias("doi"),
         )
 
-    return importing.enriched(own, [("SCOPUS", provider(2)), ("OPENALEX", provider(3)), ("CROSSREF", provider(5))])
+    failing = provider(3).withColumn("failed", F.col("ref_id") % 13 == 1)
+    return importing.enriched(own, [("SCOPUS", provider(2)), ("OPENALEX", failing), ("CROSSREF", provider(5))], ("CROSSREF",))
 
 
 def _cache(spark, sf_dir):
@@ -330,13 +331,14 @@ j AS (SELECT ref_id, abstract, a, abstract IS NULL AND a IS NOT NULL AS fills FR
 SELECT ref_id, sha256(coalesce(abstract, a)) AS abstract_hash, CASE WHEN fills THEN 'ENRICHED' ELSE 'PENDING' END AS status, CASE WHEN fills THEN 'DATASET' END AS provider, fills AS stale FROM j""",
     "library_dedupe": """SELECT doc_id AS ref_id, first_value(doc_id) OVER (PARTITION BY text ORDER BY (doc_id IN (SELECT vec_id FROM embeddings)) DESC, (length(text) >= 200) DESC, doc_id % 97, doc_id) AS winner_id FROM documents""",
     "enrichment_chain": f"""WITH {_provider(2)}, {_provider(3)}, {_provider(5)},
-j AS (SELECT doc_id AS ref_id, source, p2.ref_id IS NOT NULL AS k2, p3.ref_id IS NOT NULL AND p2.abstract IS NULL AS k3, p5.ref_id IS NOT NULL AND p2.abstract IS NULL AND p3.abstract IS NULL AS k5, p2.abstract AS a2, p3.abstract AS a3, p5.abstract AS a5, d.n_chars
-  FROM documents d LEFT JOIN p2 ON p2.ref_id = doc_id LEFT JOIN p3 ON p3.ref_id = doc_id LEFT JOIN p5 ON p5.ref_id = doc_id),
-o AS (SELECT *, CASE WHEN a2 IS NOT NULL THEN 'SCOPUS' WHEN a3 IS NOT NULL THEN 'OPENALEX' WHEN k5 AND a5 IS NOT NULL THEN 'CROSSREF' END AS provider FROM j)
-SELECT ref_id, CASE provider WHEN 'SCOPUS' THEN a2 WHEN 'OPENALEX' THEN a3 WHEN 'CROSSREF' THEN a5 END AS abstract,
-  coalesce(CASE WHEN ref_id % 2 = 0 THEN source END, CASE WHEN k2 THEN 's2' WHEN k3 THEN 's3' WHEN k5 THEN 's5' END) AS source_title, CAST(CASE WHEN k2 THEN 2002 WHEN k3 THEN 2003 WHEN k5 THEN 2005 END AS INTEGER) AS year,
+j AS (SELECT doc_id AS ref_id, CASE WHEN doc_id % 2 = 0 THEN source END AS own, p2.ref_id IS NOT NULL AS k2, p2.abstract AS a2, p3.ref_id IS NOT NULL AND doc_id % 13 = 1 AS bad, p3.ref_id IS NOT NULL AND doc_id % 13 <> 1 AND p2.abstract IS NULL AS k3,
+  CASE WHEN doc_id % 13 <> 1 THEN p3.abstract END AS a3, p5.ref_id IS NOT NULL AS in5, d.n_chars FROM documents d LEFT JOIN p2 ON p2.ref_id = doc_id LEFT JOIN p3 ON p3.ref_id = doc_id LEFT JOIN p5 ON p5.ref_id = doc_id),
+c AS (SELECT *, a2 IS NULL AND a3 IS NULL AND NOT (k2 OR k3) AS called5 FROM j),
+o AS (SELECT *, called5 AND in5 AS k5, CASE WHEN a2 IS NOT NULL THEN 'SCOPUS' WHEN a3 IS NOT NULL THEN 'OPENALEX' END AS provider FROM c)
+SELECT ref_id, coalesce(a2, a3) AS abstract, coalesce(own, CASE WHEN k2 THEN 's2' WHEN k3 THEN 's3' WHEN k5 THEN 's5' END) AS source_title, CAST(CASE WHEN k2 THEN 2002 WHEN k3 THEN 2003 WHEN k5 THEN 2005 END AS INTEGER) AS year,
   CASE WHEN k2 OR k3 OR k5 THEN n_chars END AS citation_count, CASE WHEN k2 OR k3 OR k5 THEN '10.1/' || ref_id END AS doi, provider,
-  CASE WHEN provider IS NOT NULL THEN 'ENRICHED' WHEN k2 OR k3 OR k5 THEN 'INCOMPLETE' ELSE 'FAILED' END AS status FROM o""",
+  CASE WHEN provider IS NOT NULL THEN 'ENRICHED' WHEN k2 OR k3 OR k5 THEN 'INCOMPLETE' ELSE 'FAILED' END AS status,
+  CASE WHEN provider IS NULL THEN 'No abstract retrieved (tried: SCOPUS, OPENALEX' || CASE WHEN bad THEN ':error' ELSE '' END || CASE WHEN called5 THEN ', CROSSREF' ELSE '' END || ')' END AS message FROM o""",
     "cache_probe": f"WITH {_CACHE} SELECT doc_id, answer IS NOT NULL AS hit, answer FROM documents LEFT JOIN cache ON sentence_hash = sha256(text)",
     "insert_ignore": f"WITH {_CACHE} SELECT sentence_hash, answer FROM cache UNION ALL SELECT h, -min(doc_id) FROM (SELECT sha256(text) AS h, doc_id FROM documents) WHERE h NOT IN (SELECT sentence_hash FROM cache) GROUP BY h",
     "mock_provider": """WITH h AS (SELECT p_partkey, p_name, sha256('10.1016/' || p_partkey) AS h FROM part)

@@ -198,3 +198,25 @@ def test_one_claim_alone_gets_what_the_batch_gives(spark):
     rows = lambda c: sorted((r.claim_id, r.ref_id, r.rank, r.percentage, r.label) for r in recommend(c, papers).collect())
     together = rows(claims)
     assert rows(claims.where("claim_id = 2")) == [r for r in together if r[0] == 2] != []
+
+
+@pytest.mark.parametrize("parts, year", [([[2021, 3, 1]], 2021), ([[2020], [2022]], 2020), ([[]], None), ([], None), (None, None), ([[None]], None)])
+def test_issue_years(spark, parts, year):
+    from attesta.functions.providers import issued_year
+
+    row = spark.createDataFrame([(parts,)], "d array<array<int>>").select(issued_year(F.col("d")).alias("y")).first()
+    assert row.y == year
+
+
+def test_chains_tell_what_was_tried(spark):
+    from attesta.operators.importing import enriched
+
+    kind = "ref_id int, abstract string, source_title string, year int, citation_count long, doi string"
+    papers = spark.createDataFrame([(1, None, None, None, None, None), (2, "", "J", 2000, None, None), (3, "own", None, None, None, None)], kind)
+    broken = spark.createDataFrame([(1, None, None, None, None, None, True)], kind + ", failed boolean")
+    plain = spark.createDataFrame([(1, None, "K", 1999, 5, "10.1/x"), (2, None, "K", 1999, 5, "10.1/y")], kind)
+    rows = {r.ref_id: r for r in enriched(papers, [("A", broken), ("B", plain)], ("B",)).collect()}
+    assert rows[1].message == "No abstract retrieved (tried: A:error, B)" and rows[1].status == "INCOMPLETE" and rows[1].year == 1999
+    assert rows[2].message == "No abstract retrieved (tried: A)" and rows[2].status == "FAILED" and rows[2].citation_count is None
+    assert rows[3].message is None and rows[3].status == "ENRICHED"
+    assert {r.message for r in enriched(papers, [("B", plain)], ("B",)).collect()} == {"No abstract retrieved (tried: B)", "No abstract retrieved (tried: none)", None}
