@@ -76,6 +76,18 @@ def json_bundle(drafts: DataFrame, accepted: DataFrame, audit: DataFrame, biblio
     return out.select("draft_id", F.to_json(whole, {"ignoreNullFields": "false"}).alias("json"))
 
 
+# The columns of a template, which an import recognises.
+TEMPLATE = ("NO.", "YEAR", "FIELD OF STUDY", "AUTHORS", "DOCUMENT TITLE", "SOURCE TITLE", "LINK", "ABSTRACT")
+
+
+def abstract_template(papers: DataFrame) -> DataFrame:
+    """The rows of ``papers`` (original_row_number, year, field_of_study, authors, title, source_title, source_link; authors: structs with a name)
+    to fill in abstracts: the columns of TEMPLATE, the last one empty."""
+    names = F.filter(F.transform(F.coalesce("authors", F.array().cast("array<struct<name:string>>")), lambda a: a["name"]), lambda n: F.coalesce(n, F.lit("")) != "")
+    values = ["original_row_number", "year", "field_of_study", F.array_join(names, "; "), "title", "source_title", "source_link", F.lit("")]
+    return papers.select(*((F.col(v) if isinstance(v, str) else v).alias(c) for v, c in zip(values, TEMPLATE)))
+
+
 def download_name(stem: Column, extension: str) -> Column:
     """A file name without the characters that file systems refuse; blank stems are called paper."""
     clean = F.trim(F.regexp_replace(stem, r'[\\/:*?"<>|\x00-\x1f]', "_"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
 from ..functions.text import EMBEDDING_DIM
+from .staging import written_once
 
 
 def embedder(load: Callable[[], Callable[[list[str]], np.ndarray]]):
@@ -92,6 +94,82 @@ def answered(rows: DataFrame, cache: DataFrame, keys: list[str], ask: Callable[[
     return held.unionByName(pending)
 
 
+class AnswerError(ValueError):
+    """An answer that isn't of the form agreed on."""
+
+
+def by_number(ask: Callable, given: list, check: Callable[[object], list[dict]], fallback: Callable | None = None) -> list[dict | None]:
+    """The answer to each of ``given``, None where there is none; ``ask(given, fault)`` gives dicts with idx, a number in ``given``.
+
+    ``check`` returns an answer of the form agreed on and raises an AnswerError that says what is wrong otherwise; then ``ask`` is called
+    once more with that text. Where it fails all the same, or at once in another way, ``fallback`` is asked, once. Numbers beyond
+    ``given`` count for nothing, of two answers for one the last counts. The last error is raised when no call succeeds.
+    """
+
+    def repaired() -> list[dict]:
+        try:
+            return check(ask(given, None))
+        except AnswerError as fault:
+            return check(ask(given, str(fault)))
+
+    try:
+        told = repaired()
+    except Exception:
+        if fallback is None:
+            raise
+        told = check(fallback(given, None))
+    of = {x["idx"]: x for x in told}
+    return [of.get(i) for i in range(len(given))]
+
+
+@dataclass
+class Decisions:
+    """``answers``: keys and the answer's fields for all rows that have one; ``entries``: those that the cache doesn't have yet; ``failures``: keys and
+    error of the rows whose batch failed."""
+
+    answers: DataFrame
+    entries: DataFrame
+    failures: DataFrame
+
+    def required(self) -> Decisions:
+        """These decisions, or an error if a batch failed. Keep the entries first: a second run then asks for the rest only."""
+        lost = self.failures.count()
+        if lost:
+            raise RuntimeError(f"{lost} rows have no decision: {self.failures.first()['error']}")
+        return self
+
+
+def decided(rows: DataFrame, cache: DataFrame, keys: list[str], ask: Callable, check: Callable, answer_schema: str, size: int = 25, fallback: Callable | None = None) -> Decisions:
+    """Decisions on ``rows``: from ``cache`` (``keys`` and the fields of ``answer_schema``), else by ``ask`` in batches of ``size`` (by_number()).
+
+    Rows are numbered within their batch. A row that an answer leaves out has no decision, and none is made up. A batch that fails fails
+    the stage, once that is required() of the result, and not the batches beside it. Calls are made once, however often the results are
+    read. Repeated keys are asked once.
+    """
+    names = [c.strip().split(" ")[0] for c in answer_schema.split(",")]
+    key_schema = ", ".join(f"{k} {t}" for k, t in rows.dtypes if k in keys)
+    held_keys = [k for k, _ in rows.dtypes if k in keys]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), size):
+                part = batch.iloc[at : at + size]
+                out, error = part[held_keys].reset_index(drop=True), None
+                try:
+                    told = by_number(ask, part.to_dict("records"), check, fallback)
+                except Exception as fault:  # noqa: BLE001 - told by required(), with the rows
+                    told, error = [None] * len(part), f"{type(fault).__name__}: {fault}"
+                for n in names:
+                    out[n] = [None if x is None else x.get(n) for x in told]
+                yield out.assign(_told=[x is not None for x in told], _error=error)[[*held_keys, *names, "_told", "_error"]]
+
+    pending = rows.dropDuplicates(keys).join(cache, keys, "left_anti")
+    told = written_once(pending.mapInPandas(run, f"{key_schema}, {answer_schema}, _told boolean, _error string"), "decisions")
+    new = told.where("_told").select(*keys, *names)
+    held = cache.join(rows.select(*keys).distinct(), keys, "left_semi").select(*keys, *names)
+    return Decisions(held.unionByName(new), new, told.where("_error is not null").select(*keys, F.col("_error").alias("error")))
+
+
 def salvaged_json(text: Column, schema: str) -> Column:
     """The first object in a model's answer, also inside prose or a fenced block; null when there is none."""
     return F.from_json(F.regexp_extract(text, r"(?s)\{.*\}", 0), schema)

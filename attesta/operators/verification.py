@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import VERDICT_SCORES
+from .models import AnswerError, by_number
 from .staging import written_once
 
 #: Candidates of a claim in one call.
@@ -24,10 +25,6 @@ UNAVAILABLE = ("", "Automatic verification was unavailable for this candidate.",
 Ask = Callable[[str, str, list[dict], str | None], list[dict]]
 
 
-class AnswerError(ValueError):
-    """An answer that isn't of the form agreed on."""
-
-
 @dataclass
 class Verified:
     """``outcomes``: the candidates with verdict, support_score, TOLD and from_cache; ``entries``: claim_hash, ref_id, verdict, TOLD, which
@@ -52,26 +49,12 @@ def checked(verdicts) -> list[dict]:
 
 
 def answer(ask: Ask, claim: str, context: str, candidates: list[dict], fallback: Ask | None = None) -> list[dict | None]:
-    """A verdict for each candidate, None where there is none. A malformed answer is asked for once more, with what was wrong; where
-    the call fails all the same, ``fallback`` is asked, once.
-
-    Numbers outside the call count for nothing; of two verdicts for a candidate the last counts.
-    """
-
-    def repaired() -> list[dict]:
-        try:
-            return checked(ask(claim, context, candidates, None))
-        except AnswerError as fault:
-            return checked(ask(claim, context, candidates, str(fault)))
-
-    for call in (repaired, lambda: checked(fallback(claim, context, candidates, None)) if fallback else None):
-        try:
-            if (told := call()) is not None:
-                of = {v["idx"]: v for v in told}
-                return [of.get(i) for i in range(len(candidates))]
-        except Exception:  # noqa: BLE001, S112 - a call that fails, however it does, leaves its candidates to a reader
-            continue
-    return [None] * len(candidates)
+    """A verdict for each candidate (by_number()), None where there is none or the call failed."""
+    call = lambda told: lambda given, fault: told(claim, context, given, fault)
+    try:
+        return by_number(call(ask), candidates, checked, call(fallback) if fallback else None)
+    except Exception:  # noqa: BLE001 - a call that fails, however it does, leaves its candidates to a reader
+        return [None] * len(candidates)
 
 
 def verified(candidates: DataFrame, cache: DataFrame, ask: Ask, at_once: int = AT_ONCE, fallback: Ask | None = None) -> Verified:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identifiers, providers
 from ..functions.text import rounded
-from ..operators import drafts, shortlist
+from ..operators import drafts, exporting, shortlist
 from .citation_queries import _ACC, _claims, _log
 from .draft_queries import _BLOCKS, _raw
 from .retrieval_queries import read
@@ -19,9 +19,16 @@ def pending_batch(spark, sf_dir):
 
 
 def missing_template(spark, sf_dir):
-    """Rows to fill in for one year, and for none."""
-    orders = read(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 10 != 0, F.year("o_orderdate")).alias("year"), "o_totalprice")
-    return orders.where("o_totalprice < 60000 and (year = 1995 or year is null)").select("o_orderkey", "year")
+    """Rows to fill in for one year, and for none, as lines of the template."""
+    orders = read(spark, sf_dir, "orders").select("*", F.when(F.col("o_custkey") % 10 != 0, F.year("o_orderdate")).alias("year"))
+    chosen = orders.where("o_totalprice < 60000 and (year = 1995 or year is null)")
+    authors = F.transform(F.filter(F.array(F.concat(F.lit("A"), "o_custkey"), F.when(F.col("o_custkey") % 3 == 0, "B. Second"), F.lit("")), lambda n: n.isNotNull()), lambda n: F.struct(n.alias("name")))
+    papers = chosen.select(
+        F.col("o_orderkey").alias("original_row_number"), "year", F.col("o_orderpriority").alias("field_of_study"), authors.alias("authors"), F.concat(F.lit("T"), "o_orderkey").alias("title"), F.lit(None).cast("string").alias("source_title"), F.concat(F.lit("https://l.org/"), "o_orderkey").alias("source_link")
+    )
+    rows = exporting.abstract_template(papers)
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in exporting.TEMPLATE]
+    return rows.select(F.lit("|".join(rows.columns)).alias("header"), F.concat_ws("|", *cells).alias("line"))
 
 
 def claim_counts(spark, sf_dir):
@@ -102,7 +109,9 @@ _INTRO = "CASE WHEN is_heading AND paragraph_index = draft_id % 4 * 3 THEN 'II.
 
 SQL = {
     "pending_batch": "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate, o_orderkey LIMIT 25",
-    "missing_template": "SELECT o_orderkey, year FROM (SELECT o_orderkey, CASE WHEN o_custkey % 10 <> 0 THEN CAST(year(o_orderdate) AS INTEGER) END AS year, o_totalprice FROM orders) WHERE o_totalprice < 60000 AND (year = 1995 OR year IS NULL)",
+    "missing_template": """SELECT 'NO.|YEAR|FIELD OF STUDY|AUTHORS|DOCUMENT TITLE|SOURCE TITLE|LINK|ABSTRACT' AS header,
+  o_orderkey || '|' || coalesce(CAST(year AS VARCHAR), '') || '|' || o_orderpriority || '|A' || o_custkey || CASE WHEN o_custkey % 3 = 0 THEN '; B. Second' ELSE '' END || '|T' || o_orderkey || '||https://l.org/' || o_orderkey || '|' AS line
+FROM (SELECT *, CASE WHEN o_custkey % 10 <> 0 THEN CAST(year(o_orderdate) AS INTEGER) END AS year FROM orders) WHERE o_totalprice < 60000 AND (year = 1995 OR year IS NULL)""",
     "claim_counts": f"""WITH {_ACC}, {_CLAIMS}, t AS (SELECT draft_id, count(DISTINCT claim_id) AS cited, count(*) AS accepted FROM c JOIN acc USING (claim_id) GROUP BY 1)
 SELECT c.draft_id, count(*) AS claims, count(*) FILTER (WHERE needs) AS needs, coalesce(any_value(cited), 0) AS cited, coalesce(any_value(accepted), 0) AS accepted FROM c LEFT JOIN t ON t.draft_id = c.draft_id GROUP BY 1""",
     "draft_summary": f"""WITH {_ACC}, {_CLAIMS}, v AS (SELECT draft_id, count(*) AS needs, count(*) FILTER (WHERE claim_id IN (SELECT claim_id FROM acc)) AS covered FROM c WHERE needs GROUP BY 1),

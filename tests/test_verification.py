@@ -5,7 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from attesta.operators.verification import NO_ABSTRACT, UNAVAILABLE, AnswerError, answer, checked, verified
+from attesta.operators.models import AnswerError, decided
+from attesta.operators.verification import NO_ABSTRACT, UNAVAILABLE, answer, checked, verified
 from attesta.plans import recommend, retrieval_queries
 
 ROWS = "claim_id long, claim_hash string, claim_text string, claim_context string, ref_id string, place int, title string, abstract string, keywords array<string>, extra int"
@@ -90,3 +91,40 @@ def test_recommendations_with_calls_and_a_cache(spark):
     assert more.count() == 0 and again.where("from_cache").count() == 9
     told = lambda df: sorted(tuple(r) for r in df.select("claim_id", "ref_id", "rank", "percentage", "label").collect())
     assert told(first) == told(again)
+
+
+def decision_form(told):
+    if not isinstance(told, list) or any(type(x.get("idx")) is not int or "type" not in x for x in told):
+        raise AnswerError("idx and type are needed")
+    return told
+
+
+def test_decisions_are_numbered_in_their_batch(spark):
+    def ask(given, fault):
+        if fault is None and any(g["k"] == "k03" for g in given):
+            return [{"idx": "0"}]
+        return [{"idx": i, "type": f"{g['k']}!"} for i, g in enumerate(given) if g["k"] != "k05"] + [{"idx": 400, "type": "stray"}, {"idx": -1, "type": "stray"}]
+
+    rows = spark.createDataFrame([(f"k{i:02}", i) for i in range(12)] + [("k01", 1)], "k string, extra int").coalesce(1)
+    cache = spark.createDataFrame([("k00", "held"), ("k99", "other")], "k string, type string")
+    out = decided(rows, cache, ["k"], ask, decision_form, "type string", size=4).required()
+    told = {r.k: r.type for r in out.answers.collect()}
+    assert told == {"k00": "held"} | {f"k{i:02}": f"k{i:02}!" for i in range(1, 12) if i != 5}
+    assert out.entries.count() == 10 and out.failures.count() == 0
+
+
+def test_a_batch_that_fails_fails_the_stage_but_not_the_others(spark):
+    def ask(given, fault):
+        if any(g["k"] == "k1" for g in given):
+            raise TimeoutError("no answer")
+        return [{"idx": i, "type": "t"} for i in range(len(given))]
+
+    rows, none = spark.createDataFrame([("k1",), ("k2",), ("k3",)], "k string").coalesce(1), spark.createDataFrame([], "k string, type string")
+    out = decided(rows, none, ["k"], ask, decision_form, "type string", size=1)
+    assert {r.k for r in out.entries.collect()} == {"k2", "k3"} and [tuple(r) for r in out.failures.collect()] == [("k1", "TimeoutError: no answer")]
+    with pytest.raises(RuntimeError, match="1 rows have no decision: TimeoutError"):
+        out.required()
+    again = decided(rows, out.entries, ["k"], lambda given, fault: [{"idx": i, "type": g["k"]} for i, g in enumerate(given)], decision_form, "type string").required()
+    assert [r.k for r in again.entries.collect()] == ["k1"] and again.answers.count() == 3
+    backed = decided(rows, none, ["k"], ask, decision_form, "type string", size=1, fallback=lambda given, fault: [{"idx": 0, "type": "other"}]).required()
+    assert {r.k: r.type for r in backed.answers.collect()} == {"k1": "other", "k2": "t", "k3": "t"}
