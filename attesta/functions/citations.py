@@ -29,6 +29,7 @@ def author(raw: Column) -> Column:
     """family and initials of a name written 'Family, Given', 'J. A. Family', 'Given Family', 'Two Names F.' or 'Family';
     null for blanks."""
     text = F.trim(F.regexp_replace(raw, r"\s+", " "))
+    # The shapes of names.
     comma, leading = text.rlike(r"^[^,]+,\s*.+$"), text.rlike(r"^(?:[A-Z]\.\s*)+[A-Za-z\-']+$")
     last = F.regexp_extract(text, r"(\S+)$", 1)
     before = F.trim(F.regexp_replace(text, r"\S+$", ""))

@@ -88,10 +88,14 @@ def abstract_template(papers: DataFrame) -> DataFrame:
     return papers.select(*((F.col(v) if isinstance(v, str) else v).alias(c) for v, c in zip(values, TEMPLATE)))
 
 
-def download_name(stem: Column, extension: str) -> Column:
+# Fixed value: what file names begin with.
+NAME_TAG = "[INTI] "
+
+
+def download_name(stem: Column, extension: str, tag: str = NAME_TAG) -> Column:
     """A file name without the characters that file systems refuse; blank stems are called paper."""
     clean = F.trim(F.regexp_replace(stem, r'[\\/:*?"<>|\x00-\x1f]', "_"))
-    return F.concat(F.lit("[INTI] "), F.when(F.coalesce(clean, F.lit("")) == "", "paper").otherwise(clean), F.lit(f".{extension}"))
+    return F.concat(F.lit(tag), F.when(F.coalesce(clean, F.lit("")) == "", "paper").otherwise(clean), F.lit(f".{extension}"))
 
 
 def write_audit(rows: DataFrame, path: str) -> None:
