@@ -46,9 +46,9 @@ def vector_topk(claims: DataFrame, library: DataFrame, k: int = RETRIEVED, min_y
     if min_year is not None:
         papers = papers.where(F.col("year") >= min_year)
     kind, id_type = (df.schema[c].dataType.simpleString() for df, c in ((claims, "claim_id"), (papers, "ref_id")))
-    dimensions = usual_length(claims)
+    dimensions, n = usual_length(claims)
     asked = claims.select("claim_id", "vector").where(usable(F.col("vector")) & (F.size("vector") == dimensions))
-    if asked.count() * dimensions * 8 > broadcast_bytes:
+    if n * dimensions * 8 > broadcast_bytes:
         return VectorIndex.build(papers, dimensions).nearest(asked, k)[0]
 
     def nearest(batches):

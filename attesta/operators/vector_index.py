@@ -22,7 +22,7 @@ from .staging import written_once
 BLOCK, LISTS, SAMPLE_BYTES, CENTRE_BYTES = 1024, 4096, 16 << 20, 8 << 20
 FITTING_ROUNDS = 8
 #: Claims that meet a block in one row; blocks that a claim opens in the first round, and how many times more in each next one.
-CLAIMS_AT_ONCE, FIRST_BLOCKS, GROWTH = 512, 4, 8
+CLAIMS_AT_ONCE, FIRST_BLOCKS, GROWTH = 512, 8, 16
 #: Similarities have 9 decimals; bounds get as much slack.
 SLACK = 2e-9
 
@@ -33,11 +33,11 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def usual_length(vectors: DataFrame) -> int:
-    """The length that most usable vectors have, the shortest of equally frequent ones; 0 where there are none."""
+def usual_length(vectors: DataFrame) -> tuple[int, int]:
+    """The length that most usable vectors have, the shortest of equally frequent ones, and how many have it; (0, 0) where there are none."""
     counts = vectors.where(usable(F.col("vector"))).groupBy(F.size("vector").alias("size")).count()
     first = counts.orderBy(F.desc("count"), "size").first()
-    return first["size"] if first else 0
+    return (first["size"], first["count"]) if first else (0, 0)
 
 
 def directions(values: np.ndarray, dimensions: int) -> np.ndarray:
@@ -95,10 +95,12 @@ class VectorIndex:
         smallest hashes of ref_id); every vector is indexed. Only usable() vectors of length ``dimensions`` (by default the
         usual one) are. A list is cut at equal ranges of angles, so that no task or block grows with it.
         """
-        spark, dims = papers.sparkSession, dimensions or usual_length(papers)
+        spark = papers.sparkSession
+        usual, n = usual_length(papers if dimensions is None else papers.where(F.size("vector") == dimensions))
+        dims = dimensions or usual
         year = F.col("year").cast("int") if "year" in papers.columns else F.lit(None).cast("int")
         rows = papers.where(usable(F.col("vector")) & (F.size("vector") == dims)).select("ref_id", F.col("vector").cast("array<double>").alias("vector"), year.alias("year"))
-        lists = int(max(1, min(LISTS, CENTRE_BYTES // (8 * max(dims, 1)), np.ceil(np.sqrt(rows.count())))))
+        lists = int(max(1, min(LISTS, CENTRE_BYTES // (8 * max(dims, 1)), np.ceil(np.sqrt(n)))))
         taken = rows.select("vector", F.xxhash64("ref_id").alias("h")).orderBy("h", "vector").limit(max(lists, SAMPLE_BYTES // (8 * max(dims, 1)))).collect()
         sample = directions(np.array([r.vector for r in taken], np.float64).reshape(-1, max(dims, 1)), max(dims, 1))
         index = VectorIndex(spark.createDataFrame([], _block_schema(papers)), fitted_centres(sample, lists))
