@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import identifiers as ids
-from ..functions.text import clean_value, content_text, first_int, normalized_title, rounded, sentence_hash, split_authors, split_keywords
-from ..operators import importing, lookup, shortlist
+from ..functions.text import clean_value, content_text, first_int, normalized_title, sentence_hash, split_authors, split_keywords
+from ..operators import importing, lookup
 from ..operators.staging import computed_once
 from .retrieval_queries import read
 
