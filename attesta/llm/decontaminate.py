@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from .common import ALNUM_BYTES, LOWER, found_in, row_slices, small_batches, staged, table, utf8, word_hashes, word_spans
 
@@ -169,6 +168,8 @@ def merged(runs: list[tuple[int, int]]) -> list[int]:
 
 
 MATCH = "struct<n_words:long,runs:array<int>,items:array<string>,longest:int>"
+CUT = "struct<n_words:long,n_hit:long,kept:string>"
+KEPT = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("kept", pa.string())])
 SCAN = pa.struct([("n_words", pa.int64()), ("runs", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("longest", pa.int32())])
 
 
@@ -183,28 +184,66 @@ def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | Non
     yield block
 
 
+def _matches(automaton: _Block, data: np.ndarray, off: np.ndarray, before: list[dict | None]) -> list[dict]:
+    """By row, its match, with what earlier blocks matched."""
+    words, runs, found, longest = automaton.hits(LOWER[data], off)
+    rows = []
+    for r, old in enumerate(before):
+        flat = (old and old["runs"]) or []
+        rows.append(
+            {
+                "n_words": int(words[r]),
+                "runs": merged(runs[r] + list(zip(flat[::2], flat[1::2], strict=True))),
+                "items": sorted({x for x in found[r] if x is not None} | set((old and old["items"]) or [])),
+                "longest": max(longest[r], (old and old["longest"]) or 0),
+            }
+        )
+    return rows
+
+
 def _scanner(held: Broadcast, name: str, window: int):
     @F.arrow_udf(MATCH)
     def scan(text: pa.Array, before: pa.Array) -> pa.Array:
         automaton = _Block.of(name, held.value, window)
         rows = []
         for i, j, data, off in row_slices(text):
-            words, runs, found, longest = automaton.hits(LOWER[data], off)
-            for r, old in enumerate(before.slice(i, j - i).to_pylist()):
-                flat = (old and old["runs"]) or []
-                rows.append(
-                    {
-                        "n_words": int(words[r]),
-                        "runs": merged(runs[r] + list(zip(flat[::2], flat[1::2], strict=True))),
-                        "items": sorted({x for x in found[r] if x is not None} | set((old and old["items"]) or [])),
-                        "longest": max(longest[r], (old and old["longest"]) or 0),
-                    }
-                )
+            rows += _matches(automaton, data, off, before.slice(i, j - i).to_pylist())
         return pa.array(rows, SCAN)
 
     return scan
 
 
+def _cutter(held: Broadcast, name: str, window: int):
+    """As _scanner(), but of what is found: n_words, n_hit, and the text without the hit runs (null where nothing hits)."""
+
+    @F.arrow_udf(CUT)
+    def cut(text: pa.Array, before: pa.Array) -> pa.Array:
+        automaton = _Block.of(name, held.value, window)
+        rows = []
+        for i, j, data, off in row_slices(text):
+            matches = _matches(automaton, data, off, before.slice(i, j - i).to_pylist())
+            kept = _without(data, off, [m["runs"] for m in matches])
+            rows += [{"n_words": m["n_words"], "n_hit": sum(m["runs"][1::2]) - sum(m["runs"][::2]), "kept": k} for m, k in zip(matches, kept, strict=True)]
+        return pa.array(rows, KEPT)
+
+    # Else Spark would run it once for the filter and once more for what the filter keeps.
+    return cut.asNondeterministic()
+
+
+def _without(data: np.ndarray, off: np.ndarray, runs: list[list[int]]) -> list[str | None]:
+    """By row, the text without its runs of words."""
+    out: list[str | None] = []
+    s, e, row = word_spans(LOWER[data], off, ALNUM_BYTES)
+    first = np.searchsorted(row, np.arange(len(off)))
+    for r, flat in enumerate(runs):
+        at, kept = int(off[r]), []
+        for a, b in zip(flat[::2], flat[1::2], strict=True):
+            kept.append(data[at : s[first[r] + a]])
+            at = int(e[first[r] + b - 1])
+        out.append(b"".join(x.tobytes() for x in [*kept, data[at : off[r + 1]]]).decode() if flat else None)
+    return out
+
+
 def match_items(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with a struct ``match``: n_words, runs (hit words as from0, to0, ...; ends exclusive), items, longest.
 
@@ -214,38 +253,27 @@ def match_items(docs: DataFrame, items: DataFrame, window: int = 10, block_bytes
     ``longest`` is the longest run of words that stands in an item. Null and empty texts have no words; items without
     words match nothing. A column ``match`` of ``docs`` is replaced; others pass through.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    out = docs.withColumn("match", F.lit(None).cast(MATCH))
-    for k, block in enumerate(_blocks(items, block_bytes)):
-        held, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+    return _matched(docs, items, window, block_bytes, _scanner)
 
-        out = (staged(out, "decontaminate") if k else out).withColumn("match", _scanner(held, name, window)("text", "match"))
-    return out
 
-
-@F.arrow_udf(StringType())
-def _cut(text: pa.Array, runs: pa.Array) -> pa.Array:
-    out = []
-    for i, j, data, off in row_slices(text):
-        s, e, row = word_spans(LOWER[data], off, ALNUM_BYTES)
-        first = np.searchsorted(row, np.arange(j - i + 1))
-        for r, flat in enumerate(runs.slice(i, j - i).to_pylist()):
-            at, kept = int(off[r]), []
-            for a, b in zip((flat or [])[::2], (flat or [])[1::2], strict=True):
-                kept.append(data[at : s[first[r] + a]])
-                at = int(e[first[r] + b - 1])
-            out.append(b"".join(x.tobytes() for x in [*kept, data[at : off[r + 1]]]).decode())
-    return pa.array(out, pa.string())
+def _matched(docs: DataFrame, items: DataFrame, window: int, block_bytes: int, last) -> DataFrame:
+    """``docs`` with ``match``: what ``last`` returns for the last block, after _scanner() for those before it."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    out, todo = docs.withColumn("match", F.lit(None).cast(MATCH)), None
+    for block in _blocks(items, block_bytes):
+        if todo:
+            out = staged(out.withColumn("match", _scanner(*todo)("text", "match")), "decontaminate")
+        todo = spark.sparkContext.broadcast(block), uuid.uuid4().hex, window
+    return out.withColumn("match", last(*todo)("text", "match"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, most_coverage: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without test items: hit spans are cut out of ``text``, and documents of which more than ``most_coverage``
     of the words are hit go altogether. Texts that nothing hits stay as they are, null ones too."""
-    found = match_items(docs, items, window, block_bytes)
-    hit = F.aggregate(F.transform("match.runs", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0), lambda a, b: a + b)
-    kept = found.where(hit <= most_coverage * F.col("match.n_words"))
-    return kept.withColumn("text", F.when(hit > 0, _cut("text", "match.runs")).otherwise(F.col("text"))).drop("match")
+    found = _matched(docs, items, window, block_bytes, _cutter)
+    kept = found.where(F.col("match.n_hit") <= most_coverage * F.col("match.n_words"))
+    return kept.withColumn("text", F.coalesce("match.kept", "text")).drop("match")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,6 +131,20 @@ def test_spans_are_cut_and_covered_documents_go(spark):
     assert decontaminate.decontaminate(frame(spark, []), none).count() == 0
 
 
+def test_decontamination_runs_python_once_a_document(spark, capsys):
+    """Each Python operator that a task runs besides is one more worker in an executor's memory, and stays there."""
+    around, items = prose(13, 200), [prose(11, 30), prose(12, 30)]
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [around + " " + items[0] + " é " + items[1] + " " + around, items[1], None, around, ""]
+    for block_bytes in (1, 1 << 20):
+        out = decontaminate.decontaminate(frame(spark, texts), table, block_bytes=block_bytes)
+        capsys.readouterr()
+        out.explain()
+        plan = capsys.readouterr().out
+        assert plan.count("ArrowEvalPython") == 1, plan
+        assert {r.doc_id: r.text for r in out.collect()} == {0: around + "  é  " + around, 2: None, 3: around, 4: ""}
+
+
 # ---- Jaccard join ------------------------------------------------------------------------
 
 
